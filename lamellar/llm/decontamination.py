@@ -71,7 +71,7 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and key (a hash of the text) for every row.
 
     Null and empty texts have no words. Items without words have no windows; an item with a null id
     marks words but isn't listed. Repeated rows get the same result each; equal ids with different
@@ -106,4 +106,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "key",
     )

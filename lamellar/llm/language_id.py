@@ -144,50 +144,63 @@ def fit(labelled: DataFrame) -> dict:
     }
 
 
+def _judged(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    names = np.array(model["names"], dtype=object)
+    found = [trigrams(t or "") for t in texts]
+    letters = np.array([n for _, n in found])
+    if not len(names):
+        return np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
+    near = _unit(np.stack([c for c, _ in found]), model["idf"]) @ model["centroids"].T
+    best = np.argmax(near, axis=1)
+    score = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
+    none, far = letters == 0, score < model["limits"][best, _band(letters)]
+    return np.where(none, "und", names[best]), np.where(none, 0.0, score), far | none
+
+
 def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and rejected for every row, from the whole text alone.
 
     Null text and text without a letter are ``und`` with score 0, and rejected; so is everything
     if nothing was learned. Equal cosines go to the first language in order of name.
     """
-    names = np.array(model["names"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                found = [trigrams(t or "") for t in texts[lo : lo + 500]]
-                letters = np.array([n for _, n in found])
-                if len(names):
-                    near = _unit(np.stack([c for c, _ in found]), model["idf"]) @ model["centroids"].T
-                    best = np.argmax(near, axis=1)
-                    score = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                    lang, far = names[best], score < model["limits"][best, _band(letters)]
-                else:
-                    score, lang, far = np.zeros(len(found)), np.full(len(found), "und", object), np.ones(len(found), bool)
-                none = letters == 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, len(found)),
-                        pa.array(np.where(none, "und", lang), pa.string()),
-                        pa.array(np.where(none, 0.0, score)),
-                        pa.array(far | none),
-                    ],
-                    names=["doc_id", "lang_pred", "score", "rejected"],
-                )
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                lang, score, rejected = _judged(some.column("text").to_pylist(), model)
+                cols = [some.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, text_col):
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                yield some.filter(pa.array(~_judged(some.column(text_col).to_pylist(), model)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents kept from training: crc32 of the id as text is divisible by five. A null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def learn(docs: DataFrame) -> dict:
+    """The model from those of ``docs`` that aren't held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    return fit(rows.filter(~held_out(F.col("doc_id"))))
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """Learn from the documents that aren't held out; predict all. Repeated rows are each predicted."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = fit(rows.filter(~held_out(F.col("doc_id"))))
-    out = classify(rows, model)
+    out = classify(docs, learn(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

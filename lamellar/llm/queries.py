@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamellar.llm.decontamination import decontaminate
+from lamellar.llm.jaccard_join import jaccard_join
 from lamellar.llm.language_id import language_id
 from lamellar.llm.lm_scoring import lm_scoring
 from lamellar.llm.packing import pack
@@ -37,6 +38,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_token_files": op2_token_files,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_quality_rules": op4_quality_rules,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_best_fit_packing": op6_best_fit_packing,

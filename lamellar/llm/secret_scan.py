@@ -21,6 +21,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
+#: How every match of ASSIGN begins.
+HINT = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 #: Kinds in the order of listing; the last is the method's.
 KINDS = ("assign", "access", "hex", "markov")
 #: Runs that the models judge: characters between LOW and HIGH, of this class and length.
@@ -115,10 +117,9 @@ def secret_scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", tex
     none = F.array().cast("array<struct<kind:int,gap:int,len:int,keep:boolean,nth:int>>")
     yes = lambda x: F.lit(True)
     value = lambda x: F.length(F.regexp_extract(x, ASSIGN, 1)) >= ASSIGN_LEAST
-    hint = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     found = F.concat(
-        F.when(text.rlike(hint), _matches(text, 0, ASSIGN, value)).otherwise(none),
+        F.when(text.rlike(HINT), _matches(text, 0, ASSIGN, value)).otherwise(none),
         F.when(F.contains(text, F.lit("AKIA")), _matches(text, 1, ACCESS, yes)).otherwise(none),
         F.when(text.rlike(HEX), _matches(text, 2, HEX, yes)).otherwise(none),
         F.when(F.exists(runs, lambda x: is_random(x, model)), _matches(text, 3, RUN, lambda x: is_random(x, model))).otherwise(none),
@@ -150,6 +151,26 @@ def secret_scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", tex
     )
 
 
+def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every string that the scan finds in a text replaced by ``mark`` there.
+
+    All within the row, longest strings first; null text stays null, and other columns stay as they are.
+    """
+    text = F.col(text_col)
+    none = F.array().cast("array<string>")
+    all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    value = lambda x: F.length(F.regexp_extract(x, ASSIGN, 1)) >= ASSIGN_LEAST
+    found = F.concat(
+        F.when(text.rlike(HINT), F.filter(all_of(ASSIGN), value)).otherwise(none),
+        F.when(F.contains(text, F.lit("AKIA")), all_of(ACCESS)).otherwise(none),
+        F.when(text.rlike(HEX), all_of(HEX)).otherwise(none),
+        F.filter(all_of(RUN), lambda x: is_random(x, model)),
+    )
+    ranked = F.sort_array(F.transform(F.array_distinct(found), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    replaced = F.aggregate(ranked, text, lambda t, s: F.replace(t, s.x, F.lit(mark)))
+    return docs.withColumn(text_col, replaced)
+
+
 def scan_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fit on samples labelled with the help of ``docs`` and scan all of it."""
     return secret_scan(docs, fit(labelled_samples(docs)))
