@@ -47,7 +47,7 @@ def _anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """Windows with their rarest word in the corpus and its place; ties go to the first place."""
     listed = windows.select("window", F.posexplode("words").alias("place", "word"))
     wanted = listed.select("word").distinct()  # of the windows of one block
-    said = docs.select(F.explode(_words(F.col("text"))).alias("said")).select(F.lower("said").alias("word"))
+    said = docs.select(F.explode_outer(_words(F.col("text"))).alias("said")).select(F.lower("said").alias("word"))
     counts = said.join(F.broadcast(wanted), "word").groupBy("word").agg(F.count("*").alias("n"))
     ranked = listed.join(counts, "word", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "word")).alias("r")
@@ -58,12 +58,13 @@ def _anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, key (of the text), start (from 0), size, items: every occurrence of a window.
 
-    The words of a text go through the join one by one within a stage; the text's own array is
+    The outer form of explode keeps the optimiser from asking first whether there are words, which
+    would split the text twice. The words of a text go through the join one by one within a stage; the text's own array is
     looked at for the few that match and never leaves the stage.
     """
     anchors = F.broadcast(materialise(_anchored(windows, docs), "anchors"))
     rows = docs.select("doc_id", "text", _words(F.col("text")).alias("w"))
-    said = rows.select("doc_id", "text", "w", F.posexplode("w").alias("pos", "said")).withColumn("word", F.lower("said"))
+    said = rows.select("doc_id", "text", "w", F.posexplode_outer("w").alias("pos", "said")).withColumn("word", F.lower("said"))
     start = F.col("pos") - F.col("place")
     fits = (start >= 0) & (start + F.col("size") <= F.size("w"))
     same = F.when(fits, _plain(F.slice("w", start + 1, F.col("size"))) == F.col("window")).otherwise(False)
