@@ -97,7 +97,7 @@ def patch_offsets(spark: SparkSession, d: str) -> DataFrame:
     sizes = [(10, 4), (12, 4), (4, 4), (23, 6)]
     rows = None
     for big, small in sizes:
-        one = spark.range(1).select(F.lit(big).cast("long").alias("big"), F.lit(small).cast("long").alias("small"), F.explode(grid.offsets(big, small)).cast("long").alias("start"))
+        one = spark.range(1).select(F.lit(big).cast("long").alias("big"), F.lit(small).cast("long").alias("small"), F.explode(grid.offsets(big, small)).alias("start")).withColumn("start", F.col("start").cast("long"))
         rows = one if rows is None else rows.union(one)
     return rows
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamellar.sources.storage import read_text
+
 AXES = ("x", "y", "z", "c")
 
 
@@ -53,7 +55,7 @@ def read_zarr(spark: SparkSession, path: str, value: str = "val") -> DataFrame:
 
     Missing chunks hold the fill value and give no rows. Unsigned 64-bit values must fit a long.
     """
-    meta = json.loads(spark.read.option("wholetext", True).text(f"{path}/.zarray").first().value)
+    meta = json.loads(read_text(spark, f"{path}/.zarray"))
     shape, chunk = tuple(meta["shape"]), tuple(meta["chunks"])
     dtype, order, compressor = np.dtype(meta["dtype"]), meta.get("order", "C"), meta.get("compressor")
     ndim = len(shape)
