@@ -15,6 +15,7 @@ from lamellar.llm.lm_scoring import lm_scoring
 from lamellar.llm.packing import pack
 from lamellar.llm.quality_rules import quality_rules
 from lamellar.llm.secret_scan import scan_documents
+from lamellar.llm.statements import statements
 from lamellar.llm.token_counts import token_counts
 from lamellar.llm.token_files import token_files
 from lamellar.llm.url_filter import url_filter
@@ -31,7 +32,7 @@ URL_RULES = [
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(read_table(spark, sf_dir, "documents"))
+    return jaccard_join(read_table(spark, sf_dir, "documents")).drop("key", "stays")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return statements(URL_RULES)

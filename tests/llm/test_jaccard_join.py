@@ -63,7 +63,7 @@ def corpus(seed, n):
         elif kind == 3:
             rows += [" ".join(base[: len(base) - k]) for k in range(6)]
         else:
-            rows.append(rng.choice([None, "", " \t\n", "one", "One two", "one\x1ctwo", "é É é É é É", " ".join(["a", "b"] * 30)]))
+            rows.append(rng.choice([None, "", " \t\n", "one", "One two", "one\x1ctwo", "é É é É é É", "à\u00a0voilà \u0085à la\u2003à", "À voilÀ a\u000bb\x0cc", " ".join(["a", "b"] * 30)]))
     ids = list(range(len(rows)))
     rng.shuffle(ids)
     return [(i if i % 17 else None if i % 2 else i - 1, t) for i, t in zip(ids, rows)]
