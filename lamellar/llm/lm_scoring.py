@@ -60,8 +60,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words, ties by the word itself: ``size`` at most, so the driver may hold them."""
-    return [r.word for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
+    """The most frequent words, ties by the word itself: ``size`` at most, so the driver may hold them.
+
+    Counts are binned by their six leading bits. Only the bin where the vocabulary ends is ordered, so
+    tasks don't each send ``size`` words.
+    """
+    low = F.greatest(F.length(F.bin("n")) - 6, F.lit(0))
+    counts = word_counts(docs).withColumn("bin", F.col("n") - F.col("n") % F.pow(F.lit(2.0), low).cast("long"))
+    counts = materialise(counts, "word-counts")
+    bins = sorted(((r.bin, r.k) for r in counts.groupBy("bin").agg(F.count("*").alias("k")).collect()), reverse=True)  # 32 for each doubling
+    taken, last = 0, 0
+    for last, many in bins:  # noqa: B007
+        if taken + many > size:
+            break
+        taken += many
+    else:
+        last = 0
+    above = counts.filter(F.col("bin") > last).select("word", "n")
+    rest = counts.filter(F.col("bin") == last).orderBy(F.desc("n"), "word").limit(size - taken).select("word", "n")
+    rows = above.collect() + (rest.collect() if last else [])
+    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
 
 
 def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -133,7 +151,8 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     words = vocabulary(rows)
     ids = materialise(encoded(rows, words), "word-ids")
     wanted = labels.filter("wanted").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    model = counts(ids.join(wanted, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))).toArrow()
+    # Always by shuffle: labels grow with the corpus.
+    model = counts(ids.join(wanted.hint("merge"), "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))).toArrow()
     count = np.zeros((2, (1 << SLOT_BITS) + (1 << 16)), np.int64)  # of fixed size
     for k, name in enumerate(("target", "background")):
         count[k, model.column("slot").to_numpy()] = model.column(name).to_numpy()
