@@ -28,7 +28,7 @@ PER_LANGUAGE = 400
 #: Centroids of a language, and rounds of k-means.
 CENTROIDS, ROUNDS = 3, 8
 #: A text may have this part of the least cosine that training texts of its length have.
-ROOM = 0.8
+ROOM = 0.5
 #: Training texts of about one length that are needed for a limit of their own.
 LEAST_SEEN = 5
 
