@@ -26,7 +26,7 @@ WHITE = " \t\n\v\f\r"
 #: Words in a window for repetition.
 WINDOW = 8
 #: A measure's name, and the least spread its fences assume.
-MEASURES = {"symbol_rate": 20, "dup_line_rate": 50, "repeat_rate": 50, "word_length": 50}
+MEASURES = {"symbol_rate": 20, "dup_line_rate": 150, "repeat_rate": 100, "word_length": 50}
 #: A group of fewer documents takes the fences of its language, and that of all documents.
 LEAST_GROUP = 200
 #: Fences lie this many spreads outside the tenths.
