@@ -25,6 +25,8 @@ from lamellar.sources.storage import materialise
 BUCKETS = 4096
 #: Labelled documents of a language that the classifier is fitted on, at most: those with the least hash of the id.
 PER_LANGUAGE = 400
+#: Shares in which the sample of a language is first looked for.
+SHARES = 64
 #: Centroids of a language, and rounds of k-means.
 CENTROIDS, ROUNDS = 3, 8
 #: A text may have this part of the least cosine that training texts of its length have.
@@ -90,8 +92,12 @@ def fit(labelled: DataFrame) -> dict:
     task. The driver gets the document frequencies and, for each language, its centroids and limits.
     """
     ids = labelled.select("doc_id", "lang").filter("lang is not null and doc_id is not null").distinct()
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PER_LANGUAGE).select("doc_id", "lang")
+    # First within a share of a language, so that at most SHARES * PER_LANGUAGE rows of it meet.
+    ids = ids.withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        first = W.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PER_LANGUAGE).drop("nth")
+    ids = ids.select("doc_id", "lang")
     ids = materialise(ids, "lang-sample")
     # Bounded by PER_LANGUAGE times the languages, some 100,000 ids at the most.
     rows = labelled.join(F.broadcast(ids), ["doc_id", "lang"])
