@@ -56,11 +56,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; fewer words are one shingle, none is empty."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    for white in "\t\n\v\f\r":  # other white space belongs to words
+        plain = pc.replace_substring(plain, white, " ")
+    split = pc.split_pattern(plain, " ")
     words = split.flatten()
-    coded = words.dictionary_encode()
+    coded = words.dictionary_encode()  # of bytes, lower() maps A-Z alone
     distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) if w else 0 for w in distinct), np.uint64, len(distinct))
+    table = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) if w else 0 for w in distinct), np.uint64, len(distinct))
     index = coded.indices.to_numpy()
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     empty = np.array([not w for w in distinct], bool)
