@@ -40,7 +40,9 @@ COMBINE, FREQUENT = 2, 16
 #: Where a document has more frequent tokens than this in its prefix, their lists are taken singly.
 MOST_COMBINED = 64
 #: Documents and tokens that a task packs at once.
-PACK_DOCS, PACK_TOKENS = 60_000, 4_000_000
+PACK_DOCS, PACK_TOKENS = 60_000, 1_000_000
+#: Bytes of text that are cut into words at once.
+TEXT_AT_ONCE = 4_000_000
 #: Ids up to this many are broadcast to find the texts of documents that go on; beyond, they are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 #: In a packed list: the token is in several documents of its task.
@@ -153,7 +155,7 @@ def _packer(bits: int):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         total = 0
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, most=TEXT_AT_ONCE):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
             for doc, key, h in zip(ids, keys, shingle_sets(batch.column("text")), strict=True):
                 n = len(h)
@@ -185,50 +187,32 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
+    for batch in in_slices(batches, most=TEXT_AT_ONCE):
         sets = shingle_sets(batch.column("text"))
         for lo in range(0, len(sets), 500):
             some = sets[lo : lo + 500]
             s1, s2 = zip(*map(_signature, some), strict=True)
+            sizes = np.array([len(h) for h in some])
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, len(some)),
-                    pa.array([len(h) for h in some], pa.int64()),
+                    pa.array(sizes),
                     pa.array(s1, pa.int64()),
                     pa.array(s2, pa.int64()),
-                    pa.array([h.tobytes() for h in some], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some).view(np.int64))),
                 ],
                 names=["doc_id", "n", "s1", "s2", "h"],
             )
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            some = batch.slice(lo, 500)
-            sets = [np.frombuffer(x, "<i8") for x in some.column("h").to_pylist()]
-            rid = np.repeat(some.column("rid").to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(sets))], names=["rid", "token"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("hx").to_pylist(), batch.column("hy").to_pylist(), strict=True):
-            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            keep.append(100 * both >= 75 * (len(a) + len(b) - both))
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets overlap enough."""
     left = sets.select(F.col("rid").alias("x"), F.col("h").alias("hx"))
     right = sets.select(F.col("rid").alias("y"), F.col("h").alias("hy"))
-    return pairs.join(right, "y").join(left, "x").select("x", "y", "hx", "hy").mapInArrow(_compared, "x long, y long")
+    both = F.size(F.array_intersect("hx", "hy"))
+    enough = 100 * both >= 75 * (F.size("hx") + F.size("hy") - both)
+    return pairs.join(right, "y").join(left, "x").filter(enough).select("x", "y")
 
 
 def _may_link(a: str, b: str, before: int = 0):
@@ -251,7 +235,7 @@ def _pairs(rows: DataFrame, keys: list[str], before: int | None) -> DataFrame:
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """rid, n, token, df, pos (from 0), central: tokens of the extended prefix that another set has."""
-    tokens = sets.select("rid", "h").mapInArrow(_tokens, "rid long, token long")
+    tokens = sets.select("rid", F.explode("h").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(df, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"), F.avg("df").alias("central"))
     ranked = shared.join(sets.select("rid", "n"), "rid")
@@ -319,7 +303,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if ids.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    made = texts.mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long, h binary")
+    made = texts.mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long, h array<long>")
     own = classes.withColumnRenamed("doc_id", "c_doc")
     made = made.join(own, ["n", "s1", "s2"]).filter(F.col("doc_id").eqNullSafe(F.col("c_doc")))
     sets = materialise(made.select("rid", "n", "h").dropDuplicates(["rid"]), "sets")
