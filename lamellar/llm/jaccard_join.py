@@ -215,21 +215,23 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "y").join(left, "x").filter(enough).select("x", "y")
 
 
-def _may_link(a: str, b: str, before: int = 0):
-    """Length bound, and positional bound if both have ``before`` tokens at most ahead of this one."""
+def _may_link(a: str, b: str, pos: str = "pos", before: int = 0):
+    """Length bound, and positional bound if both have ``before`` tokens at most ahead of the one at ``pos``."""
     col = lambda side, c: F.col(f"{side}.{c}")
     total = col(a, "n") + col(b, "n")
-    rest = F.least(col(a, "n") - col(a, "pos"), col(b, "n") - col(b, "pos"))
+    rest = F.least(col(a, "n") - col(a, pos), col(b, "n") - col(b, pos))
     return (4 * F.least(col(a, "n"), col(b, "n")) >= 3 * F.greatest(col(a, "n"), col(b, "n"))) & (7 * (rest + before) >= 3 * total)
 
 
-def _pairs(rows: DataFrame, keys: list[str], before: int | None) -> DataFrame:
-    """Distinct pairs x < y of different components in one list; ``before`` None: no positional bound."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    near = _may_link("a", "b", before) if before is not None else 4 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n")
-    joined = rows.alias("a").join(rows.alias("b"), same & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.root") != F.col("b.root")) & near)
+def _pairs(rows: DataFrame, tokens: dict[str, str], before: int = 0) -> DataFrame:
+    """Distinct pairs x < y of different components in one list.
+
+    ``tokens``: the list's tokens, in order of rarity, and their positions; ``before`` as above for the first.
+    """
+    on = (F.col("a.rid") < F.col("b.rid")) & (F.col("a.root") != F.col("b.root"))
+    for i, (token, pos) in enumerate(tokens.items()):
+        on = on & (F.col(f"a.{token}") == F.col(f"b.{token}")) & _may_link("a", "b", pos, before + i)
+    joined = rows.alias("a").join(rows.alias("b"), on)
     return joined.select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y")).distinct()
 
 
@@ -259,17 +261,19 @@ def _grouped(sets: DataFrame) -> DataFrame:
     known = entries.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     several = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     left = materialise(known.join(several, "token"), "open-lists")
-    rare = _pairs(left.filter(F.col("df") <= FREQUENT), ["token"], 0)  # ordered by rarity, so the first that both have is among these
+    rare = _pairs(left.filter(F.col("df") <= FREQUENT), {"token": "pos"})  # ordered by rarity, so the first that both have is among these
     often = left.filter(F.col("df") > FREQUENT)
     # A list is taken singly if a document of it has too many frequent tokens to combine.
     many = often.groupBy("rid").agg(F.count("*").alias("many"))
     single = often.join(many, "rid").groupBy("token").agg((F.max("many") > MOST_COMBINED).alias("single"))
     often = materialise(often.join(single, "token"), "frequent")
-    one = _pairs(often.filter("single"), ["token"], COMBINE - 1)  # or else two were combined
-    held = often.filter("not single").groupBy("rid", "n", "root").agg(F.sort_array(F.collect_list("token")).alias("t"))
+    one = _pairs(often.filter("single"), {"token": "pos"}, COMBINE - 1)  # or else two were combined
+    held = often.filter("not single").groupBy("rid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
     held = held.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))))).filter("i < size(t)")
-    combined = held.select("rid", "n", "root", F.element_at("t", F.col("i")).alias("t1"), F.explode(F.expr("slice(t, i + 1, size(t))")).alias("t2"))
-    combined = _pairs(combined, ["t1", "t2"], None)
+    combined = held.select("rid", "n", "root", F.element_at("t", F.col("i")).alias("s"), F.explode(F.expr("slice(t, i + 1, size(t))")).alias("t"))
+    combined = combined.selectExpr("rid", "n", "root", "s.token as t1", "s.pos as p1", "t.token as t2", "t.pos as p2")
+    # The first two tokens that both have keep within the bounds; most other combinations don't.
+    combined = _pairs(combined, {"t1": "p1", "t2": "p2"})
     more = rare.union(one).union(combined).distinct().join(seen, ["x", "y"], "left_anti")
     new = materialise(_links(more, sets), "more-links")
     if new.isEmpty():
