@@ -35,25 +35,59 @@ class Encoder:
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.drops_space, self.room = drops_space, room
         self.known: dict[str, bytes] = {}
+        (self.mark,) = np.frombuffer(self._ids(["0" if drops_space else "\n"])[0], "<u4")
+        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
+    def _joined_ids(self, texts: list[str]) -> list[bytes]:
+        """The same for short pieces, many of them in one text, between marks that are a token of their own."""
+        mark = "0" if self.drops_space else "\n"
+        between = f" {mark} " if self.drops_space else mark
+        plain = [mark not in t and len(t.split()) == 1 and t.lstrip(" ") == t.split()[0] for t in texts]
+        some = [t for t, p in zip(texts, plain, strict=True) if p]
+        groups = [some[lo : lo + 256] for lo in range(0, len(some), 256)]
+        found: list[bytes] = []
+        for group, e in zip(groups, self.batch([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) + 1 != len(group):  # a piece has the mark's token after all
+                found += self._ids(group)
+                continue
+            raw, lo = ids.tobytes(), 0
+            for hi in [*ends.tolist(), len(ids)]:
+                found.append(raw[4 * lo : 4 * hi])
+                lo = hi + 1
+        rest = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
+        done = iter(found)
+        return [next(done) if p else next(rest) for p in plain]
+
     def _text(self, piece: str) -> str:
         """What stands in the text for a piece."""
         if self.drops_space or piece[:1] == "\n":
             return piece
         return piece[1:] if piece[:1] == _FIRST else f" {piece}"
 
+    @staticmethod
+    def _core(piece: str) -> str:
+        """The piece without a comma or full stop behind a letter, where these tokenizers always split."""
+        return piece[:-1] if len(piece) > 2 and piece[-1] in ",." and "A" <= piece[-2] < "\u0250" and piece[-2].isalpha() else piece
+
     def _look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self.known.get, distinct))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for lo in range(0, len(missing), 4096):
-            at = missing[lo : lo + 4096]
-            for i, ids in zip(at, self._ids([self._text(distinct[i]) for i in at]), strict=True):
-                found[i] = ids
-                if len(self.known) < self.room:
-                    self.known[distinct[i]] = ids
+        known, core = self.known, self._core
+        found = list(map(known.get, distinct))
+        missing = [(i, core(distinct[i])) for i, x in enumerate(found) if x is None]
+        new = {c: known.get(c) for _, c in missing}
+        wanted = [c for c, x in new.items() if x is None]
+        for lo in range(0, len(wanted), 4096):
+            some = wanted[lo : lo + 4096]
+            new.update(zip(some, self._joined_ids(list(map(self._text, some))), strict=True))
+        for i, c in missing:
+            piece = distinct[i]
+            found[i] = new[c] if len(c) == len(piece) else new[c] + self.marks[piece[-1]]
+            if len(known) < self.room:
+                known[piece] = found[i]
         return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
