@@ -1,13 +1,16 @@
 """Cross-entropy difference: per-token loss under a target model less that under a background model.
 
-Both are bigram models over one vocabulary, the most frequent words of the whole corpus. The
-background counts all documents, the target those labelled as wanted. Bigram counts are kept in a
-fixed number of hashed slots, and interpolated with word probabilities, so a model's size is fixed
-whatever the corpus; every document is counted.
+Both are bigram models over one vocabulary, all words of the whole corpus. The background counts all
+documents, the target those labelled as wanted. Words are compared as they are, and bigrams by the
+numbers of both words, so no two share a count. Documents are dealt into chunks of bounded size; each
+chunk sends its distinct words, then its distinct bigrams, to the bucket that adds them up, and gets
+back the sums. Nothing of the vocabulary's or the models' size is gathered: chunks and buckets stay as
+large as they are, and their number grows with the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +22,10 @@ from pyspark.sql import functions as F
 from lamellar.llm.tokens import in_slices
 from lamellar.sources.storage import materialise
 
-#: Words of the vocabulary; all others share one more id. Below 65,536.
-VOCABULARY = 32_768
-#: Slots of bigram counts, a power of two.
-SLOT_BITS = 18
+#: Words of the vocabulary: no limit.
+VOCABULARY = None
+#: Bytes of text in a chunk, on average.
+CHUNK_BYTES = 8_000_000
 #: Weight of the word probability in a bigram's, in counts.
 ALPHA = 50.0
 #: Distinct words that a task holds before it hands on partial counts.
@@ -59,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
+def vocabulary(docs: DataFrame, size: int) -> list[str]:
     """The most frequent words, ties by the word itself: ``size`` at most, so the driver may hold them.
 
     Counts are binned by their six leading bits. Only the bin where the vocabulary ends is ordered, so
@@ -82,62 +85,139 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
 
 
-def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id and its words' ids, 1 and up, 0 for others, as little-endian unsigned 16-bit bytes."""
+def slots(ids: np.ndarray) -> np.ndarray:
+    """The key of each bigram of a row of ids: both ids side by side, so each bigram has its own."""
+    return (ids[:-1].astype(np.int64) << 32) | ids[1:].astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(words, pa.large_string())
-        for batch in in_slices(batches):
-            tokens, many = _words(batch.column("text"))
-            at = pc.fill_null(pc.add(pc.index_in(tokens, value_set=known), 1), 0).to_numpy(zero_copy_only=False).astype("<u2")
-            parts = np.split(at, np.cumsum(many)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte of their places."""
+    planes = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def slots(ids: np.ndarray) -> np.ndarray:
-    """The slot of each bigram of a row of ids."""
-    a, b = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<i8").reshape(n)
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """slot, target, background from rows (ids, wanted). Words stand behind the bigrams' slots.
+def _dealt(bucket: np.ndarray, many: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, and (bucket, from, to) of each that has values."""
+    ends = np.cumsum(np.bincount(bucket, minlength=many)).tolist()
+    return np.argsort(bucket, kind="stable"), [(k, lo, hi) for k, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if hi > lo]
 
-    A task adds up its documents and hands on one row per slot at most.
-    """
-    first, size = 1 << SLOT_BITS, (1 << SLOT_BITS) + (1 << 16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size), np.int64)
+def _word_buckets(words: pa.Array, many: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) % many for w in words.to_pylist()), np.int64, len(words))
+
+
+def _bigram_buckets(keys: np.ndarray, many: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(many)).astype(np.int64)
+
+
+def chunks(docs: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
+    """One row per chunk: its documents, its distinct words, and its tokens as places among these."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        words, lengths = _words(left["text"].combine_chunks())
+        coded = words.dictionary_encode()
+        own = pc.is_in(left["doc_id"], value_set=right["doc_id"].combine_chunks()).to_numpy()
+        listed = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (left["doc_id"].combine_chunks(), coded.dictionary.cast(pa.string()))]
+        packed = [pa.array([_packed(v)], pa.binary()) for v in (lengths, own.astype(np.int64), coded.indices.to_numpy())]
+        return pa.table([left["chunk"].combine_chunks()[:1], *listed, *packed, pa.array([len(words)]), pa.array([int(lengths[own].sum())])], schema=schema)
+
+    schema = pa.schema({"chunk": pa.int64(), "doc_ids": pa.list_(pa.int64()), "words": pa.list_(pa.string())} | dict.fromkeys(("lengths", "wanted", "tokens"), pa.binary()) | dict.fromkeys(("background", "target"), pa.int64()))
+    dealt = lambda df, key: df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(many)))
+    left = dealt(docs, F.coalesce("doc_id", F.xxhash64("text"))).groupBy("chunk")
+    made = "chunk long, doc_ids array<long>, words array<string>, lengths binary, wanted binary, tokens binary, background long, target long"
+    return left.cogroup(dealt(wanted, F.col("doc_id")).groupBy("chunk")).applyInArrow(run, made)
+
+
+def word_models(base: DataFrame, many: int) -> DataFrame:
+    """chunk, bucket, ids, target, background for the words of each chunk in the bucket's order, and
+    ``fresh``, distinct words, on one row of each bucket. An id is the bucket's own count and the bucket."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, wanted in zip(batch.column("ids").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u2")
-                at = np.concatenate([slots(ids), first + ids.astype(np.int64)])
-                np.add.at(total[1], at, 1)
-                if wanted:
-                    np.add.at(total[0], at, 1)
-        at = np.flatnonzero(total[1])
-        for lo in range(0, len(at), 50_000):
-            some = at[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["slot", "target", "background"])
-
-    made = rows.select("ids", "wanted").mapInArrow(run, "slot long, target long, background long")
-    return made.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(ids: np.ndarray, count: np.ndarray, words: int) -> float:
-    """Mean loss in nats of a document's words under a model's counts."""
-    first = 1 << SLOT_BITS
-    unigram = count[first : first + words + 1]
-    p = (unigram + 1.0) / (unigram.sum() + words + 1.0)
-    total = -np.log(p[ids[0]])
-    before, after = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
-    total -= np.log((count[slots(ids)] + ALPHA * p[after]) / (unigram[before] + ALPHA)).sum()
-    return float(total / len(ids))
+            for i in range(batch.num_rows):
+                words, tokens = batch.column("words")[i].values, _unpacked(batch.column("tokens")[i].as_py())
+                own = np.repeat(_unpacked(batch.column("wanted")[i].as_py()), _unpacked(batch.column("lengths")[i].as_py()))
+                t, b = (np.bincount(x, minlength=len(words)) for x in (tokens[own > 0], tokens))
+                order, groups = _dealt(_word_buckets(words, many), many)
+                words = words.take(pa.array(order))
+                offsets = pa.array([0, *(hi for _, _, hi in groups)], pa.int32())
+                cols = [pa.array([g[0] for g in groups], pa.int64()), pa.repeat(batch.column("chunk")[i], len(groups)), pa.ListArray.from_arrays(offsets, words)]
+                cols += [pa.array([_packed(x[order[lo:hi]]) for _, lo, hi in groups], pa.binary()) for x in (t, b)]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "words", "target", "background"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        lists = rows["words"].combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        at, distinct, bucket = coded.indices.to_numpy(), len(coded.dictionary), rows["bucket"][0].as_py()
+        ids = at.astype(np.int64) * many + bucket
+        if distinct * many + bucket >= 1 << 31:
+            raise ValueError("more words than ids")
+        return _sums(rows, at, distinct, ids, np.cumsum(pc.list_value_length(lists).to_numpy()))
+
+    sent = base.select("chunk", "words", "lengths", "wanted", "tokens").mapInArrow(send, "bucket long, chunk long, words array<string>, target binary, background binary")
+    return sent.groupBy("bucket").applyInArrow(add, FOUND)
+
+
+FOUND = "chunk long, bucket long, ids binary, target binary, background binary, fresh long"
+
+
+def _sums(rows: pa.Table, at: np.ndarray, distinct: int, ids: np.ndarray | None, ends: np.ndarray) -> pa.Table:
+    """Each sender's values replaced by the sums over all senders; ``at``: the place of each value."""
+    cols = []
+    for name in ("target", "background"):
+        n = np.concatenate([_unpacked(x) for x in rows[name].to_pylist()])
+        total = np.bincount(at, n, distinct).astype(np.int64)  # whole numbers below 2^53
+        cols.append(total[at])
+    cut = lambda v: pa.array([_packed(p) for p in np.split(v, ends[:-1])], pa.binary())
+    fresh = pa.array([distinct] + [0] * (rows.num_rows - 1), pa.int64())
+    named = pa.nulls(rows.num_rows, pa.binary()) if ids is None else cut(ids)
+    names = ["chunk", "bucket", "ids", "target", "background", "fresh"]
+    return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), named, *map(cut, cols), fresh], names=names)
+
+
+def _numbered(chunk: pa.Table, found: pa.Table, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's tokens as global ids, its documents' lengths, which bigrams of the row lie within one document, and words' sums."""
+    words = chunk["words"].combine_chunks().flatten()
+    order, _ = _dealt(_word_buckets(words, many), many)
+    cols = np.zeros((3, len(words)), np.int64)
+    rows = found.sort_by("bucket")
+    for col, name in zip(cols, ("ids", "target", "background"), strict=True):
+        if len(words):
+            col[order] = np.concatenate([_unpacked(x) for x in rows[name].to_pylist()])
+    tokens, lengths = _unpacked(chunk["tokens"][0].as_py()), _unpacked(chunk["lengths"][0].as_py())
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    return tokens, doc, np.flatnonzero(doc[:-1] == doc[1:]), cols
+
+
+def bigram_models(base: DataFrame, words: DataFrame, many: int) -> DataFrame:
+    """chunk, bucket, target, background for the bigrams of each chunk, in order by bucket and key."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens, doc, within, (ids, _, _) = _numbered(left, right, many)
+        keys, at = np.unique(slots(ids[tokens])[within], return_inverse=True)
+        own = _unpacked(left["wanted"][0].as_py())[doc[within]] > 0
+        t, b = (np.bincount(x, minlength=len(keys)) for x in (at[own], at))
+        order, groups = _dealt(_bigram_buckets(keys, many), many)
+        cols = [pa.array([_packed(x[order[lo:hi]]) for _, lo, hi in groups], pa.binary()) for x in (keys, t, b)]
+        head = [pa.array([g[0] for g in groups], pa.int64()), pa.array([left["chunk"][0].as_py()] * len(groups), pa.int64())]
+        return pa.table([*head, *cols], names=["bucket", "chunk", "keys", "target", "background"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        parts = [_unpacked(x) for x in rows["keys"].to_pylist()]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        return _sums(rows, at, len(keys), None, np.cumsum([len(p) for p in parts]))
+
+    sent = base.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, keys binary, target binary, background binary")
+    return sent.groupBy("bucket").applyInArrow(add, FOUND)
 
 
 def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,26 +228,38 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     background and scored; repeated rows count each time. An empty corpus gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = vocabulary(rows)
-    ids = materialise(encoded(rows, words), "word-ids")
-    wanted = labels.filter("wanted").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    # Always by shuffle: labels grow with the corpus.
-    model = counts(ids.join(wanted.hint("merge"), "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))).toArrow()
-    count = np.zeros((2, (1 << SLOT_BITS) + (1 << 16)), np.int64)  # of fixed size
-    for k, name in enumerate(("target", "background")):
-        count[k, model.column("slot").to_numpy()] = model.column(name).to_numpy()
-    size = len(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            many, loss = [], []
-            for raw in batch.column("ids").to_pylist():
-                text = np.frombuffer(raw, "<u2")
-                many.append(len(text))
-                loss.append([losses(text, c, size) for c in count] if len(text) else [None, None])
-            t, b = ([x[k] for x in loss] for k in (0, 1))
-            score = [None if x is None else x - y for x, y in zip(t, b, strict=True)]
-            cols = [batch.column("doc_id"), pa.array(many, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, score))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    many = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES
+    wanted = labels.filter("wanted and doc_id is not null").select("doc_id").distinct()
+    base = materialise(chunks(rows, wanted, many), "chunks")
+    words = materialise(word_models(base, many), "words")
+    pairs = materialise(bigram_models(base, words, many), "bigrams")
+    tokens = base.agg(F.sum("target"), F.sum("background")).first()
+    distinct = words.agg(F.sum("fresh")).first()[0] or 0
+    sums = [float((n or 0) + distinct + 1) for n in tokens]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_word = pc.is_valid(right["ids"])
+        tokens, doc, within, (ids, *counts) = _numbered(left, right.filter(of_word), many)
+        keys, at = np.unique(slots(ids[tokens])[within], return_inverse=True)
+        order, _ = _dealt(_bigram_buckets(keys, many), many)
+        found = right.filter(pc.invert(of_word)).sort_by("bucket")
+        lengths = _unpacked(left["lengths"][0].as_py())
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        losses = []
+        for name, unigram, total in zip(("target", "background"), counts, sums, strict=True):
+            n = np.zeros(len(keys), np.int64)
+            if len(keys):
+                n[order] = np.concatenate([_unpacked(x) for x in found[name].to_pylist()])
+            p = (unigram + 1.0) / total
+            loss = np.zeros(len(tokens))
+            loss[first] = -np.log(p[tokens[first]])
+            before, after = tokens[within], tokens[within + 1]
+            loss[within + 1] = -np.log((n[at] + ALPHA * p[after]) / (unigram[before] + ALPHA))
+            losses.append(np.bincount(doc, loss, len(lengths)) / np.maximum(lengths, 1))
+        none = lengths == 0
+        t, b = losses
+        cols = [left["doc_ids"].combine_chunks().flatten(), pa.array(lengths), *(pa.array(x, mask=none) for x in (t, b, t - b))]
+        return pa.table(cols, names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    scored = base.groupBy("chunk").cogroup(words.union(pairs).groupBy("chunk"))
+    return scored.applyInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -177,6 +177,28 @@ def test_lm_scoring(spark, monkeypatch):
     assert lm_scoring.lm_scoring(df.limit(0), spark.createDataFrame(labels, "doc_id long, wanted boolean")).count() == 0
 
 
+def test_lm_scoring_counts_are_exact(spark, monkeypatch):
+    """More words than 32,768 and more bigrams than 2^18, against counts by the words themselves, in several chunks."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 600_000)
+    rng = random.Random(6)
+    texts = [[f"w{int(40_000 * rng.random() ** 1.5)}" for _ in range(1000)] for _ in range(320)] + [["often", "pair"] * 3000, ["once"], []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.lm_scoring(docs, spark.createDataFrame([(i, i % 3 == 0) for i in range(300)], "doc_id long, wanted boolean")).collect()}
+    many = len({w for t in texts for w in t})
+    assert many > 32_768 and len({b for t in texts for b in zip(t, t[1:])}) > 1 << 18 and len(got) == len(texts)
+    for name, use in (("loss_target", lambda i: i < 300 and i % 3 == 0), ("loss_background", lambda i: True)):
+        uni = Counter(w for i, t in enumerate(texts) if use(i) for w in t)
+        bi = Counter(b for i, t in enumerate(texts) if use(i) for b in zip(t, t[1:]))
+        n = uni.total()
+        p = lambda w: (uni[w] + 1) / (n + many + 1)  # noqa: B023, E731
+        for i, t in enumerate(texts):
+            if not t:
+                assert got[i][name] is None
+                continue
+            rest = [(bi[a, b] + lm_scoring.ALPHA * p(b)) / (uni[a] + lm_scoring.ALPHA) for a, b in zip(t, t[1:])]
+            assert all(x <= 1 for x in rest) and abs(got[i][name] + (math.log(p(t[0])) + sum(map(math.log, rest))) / len(t)) < 1e-9
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.language_id(docs)
