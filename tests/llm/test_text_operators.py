@@ -104,6 +104,17 @@ def test_quality_rules_edges(spark):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_drop_repeats_below_the_fixed_cutoff(spark):
+    plain = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    data = [(i, plain(i, 100), "en", "s") for i in range(300)]
+    data += [(1000, " ".join([plain(1, 12)] * 2 + [plain(2, 76)]), "en", "s")]  # 240 of 1000 words repeat
+    data += [(1001, "\n".join(["one line"] * 4 + [plain(k, 9) for k in range(6)]), "en", "s")]  # 3 of 10 lines
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert got[1000].n_repeat_words == 24 and got[1001].n_dup_lines == 3
+    assert all(not got[i].base_failed and not got[i].kept for i in (1000, 1001))
+
+
 KW = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
