@@ -167,8 +167,8 @@ def components_label6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_label_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh voxel is a node; the labels are those of the components."""
-    nodes = voxels(spark, d).select("x", "y", "z", (F.col("x") * 100 + F.col("y") * 10 + F.col("z")).alias("node")).filter("node % 7 = 0")
+    """Every voxel is a node; the labels are those of the components."""
+    nodes = voxels(spark, d).select("x", "y", "z", (F.col("x") * 100 + F.col("y") * 10 + F.col("z")).alias("node"))
     return segmentation.label_lookup(nodes, components_affinity(spark, d)).select("node", "pred")
 
 

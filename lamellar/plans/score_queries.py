@@ -185,7 +185,7 @@ def exp_name_regex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def experiment_name(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "events").filter("event_id % 50 = 0")
+    rows = read_table(spark, d, "events")
     text = {key: F.lit(f"v{i}") for i, (_, key) in enumerate(sweep.NAME_PARTS)} | {"seed": (F.col("user_id") % 7).cast("string")}
     return rows.select("event_id", sweep.experiment_name(F.col("ts"), text.__getitem__).alias("name"))
 
