@@ -182,8 +182,7 @@ def clip_rescale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
-    part = grid.box(voxels(spark, d).select("x", "y", "z", "raw"), (0, 0, 0), 10)
-    return grid.blurred(part, "raw").select(*(F.col(a).cast("long").alias(a) for a in "xyz"), F.round("raw", 6).alias("val"))
+    return grid.blurred(voxels(spark, d).select("x", "y", "z", "raw"), "raw").select(*(F.col(a).cast("long").alias(a) for a in "xyz"), F.round("raw", 6).alias("val"))
 
 
 def concat_union(spark: SparkSession, d: str) -> DataFrame:
@@ -194,11 +193,12 @@ def concat_union(spark: SparkSession, d: str) -> DataFrame:
 
 def aug_flip_rot(spark: SparkSession, d: str) -> DataFrame:
     """Axes z, x, y; a quarter turn from x to y; a half turn from y to z; flipped along z."""
-    part = sampling.permuted(grid.box(voxels(spark, d).select("x", "y", "z", "seg"), (0, 0, 0), 10), ("z", "x", "y"))
-    shape = {a: 10 for a in "xyz"}
-    part = sampling.rotated(part, "x", "y", 1, shape)
-    part = sampling.rotated(part, "y", "z", 2, shape)
-    return sampling.flipped(part, "z", 10)
+    v = voxels(spark, d).select("x", "y", "z", "seg")
+    nx, ny, nz = segmentation.shape_of(v)
+    part = sampling.permuted(v, ("z", "x", "y"))
+    part = sampling.rotated(part, "x", "y", 1, {"x": nz, "y": nx, "z": ny})
+    part = sampling.rotated(part, "y", "z", 2, {"x": nx, "y": nz, "z": ny})
+    return sampling.flipped(part, "z", ny)
 
 
 def aug_drop(spark: SparkSession, d: str) -> DataFrame:
@@ -207,9 +207,10 @@ def aug_drop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aug_shift(spark: SparkSession, d: str) -> DataFrame:
-    part = grid.box(voxels(spark, d).select("x", "y", "z", "raw"), (0, 0, 0), 10)
-    shifts = spark.range(10).filter("id % 2 = 0").selectExpr("id as x", "id - 7 as shift_z", "3 - id as shift_y")
-    return sampling.shift_slices(part, "x", shifts, {a: 10 for a in "xyz"})
+    part = voxels(spark, d).select("x", "y", "z", "raw")
+    shape = segmentation.shape_of(part)
+    shifts = spark.range(shape[0]).filter("id % 2 = 0").selectExpr("id as x", "id - 7 as shift_z", "3 - id as shift_y")
+    return sampling.shift_slices(part, "x", shifts, dict(zip("xyz", shape, strict=True)))
 
 
 def aug_intensity(spark: SparkSession, d: str) -> DataFrame:
@@ -222,9 +223,9 @@ def aug_noise(spark: SparkSession, d: str) -> DataFrame:
 
 def aug_affine(spark: SparkSession, d: str) -> DataFrame:
     """Moved by half a voxel along x and 1.25 along z."""
-    part = grid.box(voxels(spark, d).select("x", "y", "z", "raw"), (0, 0, 0), 10)
+    part = voxels(spark, d).select("x", "y", "z", "raw")
     m = [[1, 0, 0, 0.5], [0, 1, 0, 0], [0, 0, 1, 1.25]]
-    return sampling.affine(part, "raw", m, (10, 10, 10)).select("x", "y", "z", F.round("raw", 6).alias("raw"))
+    return sampling.affine(part, "raw", m, segmentation.shape_of(part)).select("x", "y", "z", F.round("raw", 6).alias("raw"))
 
 
 def sample_positions(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Queries take every row of their tables."""
 
+import math
+
+import numpy as np
+
 import __spark_entry__ as entry
 from lamellar.sources.fixtures import voxels
 
@@ -12,3 +16,29 @@ def test_every_event_is_named_and_every_voxel_looked_up(spark):
     want = {r.x * 100 + r.y * 10 + r.z: r.seg for r in entry.queries()["components_affinity"](spark, SF).collect()}
     got = {r.node: r.pred for r in entry.queries()["node_label_lookup"](spark, SF).collect()}
     assert got == want and len(got) == voxels(spark, SF).count()
+
+
+def test_whole_volume_is_blurred_turned_shifted_and_moved(spark):
+    v = {(r.x, r.y, r.z): r for r in voxels(spark, SF).collect()}
+    nx, ny, nz = (max(k[a] for k in v) + 1 for a in range(3))
+    assert nx > 10 and len(v) == nx * ny * nz
+    run = lambda name, c: {(r.x, r.y, r.z): r[c] for r in entry.queries()[name](spark, SF).collect()}
+    # From axes (z, x, y): x' = nx - 1 - x, y' = nz - 1 - z, z' = y.
+    assert run("aug_flip_rot", "seg") == {(nx - 1 - x, nz - 1 - z, y): r.seg for (x, y, z), r in v.items()}
+    moved = {(x, y if x % 2 else (y + 3 - x) % ny, z if x % 2 else (z + x - 7) % nz): r.raw for (x, y, z), r in v.items()}
+    assert run("aug_shift", "raw") == moved
+    raw = np.zeros((nx, ny, nz))
+    for k, r in v.items():
+        raw[k] = r.raw
+    kernel = np.array([math.exp(-d * d / 8) for d in range(-8, 9)])
+    blurred = raw
+    for axis in range(3):
+        blurred = np.apply_along_axis(lambda line: np.convolve(np.pad(line, 8, "symmetric"), kernel / kernel.sum(), "valid"), axis, blurred)
+    got = run("gaussian_blur", "val")
+    assert got.keys() == v.keys() and all(abs(got[k] - blurred[k]) < 2e-6 for k in v)
+    mirror = lambda i, n: min(i % (2 * n - 2), 2 * n - 2 - i % (2 * n - 2))
+    got = run("aug_affine", "raw")
+    assert got.keys() == v.keys()
+    for x, y, z in v:
+        at = lambda i, k: raw[mirror(x + i, nx), y, mirror(z + 1 + k, nz)]  # noqa: B023, E731
+        assert abs(got[x, y, z] - sum(0.5 * (0.25 if k else 0.75) * at(i, k) for i in (0, 1) for k in (0, 1))) < 2e-6
