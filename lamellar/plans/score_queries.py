@@ -9,7 +9,7 @@ from lamellar.functions import scalar
 from lamellar.operators import information, segmentation, selection, skeleton, stats, sweep
 from lamellar.plans.grid_queries import COMPONENTS_SQL
 from lamellar.sources.fixtures import NODES_SQL, skeleton_edges, skeleton_nodes, voxels
-from lamellar.sources.storage import read_table
+from lamellar.sources.storage import materialise, read_table
 
 
 def _both(spark, d):
@@ -105,17 +105,27 @@ def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep(spark, d):
-    """nerl, voi_sum and n_non0_mergers of stand-in labels at every threshold: nodes below it are omitted.
+    """nerl, voi_sum and n_non0_mergers of the segments of predicted affinities at every threshold.
 
-    One pass for all thresholds: a node and an edge are taken at each, which multiplies them by a fixed number.
+    Labelled voxels are the skeletons' nodes, in raster order along each. Each threshold is a labelling of its own.
     """
-    nodes, _ = _both(spark, d)
-    grid = F.broadcast(selection.threshold_grid(spark))  # 13 rows
-    at = nodes.join(grid).withColumn("seg", F.when((F.col("node") * 7919) % 10000 / 10000.0 > F.col("thr") * 0.5, F.col("seg")).otherwise(0))
-    merging = at.groupBy("ord", "seg").agg(F.count_distinct("skel").alias("k")).filter("k > 1 and seg <> 0 and seg >= 1000000")
-    kept = at.groupBy("ord", "thr").agg(F.avg((F.col("seg") != 0).cast("double")).alias("nerl"), (F.count_if(F.col("seg") == 0) / F.count("*")).alias("voi_sum"))
-    many = merging.groupBy("ord").agg(F.sum("k").alias("m"))
-    return kept.join(many, "ord", "left").select("ord", "thr", "nerl", "voi_sum", F.coalesce("m", F.lit(0)).alias("n_non0_mergers"))
+    v = materialise(voxels(spark, d), "sweep-voxels")
+    shape = segmentation.shape_of(v)
+    at = [F.col(a).cast("long") for a in "xyz"]
+    node = (at[0] * shape[1] + at[1]) * shape[2] + at[2]
+    places = [(n * F.col(a)).cast("double").alias(f"p{a}") for a, n in zip("xyz", (9, 9, 20), strict=True)]
+    truth = materialise(v.filter("seg > 0").select("x", "y", "z", F.col("seg").alias("skel"), node.alias("n"), node.alias("node"), *places), "sweep-nodes")
+    out = None
+    for r in selection.threshold_grid(spark).collect():  # 13 rows
+        seg = segmentation.affinity_components(segmentation.hard(v, r.thr), shape)
+        nodes = materialise(segmentation.label_lookup(truth, seg).withColumnRenamed("pred", "seg"), "sweep-labels")
+        nerl = skeleton.normalised_run_length(nodes, skeleton_edges(nodes), [0]).select("nerl")
+        mergers = skeleton.n_mergers(skeleton.pair_counts(nodes)).select("n_non0_mergers")
+        one = nerl.crossJoin(F.broadcast(information.voi(nodes).select("voi_sum"))).crossJoin(F.broadcast(mergers))
+        one = one.select(F.lit(r.ord).alias("ord"), F.lit(r.thr).alias("thr"), "nerl", "voi_sum", "n_non0_mergers")
+        one = materialise(one, "sweep-scores")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +133,7 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(selection.best_threshold(_rounded(_sweep(spark, d), 2)))
+    return _rounded(selection.best_threshold(_sweep(spark, d)))
 
 
 def best_no_merge(spark: SparkSession, d: str) -> DataFrame:
