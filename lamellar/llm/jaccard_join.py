@@ -6,14 +6,19 @@ least ``k`` tokens among the first ``n - ceil(0.75 n) + k`` of each, in whatever
 1. *Shared tokens.* Every task sends a hash-ordered, extended prefix of its documents' tokens, packed,
    to tasks by hash range, and learns how many of each document's occur in another document. Few
    documents have enough of them to have any partner; only those go on, one of each class of equal sets.
-2. *Prefixes.* Tokens are ordered by rarity among these. The prefix is extended by ``COMBINE - 1``.
+2. *Prefixes.* Tokens are ordered by rarity among these.
 3. *Centres.* Of each token's list, the document with the most common tokens is compared with the
-   others. Links make components; documents of one component need no further comparison.
-4. *Combinations.* Lists that still hold several components: rare tokens are indexed one by one, and
-   frequent tokens by combinations of two, since two sets share a rare token there or two frequent
-   ones. Pairs from different components are compared.
-
-Every comparison is exact on the sets. All candidates from different components are compared, so
+   others. Links make components; documents of one component need no further comparison. Lists that
+   still hold several components get another centre, as long as that links a fair share of what it
+   is compared with.
+4. *Combinations.* Documents of such lists: a rare token is indexed by itself, frequent tokens by
+   combinations of two that follow each other in the order. Two sets that link differ in few tokens,
+   so these can't part all tokens that both have: the prefix of frequent tokens is extended until two
+   such tokens must stand side by side in both. A document has fewer combinations than tokens.
+   Pairs from different components are compared.
+
+A pair becomes a row only if lengths, positions and parity sketches of both sets allow a link, and
+none of the keys just before is common to both. Every such pair is compared exactly on the sets, so
 the groups are those of all links.
 """
 
@@ -37,8 +42,12 @@ from lamellar.sources.storage import materialise
 SHINGLE = 5
 #: Tokens of a combination for frequent tokens; a token in more sets than FREQUENT is frequent.
 COMBINE, FREQUENT = 2, 16
-#: Where a document has more frequent tokens than this in its prefix, their lists are taken singly.
-MOST_COMBINED = 64
+#: Bits of a set's parity sketch: each is the parity of the number of tokens that fall there.
+PARITY_BITS = 1024
+#: Keys before a key by which a pair met there before is known, to make fewer rows; the rest is left to distinct().
+BEFORE = 8
+#: Another centre is tried as long as one in so many comparisons of a round makes a link.
+WORTH = 8
 #: Documents and tokens that a task packs at once.
 PACK_DOCS, PACK_TOKENS = 60_000, 1_000_000
 #: Bytes of text that are cut into words at once.
@@ -186,6 +195,15 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uid": found, "outside": many})
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each set: the parity of its tokens in each of PARITY_BITS classes."""
+    doc = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+    token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = doc * PARITY_BITS + ((token >> np.uint64(20)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * PARITY_BITS).reshape(len(sets), PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd, axis=1).view("<i8")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, most=TEXT_AT_ONCE):
         sets = shingle_sets(batch.column("text"))
@@ -194,6 +212,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s1, s2 = zip(*map(_signature, some), strict=True)
             sizes = np.array([len(h) for h in some])
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            words = _parities(some)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, len(some)),
@@ -201,13 +220,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(s1, pa.int64()),
                     pa.array(s2, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel())),
                 ],
-                names=["doc_id", "n", "s1", "s2", "h"],
+                names=["doc_id", "n", "s1", "s2", "h", "parity"],
             )
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets overlap enough."""
+def _may_differ(x: str, y: str):
+    """Whether parity sketches allow a link: they differ in no more places than the sets in tokens, a seventh of both at most."""
+    apart = sum((F.bit_count(F.get(f"{x}.parity", F.lit(i)).bitwiseXOR(F.get(f"{y}.parity", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return 7 * apart <= F.col(f"{x}.n") + F.col(f"{y}.n")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
+    """The pairs (x, y) whose sets overlap enough; ``sketched``: their sketches have been compared."""
+    if not sketched:
+        small = sets.select("rid", "n", "parity")
+        pairs = pairs.join(small.alias("b"), F.col("y") == F.col("b.rid")).join(small.alias("a"), (F.col("x") == F.col("a.rid")) & _may_differ("a", "b"))
+        pairs = pairs.select("x", "y")
     left = sets.select(F.col("rid").alias("x"), F.col("h").alias("hx"))
     right = sets.select(F.col("rid").alias("y"), F.col("h").alias("hy"))
     both = F.size(F.array_intersect("hx", "hy"))
@@ -215,70 +245,116 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "y").join(left, "x").filter(enough).select("x", "y")
 
 
-def _may_link(a: str, b: str, pos: str = "pos", before: int = 0):
-    """Length bound, and positional bound if both have ``before`` tokens at most ahead of the one at ``pos``."""
+def _may_link(a: str, b: str, before=0):
+    """Bounds on lengths, on the tokens left behind the positions, with ``before`` common ones at most ahead, and on places."""
     col = lambda side, c: F.col(f"{side}.{c}")
     total = col(a, "n") + col(b, "n")
-    rest = F.least(col(a, "n") - col(a, pos), col(b, "n") - col(b, pos))
-    return (4 * F.least(col(a, "n"), col(b, "n")) >= 3 * F.greatest(col(a, "n"), col(b, "n"))) & (7 * (rest + before) >= 3 * total)
+    rest_a, rest_b = col(a, "n") - col(a, "pos"), col(b, "n") - col(b, "pos")
+    apart = F.abs(col(a, "pos") - col(b, "pos")) + F.abs(rest_a - rest_b)
+    near = 4 * F.least(col(a, "n"), col(b, "n")) >= 3 * F.greatest(col(a, "n"), col(b, "n"))
+    return near & (7 * apart <= total) & (7 * (F.least(rest_a, rest_b) + before) >= 3 * total)
 
 
-def _pairs(rows: DataFrame, tokens: dict[str, str], before: int = 0) -> DataFrame:
-    """Distinct pairs x < y of different components in one list.
+def _ranked(sets: DataFrame) -> DataFrame:
+    """rid, n, alone, rare, central, list: the tokens that another set has, from the rarest on, as far as any index needs them.
 
-    ``tokens``: the list's tokens, in order of rarity, and their positions; ``before`` as above for the first.
+    ``alone`` tokens are in no other set and come first in the order; ``rare`` counts these and the rare ones.
     """
-    on = (F.col("a.rid") < F.col("b.rid")) & (F.col("a.root") != F.col("b.root"))
-    for i, (token, pos) in enumerate(tokens.items()):
-        on = on & (F.col(f"a.{token}") == F.col(f"b.{token}")) & _may_link("a", "b", pos, before + i)
-    joined = rows.alias("a").join(rows.alias("b"), on)
-    return joined.select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y")).distinct()
-
-
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """rid, n, token, df, pos (from 0), central: tokens of the extended prefix that another set has."""
     tokens = sets.select("rid", F.explode("h").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(df, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"), F.avg("df").alias("central"))
-    ranked = shared.join(sets.select("rid", "n"), "rid")
-    need = F.expr("(3 * n + 3) div 4")
-    alone = F.col("n") - F.size("list")  # these come first in the order
-    ranked = ranked.filter(F.size("list") >= need).withColumn("alone", alone)
-    most = (F.col("n") - need + COMBINE - F.col("alone")).cast("int")
+    shared = tokens.join(df, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"), F.sum("df").alias("common"))
+    rows = shared.join(sets.select("rid", "n"), "rid").withColumn("alone", F.col("n") - F.size("list"))
+    rows = rows.filter(F.size("list") >= F.expr("(3 * n + 3) div 4"))
+    rows = rows.withColumn("rare", F.col("alone") + F.size(F.filter("list", lambda t: t.df <= FREQUENT)))
+    spare, apart = _budgets()
+    most = F.greatest(F.col("n") - F.expr("(3 * n + 3) div 4") + 1 - F.col("alone"), F.col("rare") - F.col("alone") + spare + apart + COMBINE)
+    return rows.select("rid", "n", "alone", "rare", (F.col("common") / F.col("n")).alias("central"), F.slice("list", F.lit(1), most.cast("int")).alias("list"))
+
+
+def _budgets():
+    """Of a set whose rare tokens a partner has none of: how many frequent ones the partner may lack, and how many may be in one of both alone."""
+    own = F.col("n") - F.expr("(3 * n + 3) div 4") - F.col("rare")
+    return F.greatest(own, F.lit(0)), F.greatest(F.expr("n div 3") - F.col("rare"), F.lit(0))
+
+
+def _entries(ranked: DataFrame) -> DataFrame:
+    """rid, n, central, token, pos (from 0): the prefix of which two sets that link share a token."""
+    most = (F.col("n") - F.expr("(3 * n + 3) div 4") + 1 - F.col("alone")).cast("int")
     listed = ranked.filter(most > 0).select("rid", "n", "alone", "central", F.posexplode(F.slice("list", F.lit(1), most)).alias("at", "t"))
-    return listed.select("rid", "n", "central", "t.token", "t.df", (F.col("alone") + F.col("at")).alias("pos"))
+    return listed.select("rid", "n", "central", "t.token", (F.col("alone") + F.col("at")).alias("pos"))
 
 
-def _grouped(sets: DataFrame) -> DataFrame:
-    """(rid, root) for the sets that have a link."""
-    entries = materialise(_prefixes(sets), "prefixes")
-    centre = entries.groupBy("token").agg(F.max(F.struct("central", "rid", "n", "pos")).alias("c"))
-    centre = centre.select("token", F.col("c.rid").alias("rid"), F.col("c.n").alias("n"), F.col("c.pos").alias("pos"))
-    star = entries.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.rid") != F.col("b.rid")) & _may_link("a", "b"))
-    seen = materialise(star.select(F.least("a.rid", "b.rid").alias("x"), F.greatest("a.rid", "b.rid").alias("y")).distinct(), "centre-pairs")
-    links = materialise(_links(seen, sets), "links")
-    roots = materialise(connected_components(links, "x", "y"), "roots")
-    known = entries.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+def _keys(ranked: DataFrame) -> DataFrame:
+    """rid, n, key, pos, ahead and before: rare tokens of the prefix, then combinations of frequent ones.
+
+    ``pos`` is the place of the key's first token, ``ahead`` how many tokens before it may be common to
+    a partner met here first, ``before`` the keys just before.
+    """
+    spare, apart = _budgets()
+    few = F.least(F.col("rare"), F.col("n") - F.expr("(3 * n + 3) div 4") + 1) - F.col("alone")
+    rare = F.transform(F.slice("list", F.lit(1), F.greatest(few, F.lit(0)).cast("int")), lambda t, i: F.struct(t.token.alias("key"), (F.col("alone") + i).alias("pos"), F.lit(0).cast("long").alias("ahead")))
+    often = F.expr("slice(list, cast(rare - alone + 1 as int), size(list))")
+    # With more rare tokens than a partner may lack, it shares one of them.
+    many = F.when(F.col("rare") <= F.col("n") - F.expr("(3 * n + 3) div 4"), F.least(spare + apart + 1, F.greatest(F.size("often") - 1, F.lit(0)))).otherwise(F.lit(0))
+    pair = lambda t, i: F.xxhash64(t.token, F.get("often", i + 1).token)
+    combined = F.transform(F.slice("often", F.lit(1), many.cast("int")), lambda t, i: F.struct(pair(t, i).alias("key"), (F.col("rare") + i).alias("pos"), F.least(i.cast("long"), apart).alias("ahead")))
+    rows = ranked.withColumn("often", often).select("rid", "n", F.concat(rare, combined).alias("k"))
+    rows = rows.select("rid", "n", F.transform("k", lambda x: x.key).alias("all"), F.posexplode("k").alias("at", "k"))
+    before = F.slice("all", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(BEFORE)))
+    return rows.select("rid", "n", "k.key", "k.pos", "k.ahead", before.alias("before"))
+
+
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, root) of all members, components joined by the links (x, y) between them."""
+    edge = links.join(members.select(F.col("rid").alias("x"), F.col("root").alias("u")), "x").join(members.select(F.col("rid").alias("y"), F.col("root").alias("v")), "y")
+    roots = connected_components(edge, "u", "v").select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return materialise(members.join(roots, "root", "left").select("rid", F.coalesce("least", "root").alias("root")), "roots")
+
+
+def _open(entries: DataFrame, members: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, with the root of each."""
+    known = entries.join(members, "rid")
     several = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = materialise(known.join(several, "token"), "open-lists")
-    rare = _pairs(left.filter(F.col("df") <= FREQUENT), {"token": "pos"})  # ordered by rarity, so the first that both have is among these
-    often = left.filter(F.col("df") > FREQUENT)
-    # A list is taken singly if a document of it has too many frequent tokens to combine.
-    many = often.groupBy("rid").agg(F.count("*").alias("many"))
-    single = often.join(many, "rid").groupBy("token").agg((F.max("many") > MOST_COMBINED).alias("single"))
-    often = materialise(often.join(single, "token"), "frequent")
-    one = _pairs(often.filter("single"), {"token": "pos"}, COMBINE - 1)  # or else two were combined
-    held = often.filter("not single").groupBy("rid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    held = held.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))))).filter("i < size(t)")
-    combined = held.select("rid", "n", "root", F.element_at("t", F.col("i")).alias("s"), F.explode(F.expr("slice(t, i + 1, size(t))")).alias("t"))
-    combined = combined.selectExpr("rid", "n", "root", "s.token as t1", "s.pos as p1", "t.token as t2", "t.pos as p2")
-    # The first two tokens that both have keep within the bounds; most other combinations don't.
-    combined = _pairs(combined, {"t1": "p1", "t2": "p2"})
-    more = rare.union(one).union(combined).distinct().join(seen, ["x", "y"], "left_anti")
-    new = materialise(_links(more, sets), "more-links")
-    if new.isEmpty():
-        return roots.select(F.col("node").alias("rid"), "root")
-    return materialise(connected_components(links.union(new), "x", "y"), "roots").select(F.col("node").alias("rid"), "root")
+    return known.join(several, "token")
+
+
+def _grouped(sets: DataFrame) -> DataFrame:
+    """(rid, root) for the sets that may have a link."""
+    ranked = materialise(_ranked(sets), "ranked")
+    entries = _entries(ranked)
+    members = ranked.select("rid", F.col("rid").alias("root"))
+    open_lists = entries.withColumn("root", F.col("rid"))
+    used = None
+    while True:
+        rows = open_lists
+        if used is not None:  # the largest component's, of those that haven't been
+            size = rows.groupBy("token", "root").agg(F.count("*").alias("size"))
+            rows = rows.join(size, ["token", "root"]).join(used, ["token", "rid"], "left_anti")
+        best = F.max(F.struct(*(["size"] if used is not None else []), "central", "rid", "n", "pos", "root")).alias("c")
+        centre = rows.groupBy("token").agg(best).select("token", "c.rid", "c.n", "c.pos", "c.root")
+        centre = materialise(centre, "centres")
+        star = open_lists.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", F.least("a.pos", "b.pos")))
+        compared = materialise(star.select(F.least("a.rid", "b.rid").alias("x"), F.greatest("a.rid", "b.rid").alias("y")).distinct(), "centre-pairs")
+        links = materialise(_links(compared, sets), "links")
+        found = links.count()
+        if found:
+            members = _joined(members, links)
+        if WORTH * found < compared.count() or not found:
+            break
+        now = centre.select("token", "rid")
+        used = now if used is None else used.union(now)
+        open_lists = materialise(_open(entries, members), "open-lists")
+    left = _open(entries, members).select("rid").distinct()
+    keys = _keys(ranked.join(left, "rid", "left_semi")).join(members, "rid")
+    several = keys.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    keys = keys.join(several, "key").join(sets.select("rid", "parity"), "rid")
+    keys = materialise(keys, "keys")
+    a, b = keys.alias("a"), keys.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.root") != F.col("b.root"))
+    on = on & _may_link("a", "b", F.least("a.ahead", "b.ahead")) & _may_differ("a", "b") & ~F.arrays_overlap("a.before", "b.before")
+    pairs = a.join(b, on).select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y")).distinct()
+    new = materialise(_links(materialise(pairs, "pairs"), sets, sketched=True), "more-links")
+    return members if new.isEmpty() else _joined(members, new)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +362,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One row of each group stays: of those with the least id, the first read. A document without words has an empty set and is linked with nothing. Equal sets are linked, so
     repeated rows are, and a null id takes part; component_id is the least id that isn't null. A
-    row without a link has its own id. Only the two columns are read, the texts twice.
+    row without a link has its own id. An empty table gives an empty result. Long texts are cut into
+    words whole. Only the two columns are read, the texts twice.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # As many hash ranges as keep a range about as large as a task's share, whatever the corpus.
@@ -307,10 +384,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if ids.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    made = texts.mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long, h array<long>")
+    made = texts.mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long, h array<long>, parity array<long>")
     own = classes.withColumnRenamed("doc_id", "c_doc")
     made = made.join(own, ["n", "s1", "s2"]).filter(F.col("doc_id").eqNullSafe(F.col("c_doc")))
-    sets = materialise(made.select("rid", "n", "h").dropDuplicates(["rid"]), "sets")
+    sets = materialise(made.select("rid", "n", "h", "parity").dropDuplicates(["rid"]), "sets")
     roots = _grouped(sets)
     label = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("root"))
     member = materialise(left.join(label, ["n", "s1", "s2"]).select("uid", "doc_id", "root"), "members")

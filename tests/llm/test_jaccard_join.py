@@ -75,13 +75,15 @@ def test_groups_are_those_of_all_pairs(spark, seed):
     assert joined(spark, rows) == brute(rows)
 
 
-def test_forms_of_lists(spark, monkeypatch):
-    """Every token frequent; lists taken singly as well as combined."""
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
-    monkeypatch.setattr(jaccard_join, "MOST_COMBINED", 8)
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_forms_of_lists(spark, monkeypatch, seed):
+    """Every token frequent, or those of three sets on; one key known before; one round of centres or many."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", seed % 3)
+    monkeypatch.setattr(jaccard_join, "BEFORE", 1)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0 if seed % 2 else 1000)
     monkeypatch.setattr(jaccard_join, "PACK_DOCS", 30)
     monkeypatch.setattr(jaccard_join, "MOST_BROADCAST", 0)
-    rows = corpus(3, 220)
+    rows = corpus(seed, 220)
     assert joined(spark, rows) == brute(rows)
 
 
