@@ -24,32 +24,47 @@ from pyspark.sql import functions as F
 from lamellar.llm.tokens import Encoder, in_slices
 from lamellar.sources.storage import materialise
 
+#: Counts by length and task up to this many, 24 bytes each, are broadcast; beyond, pieces are shuffled to them.
+MOST_BROADCAST = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of every document; null text is empty, so it has the end id alone.
 
+    Of a long text every piece but the last is full; an empty table gives no pieces.
+
     ``nth`` counts pieces of the same length within the task that made them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         encoder = Encoder(tokenizer, drops_space=True)
-        seen: dict[int, int] = defaultdict(int)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in in_slices(batches):
             ids, at = encoder.encode(batch.column("text"))
             ids = np.insert(ids, at[1:], end_id).astype("<u4")
             at = at + np.arange(len(at))
-            rows = []
-            for doc, lo, hi in zip(batch.column("id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
-                for k, begin in enumerate(range(lo, hi, capacity)):
-                    n = min(capacity, hi - begin)
-                    rows.append((doc, k, begin - lo, n, zlib.crc32(ids[begin : begin + n]), task, seen[n]))
-                    seen[n] += 1
-            doc, k, start, n, crc, task_of, nth = map(list, zip(*rows, strict=True))
+            many = -(-np.diff(at) // capacity)
+            doc = np.repeat(np.arange(len(many)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(np.diff(at)[doc] - start, capacity)
+            begin = at[doc] + start
+            crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            nth = np.empty(len(doc), np.int64)
+            nth[order] = np.arange(len(doc)) - np.searchsorted(length[order], length[order])
+            nth += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, task_of, nth))],
+                [
+                    batch.column("id").take(pa.array(doc)),
+                    pa.array(piece, pa.int32()),
+                    *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+                    pa.array(np.full(len(doc), task, np.int64)),
+                    pa.array(nth),
+                ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
 
@@ -165,7 +180,8 @@ def _placer(lengths: np.ndarray, ranks: np.ndarray, sequences: np.ndarray, offse
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
-    Rows with a null id or equal ids are packed like others; an empty table gives an empty result.
+    Null text is packed as its end id. Rows with a null id or equal ids are packed like others; an
+    empty table gives an empty result. Other columns aren't read.
     Only (length, task) counts are gathered by length: as many rows as there are tasks at most.
     """
     made = materialise(pieces(docs, tokenizer, end_id, capacity), "pieces")
@@ -175,6 +191,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     entries, _ = plan(counts, capacity)
     columns = [np.array(c, dtype=np.int64) for c in zip(*entries, strict=True)] if entries else [np.zeros(1, np.int64)] * 4
+    if by_task.count() <= MOST_BROADCAST:
+        base = F.broadcast(base)
     ranked = made.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -17,17 +17,22 @@ import pyarrow.compute as pc
 
 #: Stands before a text's first piece, which no blank precedes; a text that holds it is encoded whole.
 _FIRST = "\x02"
+#: Characters of the longest piece that is kept.
+LONGEST = 64
+#: Pieces seen once that are kept at most.
+ONCE = 400_000
 _WHOLE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|\x02"
 
 
 class Encoder:
     """``encode(texts)`` gives the ids of all texts in a row, and where each text begins and ends.
 
-    ``drops_space``: the tokenizer normalises and drops white space. ``room``: pieces kept at most;
-    beyond that, new pieces are encoded but not kept, which changes speed alone.
+    ``drops_space``: the tokenizer normalises and drops white space. Pieces of up to LONGEST characters
+    are kept once they have been seen twice, ``room`` of them at most, and half as many that were
+    seen once lately; so memory is bounded, and what isn't kept is encoded again, which changes speed alone.
     """
 
-    def __init__(self, path: str, drops_space: bool, room: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, room: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,6 +40,7 @@ class Encoder:
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.drops_space, self.room = drops_space, room
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         (self.mark,) = np.frombuffer(self._ids(["0" if drops_space else "\n"])[0], "<u4")
         self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
 
@@ -71,23 +77,37 @@ class Encoder:
 
     @staticmethod
     def _core(piece: str) -> str:
-        """The piece without a comma or full stop behind a letter, where these tokenizers always split."""
-        return piece[:-1] if len(piece) > 2 and piece[-1] in ",." and "A" <= piece[-2] < "\u0250" and piece[-2].isalpha() else piece
+        """The piece without a comma or full stop behind an ASCII letter, where these tokenizers always split.
+
+        Behind other letters lower-casing may leave a mark that joins what follows.
+        """
+        return piece[:-1] if len(piece) > 2 and piece[-1] in ",." and piece[-2].isascii() and piece[-2].isalpha() else piece
 
     def _look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, core = self.known, self._core
+        known, once, core = self.known, self.once, self._core
         found = list(map(known.get, distinct))
-        missing = [(i, core(distinct[i])) for i, x in enumerate(found) if x is None]
-        new = {c: known.get(c) for _, c in missing}
+        missing = [i for i, x in enumerate(found) if x is None]
+        again = list(map(once.get, [distinct[i] for i in missing]))
+        if len(known) < self.room:
+            known.update((distinct[i], x) for i, x in zip(missing, again, strict=True) if x is not None)
+        first = []
+        for i, x in zip(missing, again, strict=True):
+            if x is None:
+                first.append((i, core(distinct[i])))
+            else:
+                found[i] = x
+        new = {c: known.get(c) or once.get(c) for _, c in first}
         wanted = [c for c, x in new.items() if x is None]
         for lo in range(0, len(wanted), 4096):
             some = wanted[lo : lo + 4096]
             new.update(zip(some, self._joined_ids(list(map(self._text, some))), strict=True))
-        for i, c in missing:
+        if len(once) > ONCE:
+            once.clear()
+        for i, c in first:
             piece = distinct[i]
             found[i] = new[c] if len(c) == len(piece) else new[c] + self.marks[piece[-1]]
-            if len(known) < self.room:
-                known[piece] = found[i]
+            if len(piece) <= LONGEST:
+                once[piece] = found[i]
         return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +142,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def in_slices(batches, text: str = "text", most: int = 12_000_000):
+def in_slices(batches, text: str = "text", most: int = 2_000_000):
     """Arrow batches, cut so that the texts of a slice have about ``most`` bytes: bounds memory."""
     for batch in batches:
         if not batch.num_rows:
@@ -132,3 +152,5 @@ def in_slices(batches, text: str = "text", most: int = 12_000_000):
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(lo, hi - lo)
+    batch = None
+    pa.default_memory_pool().release_unused()  # the worker stays for later stages
