@@ -23,10 +23,12 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 #: How every match of ASSIGN begins.
 HINT = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
-#: Kinds in the order of listing; the last is the method's.
-KINDS = ("assign", "access", "hex", "markov")
-#: Runs that the models judge: characters between LOW and HIGH, of this class and length.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Kinds in the order of listing; the last two are the method's: whole runs, and parts of runs.
+KINDS = ("assign", "access", "hex", "markov", "markov")
+#: Runs that the models judge, outside base matches: characters between LOW and HIGH, of this class and length.
+RUN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Parts of a run between joining characters, judged where the whole run isn't random.
+PART, JOINS = r"[A-Za-z0-9+]{16,}", r"[/_=-]"
 LOW, HIGH = ord("+"), ord("z")
 SPAN = HIGH - LOW + 1
 #: A secret's ratio in nats: in all, and for each pair of characters.
@@ -37,6 +39,8 @@ SMOOTHING, UNIFORM = 0.5, 0.15
 SAMPLE_DOCS = 2000
 #: Random strings of each alphabet in the sample.
 SAMPLE_RANDOM = 2000
+#: Spans up to this many, 8 bytes each, are broadcast to be redacted; beyond, documents are shuffled to them.
+MOST_BROADCAST = 2_000_000
 
 
 def _at(run: Column, i: Column) -> Column:
@@ -94,53 +98,85 @@ def is_random(run: Column, model: list[float]) -> Column:
     return ratio(run, model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * (F.length(run) - 1))
 
 
+_FOUND = "array<struct<kind:int,gap:int,len:int,keep:boolean,joined:boolean,nth:int>>"
+
+
 def _matches(text: Column, kind: int, pattern: str, keep) -> Column:
-    """Matches of a pattern in order: kind, characters before it since the last, its length, kept or not."""
+    """Matches of a pattern in order: kind, characters before it since the last, its length, kept or not, with a joining character or not."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    one = lambda s: F.transform(
-        s.m,
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), F.length(F.get(s.g, i)).alias("gap"), F.length(x).alias("len"), keep(x).alias("keep"), i.alias("nth")
-        ),
-    )
-    return F.transform(F.array(both), one)[0]
 
+    def one(s: Column) -> Column:
+        return F.transform(
+            s.m,
+            lambda x, i: F.struct(
+                F.lit(kind).alias("kind"),
+                F.length(F.get(s.g, i)).alias("gap"),
+                F.length(x).alias("len"),
+                keep(x).alias("keep"),
+                (x.rlike(JOINS) if kind == 3 else F.lit(False)).alias("joined"),
+                i.alias("nth"),
+            ),
+        )
 
-def secret_scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row.
+    return F.transform(F.array(both), one)[0].cast(_FOUND)
 
-    Places are code points. A run that touches a base match gives no span of its own. Null text is
-    empty: no spans, and the digest of the empty string. Repeated rows and null ids are scanned like
-    others. Other columns aren't read.
-    """
-    text = F.col("text")
-    none = F.array().cast("array<struct<kind:int,gap:int,len:int,keep:boolean,nth:int>>")
+
+def _blanked(text: Column, pattern: str, keep) -> Column:
+    """The text with as many blanks in place of each match that is kept; ``keep`` takes the match and its number."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    one = lambda m, i: F.coalesce(F.when(keep(F.get(m, i), i), F.repeat(F.lit(" "), F.length(F.get(m, i)))).otherwise(F.get(m, i)), F.lit(""))
+    return F.transform(F.array(both), lambda s: F.array_join(F.transform(s.g, lambda g, i: F.concat(g, one(s.m, i))), ""))[0]
+
+
+def _found(rows: DataFrame, model: list[float]) -> DataFrame:
+    """``rows`` with ``found``: all matches of those kinds that have one which is kept. The column ``s_text`` is read."""
+    text = F.col("s_text")
+    none = F.array().cast(_FOUND)
     yes = lambda x: F.lit(True)
     value = lambda x: F.length(F.regexp_extract(x, ASSIGN, 1)) >= ASSIGN_LEAST
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    found = F.concat(
-        F.when(text.rlike(HINT), _matches(text, 0, ASSIGN, value)).otherwise(none),
-        F.when(F.contains(text, F.lit("AKIA")), _matches(text, 1, ACCESS, yes)).otherwise(none),
-        F.when(text.rlike(HEX), _matches(text, 2, HEX, yes)).otherwise(none),
-        F.when(F.exists(runs, lambda x: is_random(x, model)), _matches(text, 3, RUN, lambda x: is_random(x, model))).otherwise(none),
+    rows = rows.withColumns(
+        {
+            "s_assign": F.when(text.rlike(HINT), _matches(text, 0, ASSIGN, value)).otherwise(none),
+            "s_access": F.when(F.contains(text, F.lit("AKIA")), _matches(text, 1, ACCESS, yes)).otherwise(none),
+            "s_hex": F.when(text.rlike(HEX), _matches(text, 2, HEX, yes)).otherwise(none),
+        }
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Written once, so that every later step sees the same row numbers; a row without matches is a few bytes.
-    scanned = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found")), "matches")
+    clear = _blanked(_blanked(_blanked(text, ASSIGN, lambda x, i: value(x)), ACCESS, lambda x, i: F.lit(True)), HEX, lambda x, i: F.lit(True))
+    any_base = F.size("s_assign") + F.size("s_access") + F.size("s_hex") > 0
+    rows = rows.withColumn("s_clear", F.when(any_base, clear).otherwise(text))
+    clear, runs = F.col("s_clear"), F.col("s_run")
+    rows = rows.withColumn("s_run", F.when(clear.rlike(RUN), _matches(clear, 3, RUN, lambda x: is_random(x, model))).otherwise(none))
+    rest = F.when(F.exists(runs, lambda x: x.keep), _blanked(clear, RUN, lambda x, i: F.get(runs, i).keep)).otherwise(clear)
+    parts = F.when(F.exists(runs, lambda x: x.joined & ~x.keep), _matches(rest, 4, PART, lambda x: is_random(x, model))).otherwise(none)
+    rows = rows.withColumn("s_part", parts)
+    kinds = ["s_assign", "s_access", "s_hex", "s_run", "s_part"]
+    held = [F.when(F.exists(F.col(k), lambda x: x.keep), F.col(k)).otherwise(none) for k in kinds]
+    return rows.withColumn("found", F.concat(*held)).drop("s_text", "s_clear", *kinds)
+
+
+def _spans(scanned: DataFrame) -> DataFrame:
+    """row, kind, start, end of every span, from the rows' matches; a row's own matches are the group of the window."""
     one = scanned.filter(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    # A row's own matches are the group of these windows.
     end = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("row", "kind").orderBy("nth"))
-    spans = one.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).filter("keep")
-    order = W.partitionBy("row").orderBy("start", "kind")
-    base = F.col("kind") < 3
-    over = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, 0)) > F.col("start")
-    under = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, W.unboundedFollowing)) < F.col("end")
-    spans = spans.withColumn("touches", F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False))).filter(base | ~F.col("touches"))
+    return one.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).filter("keep").select("row", "kind", "start", "end")
+
+
+def secret_scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row.
+
+    Places are code points. Runs are looked for in what the base matches leave, first assign, then
+    access, then hex being taken out; of a run that isn't random as a whole, its parts are judged. Null
+    text is empty: no spans, and the digest of the empty string. Repeated rows and null ids are
+    scanned like others; an empty table gives an empty result. Other columns aren't read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("s_text"))
+    # Written once, so that every later step sees the same row numbers; a row without matches is a few bytes.
+    scanned = materialise(_found(rows.withColumn("row", F.monotonically_increasing_id()), model).select("row", "doc_id", "found"), "matches")
     names = F.array(*map(F.lit, KINDS))
     said = F.concat_ws(":", names[F.col("kind")], F.col("start"), F.col("end"))
     many = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(f"n_{KINDS[k]}")
     listed = F.sort_array(F.collect_list(F.struct("start", "kind", said.alias("said"))))
-    by_row = spans.groupBy("row").agg(many(0), many(1), many(2), listed.alias("listed"))
+    by_row = _spans(scanned).groupBy("row").agg(many(0), many(1), many(2), listed.alias("listed"))
     joined = scanned.select("row", "doc_id").join(by_row, "row", "left")
     text_of = lambda a: F.coalesce(F.concat_ws(",", F.transform(a, lambda x: x.said)), F.lit(""))
     return joined.select(
@@ -152,23 +188,30 @@ def secret_scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", tex
 
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every string that the scan finds in a text replaced by ``mark`` there.
+    """``docs`` with ``mark`` in place of every span of the scan; overlapping spans are one.
 
-    All within the row, longest strings first; null text stays null, and other columns stay as they are.
+    Spans are merged by their places and replaced in one pass, so what they hold is gone and nothing
+    else changes. Null text stays null, and other columns stay as they are, whatever their names.
+    Repeated rows are each redacted; an empty table gives an empty result.
     """
-    text = F.col(text_col)
-    none = F.array().cast("array<string>")
-    all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    value = lambda x: F.length(F.regexp_extract(x, ASSIGN, 1)) >= ASSIGN_LEAST
-    found = F.concat(
-        F.when(text.rlike(HINT), F.filter(all_of(ASSIGN), value)).otherwise(none),
-        F.when(F.contains(text, F.lit("AKIA")), all_of(ACCESS)).otherwise(none),
-        F.when(text.rlike(HEX), all_of(HEX)).otherwise(none),
-        F.filter(all_of(RUN), lambda x: is_random(x, model)),
-    )
-    ranked = F.sort_array(F.transform(F.array_distinct(found), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
-    replaced = F.aggregate(ranked, text, lambda t, s: F.replace(t, s.x, F.lit(mark)))
-    return docs.withColumn(text_col, replaced)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text.alias("s_text"))
+    scanned = materialise(_found(packed, model).select("row", "doc", "found"), "matches")
+    order = W.partitionBy("row").orderBy("start", "end")
+    spans = _spans(scanned).withColumn("upto", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("nth", F.sum((F.coalesce("upto", F.lit(-1)) < F.col("start")).cast("int")).over(order))
+    merged = spans.groupBy("row", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    listed = materialise(listed, "spans")
+    if (listed.agg(F.sum(F.size("spans"))).first()[0] or 0) <= MOST_BROADCAST:
+        listed = F.broadcast(listed)
+    rows = scanned.select("row", "doc").join(listed.withColumnRenamed("row", "s_row"), F.col("row") == F.col("s_row"), "left")
+    text = F.col("doc")[text_col]
+    before = lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1).end)
+    kept = F.transform("spans", lambda x, i: F.substring(text, before(x, i) + 1, x.start - before(x, i)))
+    tail = F.substring(text, F.element_at("spans", -1).end + 1, F.length(text))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(kept, mark), F.lit(mark), tail))
+    return rows.select(*((clean if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
