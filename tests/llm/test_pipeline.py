@@ -71,3 +71,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert corpus_pipeline.keep_one_of_a_group(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.keep_known_languages(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.redact_secrets(spark, docs.limit(0), SF).count() == 0
+
+
+def test_clashing_names_and_no_rows(spark):
+    text = "one two three four five six seven eight"
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(1, text), (1, text), (2, text.upper()), (3, items[0]), (None, None), (4, "token=abcdefgh " + "long word " * 40_000)]
+    names = "g_id string, g_key string, key string, hash string, id string, doc string, row string, found string, `a.b` string"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *"abcdefghi") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and all(tuple(r)[5:] == tuple("abcdefghi") for r in kept.collect())
+    assert corpus_pipeline.keep_one_of_a_group(spark, docs, SF).count() == 4
+    assert sorted(i or 0 for i, _ in pairs(corpus_pipeline.drop_contaminated(spark, docs, SF))) == [0, 1, 1, 2, 4]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
