@@ -187,7 +187,7 @@ def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
 
 def concat_union(spark: SparkSession, d: str) -> DataFrame:
     v = voxels(spark, d)
-    a, b = v.filter("x < 5").select("x", "y", "z", "seg"), v.filter("x >= 3 and x < 8").select("seg", "z", "y", "x")
+    a, b = v.filter("x < 5").select("x", "y", "z", "seg"), v.filter("x >= 3").select("seg", "z", "y", "x")
     return a.unionByName(b)
 
 
@@ -299,12 +299,12 @@ def _components_sql(edges: str, vertices: str) -> str:
     )
 
 
-_RASTER = "vx as (select *, (x * (select max(y) + 1 from vox) + y) * (select max(z) + 1 from vox) + z as vid from vox)"
-_STEP = {"x": "(select (max(y) + 1) * (max(z) + 1) from vox)", "y": "(select max(z) + 1 from vox)", "z": "1"}
+RASTER_SQL = "vx as (select *, (x * (select max(y) + 1 from vox) + y) * (select max(z) + 1 from vox) + z as vid from vox)"
+STEP_SQL = {"x": "(select (max(y) + 1) * (max(z) + 1) from vox)", "y": "(select max(z) + 1 from vox)", "z": "1"}
 _TRUE = {a: f"a{k} > cast({THRESHOLD} as float)" for k, a in enumerate("xyz")}
-_EDGES = " union all ".join(f"select vid as u, vid + {_STEP[a]} as v from vx where {_TRUE[a]} and {a} + 1 < (select max({a}) + 1 from vox)" for a in "xyz")
+_EDGES = " union all ".join(f"select vid as u, vid + {STEP_SQL[a]} as v from vx where {_TRUE[a]} and {a} + 1 < (select max({a}) + 1 from vox)" for a in "xyz")
 COMPONENTS_SQL = (
-    f"with recursive {VOXELS_SQL}, {_RASTER}, e as ({_EDGES}), vert as (select vid as v from vx where {' or '.join(_TRUE.values())} union select v from e), "
+    f"with recursive {VOXELS_SQL}, {RASTER_SQL}, e as ({_EDGES}), vert as (select vid as v from vx where {' or '.join(_TRUE.values())} union select v from e), "
     + _components_sql("select u, v from e", "select v from vert")
     + ", num as (select root, dense_rank() over (order by root) as seg from (select distinct root from roots)), "
     "seg6 as (select x, y, z, coalesce(num.seg, 0) as seg from vx left join roots on vid = v left join num on roots.root = num.root)"
@@ -315,7 +315,7 @@ _SAME = " union all ".join(
     for a in "xyz"
 )
 _LABELS = (
-    f"with recursive {VOXELS_SQL}, {_RASTER}, e as ({_SAME}), "
+    f"with recursive {VOXELS_SQL}, {RASTER_SQL}, e as ({_SAME}), "
     + _components_sql("select u, v from e", "select vid as v from vx where seg > 0")
     + ", num as (select root, dense_rank() over (order by root) as n from (select distinct root from roots)) "
     "select x, y, z, case when vx.seg > 0 then n else vx.seg end as seg from vx left join roots on vid = v left join num on roots.root = num.root"
@@ -327,12 +327,12 @@ def _in_box(origin: tuple, size: int) -> str:
 
 
 def _blur_sql() -> str:
-    ctes, last = [f"i0 as (select x, y, z, raw as v from vox where {_in_box((0, 0, 0), 10)})"], "i0"
+    ctes, last = ["i0 as (select x, y, z, raw as v from vox)"], "i0"
     for n, a in enumerate("xyz", 1):
-        at = f"{a} + d"
+        at, size = f"{a} + d", _size_sql(a)
         others = [c for c in "xyz" if c != a]
         ctes.append(
-            f"g{n} as (select {', '.join(others)}, {a} as t, case when {at} < 0 then -1 - ({at}) when {at} > 9 then 19 - ({at}) else {at} end as s, w "
+            f"g{n} as (select {', '.join(others)}, {a} as t, case when {at} < 0 then -1 - ({at}) when {at} >= {size} then 2 * {size} - 1 - ({at}) else {at} end as s, w "
             f"from {last}, kernel), i{n} as (select {', '.join(f'g.{c} as {c}' for c in others)}, g.t as {a}, sum(g.w * i.v) as v "
             f"from g{n} g join {last} i on {' and '.join(f'i.{c} = g.{c}' for c in others)} and i.{a} = g.s group by all)"
         )
@@ -341,6 +341,15 @@ def _blur_sql() -> str:
     return f"{_VOX}, {kernel}, {', '.join(ctes)} select x, y, z, round(v, 6) as val from {last}"
 
 
+def _size_sql(axis: str) -> str:
+    return f"(select max({axis}) + 1 from vox)"
+
+
+def _mirror_sql(at: str, axis: str) -> str:
+    period = f"(2 * {_size_sql(axis)} - 2)"
+    return f"least({at} % {period}, {period} - {at} % {period})"
+
+
 SQL = {
     "aff_short": f"{_AFFS} select x, y, z, aff0, aff1, aff2 from affs",
     "aff_long": f"{_AFFS} select x, y, z, aff3, aff4, aff5 from affs",
@@ -375,19 +384,19 @@ SQL = {
     "components_affinity": f"{COMPONENTS_SQL} select x, y, z, seg from seg6",
     "component_sizes": f"{COMPONENTS_SQL} select seg, count(*) as n from seg6 where seg > 0 group by seg",
     "components_label6": _LABELS,
-    "node_label_lookup": f"{COMPONENTS_SQL} select x * 100 + y * 10 + z as node, seg as pred from seg6 where (x * 100 + y * 10 + z) % 7 = 0",
+    "node_label_lookup": f"{COMPONENTS_SQL} select x * 100 + y * 10 + z as node, seg as pred from seg6",
     "voxel_to_nm": f"{_VOX} select x, y, z, x * 9.0::double as nx, y * 9.0::double as ny, z * case when seg % 2 = 0 then 12.0::double else 20.0::double end as nz from vox",
     "clip_rescale": f"{_VOX} select x, y, z, (least(greatest(raw, 112), 144) - 112) * 8 as val from vox",
     "gaussian_blur": _blur_sql(),
-    "concat_union": f"{_VOX} select x, y, z, seg from vox where x < 5 union all select x, y, z, seg from vox where x >= 3 and x < 8",
-    # The permutation takes (x, y, z) to (z, x, y); then (x, y) to (9 - y, x), and both of y, z to 9 less, and z back.
-    "aug_flip_rot": f"{_VOX} select 9 - x as x, 9 - z as y, y as z, seg from vox where {_in_box((0, 0, 0), 10)}",
+    "concat_union": f"{_VOX} select x, y, z, seg from vox where x < 5 union all select x, y, z, seg from vox where x >= 3",
+    # The permutation takes (x, y, z) to (z, x, y); then (x, y) to (last - y, x), and both of y, z are turned round, and z back.
+    "aug_flip_rot": f"{_VOX} select {_size_sql('x')} - 1 - x as x, {_size_sql('z')} - 1 - z as y, y as z, seg from vox",
     "aug_drop": f"{_VOX} select x, y, z, case when z % 3 = 1 then 0 else raw end as raw from vox",
-    "aug_shift": f"{_VOX} select x, case when x % 2 = 0 then (y + 3 - x + 20) % 10 else y end as y, case when x % 2 = 0 then (z + x - 7 + 20) % 10 else z end as z, raw "
-    f"from vox where {_in_box((0, 0, 0), 10)}",
+    "aug_shift": f"{_VOX}, n as (select {_size_sql('y')} as ny, {_size_sql('z')} as nz) select x, case when x % 2 = 0 then ((y + 3 - x) % ny + ny) % ny else y end as y, "
+    "case when x % 2 = 0 then ((z + x - 7) % nz + nz) % nz else z end as z, raw from vox, n",
     "aug_intensity": f"{_VOX} select x, y, z, raw * 1.5::double - 3 as raw from vox",
-    "aug_affine": f"{_VOX}, b as (select * from vox where {_in_box((0, 0, 0), 10)}), "
-    "m as (select x, y, z, x + i as p, z + 1 + k as q, 0.5 * case when k = 1 then 0.25::double else 0.75::double end as w from b, (select unnest([0, 1]) as i), (select unnest([0, 1]) as k)), "
-    "r as (select x, y, z, least(p % 18, 18 - p % 18) as p, least(q % 18, 18 - q % 18) as q, w from m) "
-    "select r.x, r.y, r.z, round(sum(r.w * b.raw), 6) as raw from r join b on b.x = r.p and b.y = r.y and b.z = r.q group by all",
+    "aug_affine": f"{_VOX}, "
+    "m as (select x, y, z, x + i as p, z + 1 + k as q, 0.5 * case when k = 1 then 0.25::double else 0.75::double end as w from vox, (select unnest([0, 1]) as i), (select unnest([0, 1]) as k)), "
+    f"r as (select x, y, z, {_mirror_sql('p', 'x')} as p, {_mirror_sql('q', 'z')} as q, w from m) "
+    "select r.x, r.y, r.z, round(sum(r.w * b.raw), 6) as raw from r join vox b on b.x = r.p and b.y = r.y and b.z = r.q group by all",
 }

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamellar.functions import scalar
-from lamellar.operators import information, segmentation, selection, skeleton, stats, sweep
-from lamellar.plans.grid_queries import COMPONENTS_SQL
-from lamellar.sources.fixtures import NODES_SQL, skeleton_edges, skeleton_nodes, voxels
+from lamellar.operators import information, segmentation, selection, skeleton, stats, sweep, threshold_scores
+from lamellar.plans.grid_queries import COMPONENTS_SQL, RASTER_SQL, STEP_SQL
+from lamellar.sources.fixtures import NODES_SQL, VOXELS_SQL, skeleton_edges, skeleton_nodes, voxels
 from lamellar.sources.storage import materialise, read_table
 
 
@@ -107,25 +107,14 @@ def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
 def _sweep(spark, d):
     """nerl, voi_sum and n_non0_mergers of the segments of predicted affinities at every threshold.
 
-    Labelled voxels are the skeletons' nodes, in raster order along each. Each threshold is a labelling of its own.
+    Labelled voxels are the skeletons' nodes, in raster order along each.
     """
     v = materialise(voxels(spark, d), "sweep-voxels")
-    shape = segmentation.shape_of(v)
-    at = [F.col(a).cast("long") for a in "xyz"]
-    node = (at[0] * shape[1] + at[1]) * shape[2] + at[2]
+    _, ny, nz = segmentation.shape_of(v)
     places = [(n * F.col(a)).cast("double").alias(f"p{a}") for a, n in zip("xyz", (9, 9, 20), strict=True)]
-    truth = materialise(v.filter("seg > 0").select("x", "y", "z", F.col("seg").alias("skel"), node.alias("n"), node.alias("node"), *places), "sweep-nodes")
-    out = None
-    for r in selection.threshold_grid(spark).collect():  # 13 rows
-        seg = segmentation.affinity_components(segmentation.hard(v, r.thr), shape)
-        nodes = materialise(segmentation.label_lookup(truth, seg).withColumnRenamed("pred", "seg"), "sweep-labels")
-        nerl = skeleton.normalised_run_length(nodes, skeleton_edges(nodes), [0]).select("nerl")
-        mergers = skeleton.n_mergers(skeleton.pair_counts(nodes)).select("n_non0_mergers")
-        one = nerl.crossJoin(F.broadcast(information.voi(nodes).select("voi_sum"))).crossJoin(F.broadcast(mergers))
-        one = one.select(F.lit(r.ord).alias("ord"), F.lit(r.thr).alias("thr"), "nerl", "voi_sum", "n_non0_mergers")
-        one = materialise(one, "sweep-scores")
-        out = one if out is None else out.union(one)
-    return out
+    order = (F.col("x") * ny + F.col("y")) * nz + F.col("z")
+    nodes = v.filter("seg > 0").select("x", "y", "z", F.col("seg").alias("skel"), order.alias("n"), *places)
+    return threshold_scores.scores_at(v, nodes, selection.threshold_grid(spark))
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -271,12 +260,30 @@ def _nerl(ks: list[int]) -> str:
     return f"{_N}, {_erl(ks)} select case when k = {_INF} then -1 else k end as ignored, round(erl / {total}, 6) as nerl from e"
 
 
+#: Components at every threshold: labels take the least label of a neighbour until none changes.
 _SWEEP = (
-    f"{_N}, g as (select i + 1 as ord, round(1 / (1 + exp(-0.2::double * i)), 4) as thr from (select unnest(range(-1, 12)) as i)), "
-    "a as (select ord, thr, skel, case when (node * 7919) % 10000 / 10000.0::double > thr * 0.5 then seg else 0 end as seg from nodes, g), "
-    "mg as (select ord, count(distinct skel) as k from a where seg >= 1000000 group by ord, seg having k > 1), "
-    "sw as (select a.ord, thr, avg(cast(seg <> 0 as int)) as nerl, count(*) filter (seg = 0) / count(*) as voi_sum, "
-    "coalesce((select sum(k) from mg where mg.ord = a.ord), 0)::bigint as n_non0_mergers from a group by a.ord, thr)"
+    f"with recursive {VOXELS_SQL}, {RASTER_SQL}, g as (select i + 1 as ord, round(1 / (1 + exp(-0.2::double * i)), 4) as thr from (select unnest(range(-1, 12)) as i)), "
+    "hv as (select ord, vid, x, y, z, a0 > cast(thr as float) as a0, a1 > cast(thr as float) as a1, a2 > cast(thr as float) as a2 from vx, g), "
+    + f"e as ({' union all '.join(f'select ord, vid as u, vid + {STEP_SQL[a]} as v from hv where a{k} and {a} + 1 < (select max({a}) + 1 from vox)' for k, a in enumerate('xyz'))}), "
+    "ways as (select ord, u, v from e union all select ord, v, u from e), "
+    "cc(ord, v, label) using key (ord, v) as (select distinct ord, v, v from (select ord, vid as v from hv where a0 or a1 or a2 union all select ord, v from e) "
+    "union select w.ord, w.v, min(c.label) from cc c join ways w on w.ord = c.ord and w.u = c.v join recurring.cc r on r.ord = w.ord and r.v = w.v "
+    "where c.label < r.label group by w.ord, w.v), "
+    "nd as (select g.ord, g.thr, vx.seg as skel, vid as n, 9.0::double * x as px, 9.0::double * y as py, 20.0::double * z as pz, coalesce(cc.label + 1, 0) as seg "
+    "from vx cross join g left join cc on cc.ord = g.ord and cc.v = vid where vx.seg > 0), "
+    "pr as (select ord, skel, seg, count(*) as n from nd group by all), mg as (select ord, seg, count(*) as k from pr group by all having count(*) > 1), "
+    "mk as (select distinct ord, skel from pr join mg using (ord, seg)), "
+    "ed0 as (select ord, skel, seg, lead(seg) over w as nxt, sqrt(power(px - lead(px) over w, 2) + power(py - lead(py) over w, 2) + power(pz - lead(pz) over w, 2)) as len "
+    "from nd window w as (partition by ord, skel order by n)), ed as (select * from ed0 where nxt is not null), "
+    "wh as (select ord, sum(l * l) as wh from (select ord, skel, sum(len) as l from ed group by all) group by ord), "
+    "rt as (select ord, sum(l * l) as rt from (select ord, skel, seg, sum(len) as l from ed where seg = nxt and seg <> 0 and not "
+    "((ord, seg) in (select ord, seg from mg) and (ord, skel) in (select ord, skel from mk)) group by all) group by ord), "
+    "hj as (select ord, sum(n * log2(n)) as hj, sum(n) as nn from pr group by ord), "
+    "ht as (select ord, sum(n * log2(n)) as ht from (select ord, skel, sum(n) as n from pr group by all) group by ord), "
+    "hp as (select ord, sum(n * log2(n)) as hp from (select ord, seg, sum(n) as n from pr group by all) group by ord), "
+    "sw as (select ord, thr, coalesce(rt, 0) / wh as nerl, (ht + hp - 2 * hj) / nn as voi_sum, "
+    "coalesce((select sum(k) from mg where mg.ord = g.ord and seg <> 0), 0)::bigint as n_non0_mergers "
+    "from g left join wh using (ord) left join rt using (ord) left join hj using (ord) left join ht using (ord) left join hp using (ord))"
 )
 _LOG = "lg as (select cast(user_id % 20 as varchar) as run, event_type as mode, event_id as step, value from events)"
 _GRAPH = f"with recursive {NODES_SQL}, comp as (select skel, node, min(node) over (partition by skel) as root from nodes)"
@@ -338,7 +345,7 @@ SQL = {
     "component_lookup": f"{_GRAPH} select skel, max(root) as root from comp group by skel",
     "threshold_grid": "select i + 1 as ord, round(1 / (1 + exp(-0.2::double * i)), 4) as thr from (select unnest(range(-1, 12)) as i)",
     "threshold_sweep": f"{_SWEEP} select ord, thr, round(nerl, 6) as nerl, round(voi_sum, 6) as voi_sum, n_non0_mergers from sw",
-    "best_threshold": f"{_SWEEP} select round(thr, 2) as thr, round(nerl, 2) as nerl from sw where nerl > 0 order by round(nerl, 2) desc, ord limit 1",
+    "best_threshold": f"{_SWEEP} select thr, round(nerl, 6) as nerl from sw where nerl > 0 order by sw.nerl desc, ord limit 1",
     "best_no_merge": f"{_SWEEP} select round(coalesce(min(voi_sum), 1e100), 6) as best_voi, round(coalesce(min(voi_sum) filter (n_non0_mergers = 0), 1e100), 6) as best_voi_no_merge, "
     "round(coalesce(max(nerl) filter (n_non0_mergers = 0), -1), 6) as best_nerl_no_merge from sw",
     "running_best": f"with {_LOG} select run, mode, step, round(value, 6) as value, "
@@ -356,7 +363,7 @@ SQL = {
     + " || ".join(
         f"'{text}' || " + ("cast(user_id % 7 as varchar)" if key == "seed" else f"'v{i}'") for i, (text, key) in enumerate(sweep.NAME_PARTS)
     )
-    + " as name from events where event_id % 50 = 0",
+    + " as name from events",
     "format_value": "select * from (values ('a', 'true'), ('b', 'false'), ('c', '1 x 2.5'), ('d', ''), ('e', '0.001'), ('f', '')) t(key, value)",
     "dataset_length": "select dataset, min(floor(mult * (sx - 2 * off) * (sy - 2 * off) * (sz - 2 * off) / power(size, 3)))::bigint as length "
     f"from (values {', '.join(str(r) for r in _SIZES)}) t(dataset, sx, sy, sz, off, size, mult) group by dataset",
