@@ -184,15 +184,20 @@ def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with all their columns and without a shuffle."""
+    """The rows of ``docs`` that aren't rejected, with all their columns and without a shuffle.
+
+    Null text and text without a letter are rejected. Columns may have any names; repeated rows stay or
+    go together; an empty table gives an empty result.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, text_col):
+        for batch in in_slices(batches, f"c{at}"):
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                yield some.filter(pa.array(~_judged(some.column(text_col).to_pylist(), model)[2]))
+                yield some.filter(pa.array(~_judged(some.column(at).to_pylist(), model)[2])).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,6 +212,11 @@ def learn(docs: DataFrame) -> dict:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that aren't held out; predict all. Repeated rows are each predicted."""
+    """doc_id, held_out, lang_pred, score and rejected: learn from the documents that aren't held out; predict all.
+
+    Repeated rows are each predicted, and a null id isn't held out but isn't learned from either. Null
+    text and text without a letter are ``und``; a long text is counted whole. An empty table gives an
+    empty result. Columns other than doc_id, text and lang aren't read.
+    """
     out = classify(docs, learn(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -102,10 +102,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<i8").reshape(n)
 
 
-def _dealt(bucket: np.ndarray, many: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by bucket, and (bucket, from, to) of each that has values."""
-    ends = np.cumsum(np.bincount(bucket, minlength=many)).tolist()
-    return np.argsort(bucket, kind="stable"), [(k, lo, hi) for k, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if hi > lo]
+def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, and (bucket, from, to) of each that has values: never more than there are values."""
+    order = np.argsort(bucket, kind="stable")
+    found, begins = np.unique(bucket[order], return_index=True)
+    return order, list(zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(bucket)], strict=False))
 
 
 def _word_buckets(words: pa.Array, many: int) -> np.ndarray:
@@ -147,7 +148,7 @@ def word_models(base: DataFrame, many: int) -> DataFrame:
                 words, tokens = batch.column("words")[i].values, _unpacked(batch.column("tokens")[i].as_py())
                 own = np.repeat(_unpacked(batch.column("wanted")[i].as_py()), _unpacked(batch.column("lengths")[i].as_py()))
                 t, b = (np.bincount(x, minlength=len(words)) for x in (tokens[own > 0], tokens))
-                order, groups = _dealt(_word_buckets(words, many), many)
+                order, groups = _dealt(_word_buckets(words, many))
                 words = words.take(pa.array(order))
                 offsets = pa.array([0, *(hi for _, _, hi in groups)], pa.int32())
                 cols = [pa.array([g[0] for g in groups], pa.int64()), pa.repeat(batch.column("chunk")[i], len(groups)), pa.ListArray.from_arrays(offsets, words)]
@@ -187,7 +188,7 @@ def _sums(rows: pa.Table, at: np.ndarray, distinct: int, ids: np.ndarray | None,
 def _numbered(chunk: pa.Table, found: pa.Table, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's tokens as global ids, its documents' lengths, which bigrams of the row lie within one document, and words' sums."""
     words = chunk["words"].combine_chunks().flatten()
-    order, _ = _dealt(_word_buckets(words, many), many)
+    order, _ = _dealt(_word_buckets(words, many))
     cols = np.zeros((3, len(words)), np.int64)
     rows = found.sort_by("bucket")
     for col, name in zip(cols, ("ids", "target", "background"), strict=True):
@@ -206,7 +207,7 @@ def bigram_models(base: DataFrame, words: DataFrame, many: int) -> DataFrame:
         keys, at = np.unique(slots(ids[tokens])[within], return_inverse=True)
         own = _unpacked(left["wanted"][0].as_py())[doc[within]] > 0
         t, b = (np.bincount(x, minlength=len(keys)) for x in (at[own], at))
-        order, groups = _dealt(_bigram_buckets(keys, many), many)
+        order, groups = _dealt(_bigram_buckets(keys, many))
         cols = [pa.array([_packed(x[order[lo:hi]]) for _, lo, hi in groups], pa.binary()) for x in (keys, t, b)]
         head = [pa.array([g[0] for g in groups], pa.int64()), pa.array([left["chunk"][0].as_py()] * len(groups), pa.int64())]
         return pa.table([*head, *cols], names=["bucket", "chunk", "keys", "target", "background"])
@@ -241,7 +242,7 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         of_word = pc.is_valid(right["ids"])
         tokens, doc, within, (ids, *counts) = _numbered(left, right.filter(of_word), many)
         keys, at = np.unique(slots(ids[tokens])[within], return_inverse=True)
-        order, _ = _dealt(_bigram_buckets(keys, many), many)
+        order, _ = _dealt(_bigram_buckets(keys, many))
         found = right.filter(pc.invert(of_word)).sort_by("bucket")
         lengths = _unpacked(left["lengths"][0].as_py())
         first = np.flatnonzero(np.diff(doc, prepend=-1))
