@@ -3,8 +3,9 @@
 Measures of each text are taken once. Each measure is a whole number, kept in a mergeable sketch:
 counts by log-linear bin, where a value keeps its six leading bits, so a quantile is known within
 1/32 of itself. Sketches are sums, so those of a language, or of everything, are sums of sketches,
-whatever the order of merging. A group's fences come from its quantiles; documents are joined with
-the fences of their group and filtered.
+whatever the order of merging. A group's fences come from its quantiles, shrunk towards those of its
+language and of all documents as if these were some documents more; documents are joined with the
+fences of their group and filtered.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ WHITE = " \t\n\v\f\r"
 WINDOW = 8
 #: A measure's name, and the least spread its fences assume.
 MEASURES = {"symbol_rate": 20, "dup_line_rate": 50, "repeat_rate": 50, "word_length": 50}
-#: A group of fewer documents takes the fences of its language, and that of all documents.
-LEAST_GROUP = 200
+#: Weight, in documents, of a language's fences in those of a group, and of all documents' in a language's.
+PRIOR_DOCS = 200
 #: Fences lie this many spreads outside the tenths.
 SPREADS = 3
 #: Fences of at most so many groups (about 100 bytes each) are broadcast; beyond, the join is salted.
@@ -125,7 +126,7 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Fences of every (lang, source), those of a small group taken from its language or from all."""
+    """Fences of every (lang, source), shrunk towards its language's, and these towards all documents', by PRIOR_DOCS."""
     sketch = materialise(sketches(measured), "sketches")
     sides = [f"{k}_{s}" for k in MEASURES for s in ("low", "high")]
     named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
@@ -134,9 +135,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
     every = named(_fences(sketch.withColumn("one", F.lit(1)), ["one"]), "e")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(every, F.lit(1) == F.col("e_one"), "left")
 
+    def shrunk(size: str, own: Column, parent: Column) -> Column:
+        return F.floor((F.col(size) * own + PRIOR_DOCS * parent) / (F.col(size) + PRIOR_DOCS))
+
     def chosen(c: str) -> Column:
-        small = F.when(F.col("l_size") >= LEAST_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-        return F.when(F.col("size") >= LEAST_GROUP, F.col(c)).otherwise(small).alias(c)
+        return shrunk("size", F.col(c), shrunk("l_size", F.col(f"l_{c}"), F.col(f"e_{c}"))).alias(c)
 
     return joined.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *map(chosen, sides))
 

@@ -56,8 +56,8 @@ def _op4() -> str:
             f"{tenth(9)} + {q.SPREADS} * greatest({tenth(9)} - {tenth(5)}, {least}) as high from {name}_s group by {own}measure)"
         )
 
-    small = f"o.size >= {q.LEAST_GROUP}"
-    pick = lambda s: f"case when {small} then o.{s} when g.size >= {q.LEAST_GROUP} then g.{s} else e.{s} end"
+    shrunk = lambda size, own, parent: f"floor(({size} * {own} + {q.PRIOR_DOCS} * {parent})::double / ({size} + {q.PRIOR_DOCS}))"
+    pick = lambda s: shrunk("o.size", f"o.{s}", shrunk("g.size", f"g.{s}", f"e.{s}"))
     tests = " and ".join(f"max({v}) <= max(f.high) filter (measure = '{k}')" for k, v in values.items())
     return f"""
 with w as (select doc_id, lang, source, row_number() over () as r, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WHITE_WORD}') as w from documents),
@@ -88,7 +88,6 @@ def _op7(rules: list[tuple[str, str]]) -> str:
         fits[text] = f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{slash + path}')"
     rule = " ".join(f"when {fits[t]} then '{t}'" for _, t in ranked)
     verdict = " ".join(f"when {fits[t]} then '{v}'" for v, t in ranked)
-    long = ", ".join(f"'{s}'" for s in u.LONG_SUFFIXES)
 
     def level(name: str, source: str, parent: str | None, key: str) -> str:
         s = (
@@ -101,16 +100,18 @@ def _op7(rules: list[tuple[str, str]]) -> str:
         join = f" join {parent} p on p.{key} = x.{key}" if parent else ""
         return f"{s}, {name} as (select x.*, ({prior} * y.s + x.bad) / (y.s + x.n) as mean, y.s + x.n as weight from {source} x cross join {name}_k y{join})"
 
-    return f"""
+    return rf"""
 with r0 as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 r as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r0),
 known as (select doc_id as page_id, count(*) as n, sum(cast(quality = 0 or toxic = 1 as int)) as bad from labels
   where doc_id is not null and (quality = 0 or toxic = 1) is not null group by 1),
 h0 as (select host, sum(coalesce(n, 0))::double as n, sum(coalesce(bad, 0))::double as bad from r left join known using (page_id) group by host),
-h1 as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as nm from h0),
-h2 as (select *, array_to_string(string_split(nm, '.')[-2:], '.') as two from h1),
-h as (select host, n, bad, case when two in ({long}) then array_to_string(string_split(nm, '.')[-3:], '.') else two end as domain,
-  case when two in ({long}) then two else string_split(nm, '.')[-1] end as suffix from h2),
+h1 as (select *, regexp_replace(host, '^.*@', '') as bare from h0),
+h2 as (select *, regexp_replace(case when starts_with(bare, '[') then regexp_extract(bare, '^\[([^\]]*)\]', 1) else regexp_replace(bare, ':[0-9]*$', '') end, '\.+$', '') as nm from h1),
+h3 as (select *, contains(nm, ':') or regexp_matches(nm, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') as address,
+  case when regexp_matches(nm, '(^|\.)({u.SECOND})\.[a-z]{{2}}$') then 2 else 1 end as labels from h2),
+h as (select host, n, bad, case when address then nm else array_to_string(string_split(nm, '.')[-labels - 1:], '.') end as domain,
+  case when address then '' else array_to_string(string_split(nm, '.')[-labels:], '.') end as suffix from h3),
 dm as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all), sx as (select suffix, sum(n) as n, sum(bad) as bad from dm group by all),
 {level("ls", "sx", None, "suffix")}, {level("ld", "dm", "ls", "suffix")}, {level("lh", "h", "ld", "domain")},
 blocked as (select host from lh where mean - {u.Z} * sqrt(mean * (1 - mean) / (weight + 1)) > {u.LIMIT})

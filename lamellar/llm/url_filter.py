@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lamellar.sources.storage import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels; all others are the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.za")
+#: Second labels under which two-letter countries register names: with the country they are the suffix.
+SECOND = "ac|co|com|edu|gen|go|gob|gouv|gov|govt|gv|id|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch|web"
 #: Bounds on a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
 #: A host is blocked if mean - Z standard deviations of its posterior exceeds LIMIT.
@@ -50,12 +50,25 @@ def by_rule(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host, without user and port."""
-    name = F.regexp_replace(F.regexp_replace(host, r"\A.*@", ""), r":\d*\z", "")
-    two = F.substring_index(name, ".", -2)
-    long = two.isin(*LONG_SUFFIXES)
-    return F.when(long, F.substring_index(name, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(name, ".", -1))
+def _levels(host: Column, suffixes: list[str] | tuple = ()) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user, port and final dots. An address is its own domain, with no suffix.
+
+    The suffix is the last label, or the last two under a country's SECOND label. ``suffixes`` are rules
+    that come before these: ``a.b``, ``*.b`` (any label before) and ``!a.b`` (not a suffix, whatever
+    ``*.b`` says). An exception wins, then the longest; each is one branch of an expression.
+    """
+    name = F.regexp_replace(host, r"\A.*@", "")
+    name = F.when(name.startswith("["), F.regexp_extract(name, r"\A\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(name, r":[0-9]*\z", ""))
+    name = F.regexp_replace(name, r"\.+\z", "")
+    address = name.contains(":") | name.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
+    labels = F.when(name.rlike(rf"(\A|\.)({SECOND})\.[a-z]{{2}}\z"), F.lit(2)).otherwise(F.lit(1))
+    for rule in sorted(suffixes, key=lambda r: (r.startswith("!"), r.count("."), r)):
+        plain = rule.lstrip("!").removeprefix("*.")
+        many = plain.count(".") + (1 if rule[0] not in "!*" else 2 if rule[0] == "*" else 0)
+        fits = name.endswith(f".{plain}") if rule[0] == "*" else (name == plain) | name.endswith(f".{plain}")
+        labels = F.when(fits, F.lit(many)).otherwise(labels)
+    last = lambda n: F.call_function("substring_index", name, F.lit("."), -n)
+    return F.when(address, name).otherwise(last(labels + 1)), F.when(address, F.lit("")).otherwise(last(labels))
 
 
 def _strength(groups: DataFrame) -> DataFrame:
@@ -82,9 +95,9 @@ def _shrunk(groups: DataFrame, parent: DataFrame | None, key: str | None) -> Dat
     return rows.drop("prior", "m", "s")
 
 
-def host_reputation(pages: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, suffixes: list[str] | tuple = ()) -> DataFrame:
     """host, n, bad, mean, lower for every host; ``pages`` has host, and n and bad of each page."""
-    domain, suffix = _levels(F.col("host"))
+    domain, suffix = _levels(F.col("host"), suffixes)
     hosts = pages.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = materialise(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = materialise(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
@@ -97,13 +110,13 @@ def host_reputation(pages: DataFrame) -> DataFrame:
 
 
 def url_filter(
-    pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", suffixes: list[str] | tuple = ()
 ) -> DataFrame:
     """page_id, host, path, rule, verdict for every row.
 
     ``labels``: page_id and bad (true or false); null ids and null outcomes don't count, several
     outcomes of a page all do. A page without a host takes part like a host named ''. Repeated
-    rows are each judged alone. Without any label nothing is blocked by reputation. The HTML and
+    rows are each judged alone. ``suffixes``: rules as of _levels. Without any label nothing is blocked by reputation. The HTML and
     other columns aren't read.
     """
     rows = with_host(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), "url").drop("url")
@@ -111,7 +124,7 @@ def url_filter(
     known = known.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     # Outcomes are summed by host before anything is dealt by host.
     seen = rows.join(known, "page_id", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    blocked = materialise(host_reputation(seen).filter(F.col("lower") > LIMIT).select("host", F.lit(True).alias("blocked")), "blocked")
+    blocked = materialise(host_reputation(seen, suffixes).filter(F.col("lower") > LIMIT).select("host", F.lit(True).alias("blocked")), "blocked")
     if blocked.count() <= MOST_BROADCAST:
         blocked = F.broadcast(blocked)
     rule, verdict = by_rule(rules)

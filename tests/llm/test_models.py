@@ -247,3 +247,24 @@ def test_statement(spark, name):
     con = connected(SF)
     assert difference(spark, con, SF, queries.queries()[name], queries.oracle_sql()[name]) is None
     assert duckdb.__version__
+
+
+def test_domains_and_suffixes(spark):
+    want = {
+        "www.example.com": ("example.com", "com"),
+        "www.example.co.kr": ("example.co.kr", "co.kr"),
+        "foo.example.gov.uk": ("example.gov.uk", "gov.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "me.uk.com": ("uk.com", "com"),
+        "192.168.0.1:80": ("192.168.0.1", ""),
+        "a.example.com.": ("example.com", "com"),
+        "user@[2001:db8::1]:443": ("2001:db8::1", ""),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+        "a.b.c.ck": ("b.c.ck", "c.ck"),
+        "a.www.ck": ("www.ck", "ck"),
+        "x.y.blog.example": ("y.blog.example", "blog.example"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = url_filter._levels(F.col("host"), ["*.ck", "!www.ck", "blog.example"])
+    assert {r[0]: (r[1], r[2]) for r in hosts.select("host", domain, suffix).collect()} == want
