@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamellar.sources.storage import materialise
+from lamellar.sources.storage import drop, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", label: st
     loops = rows.filter("u = v").select("u")
     state, now = _state(rows.filter("u <> v")), rows.filter("u <> v")
     while state[0]:
-        now = materialise(_small_star(_large_star(now)).filter("u <> v").distinct(), label)
+        was, now = now, materialise(_small_star(_large_star(now)).filter("u <> v").distinct(), label)
+        drop(was)  # the first edges stay: ``loops`` reads them
         before, state = state, _state(now)
         if state == before:
             break

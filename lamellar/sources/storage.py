@@ -14,12 +14,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or our own where it is unset.
+    """The folder all executors see: ``spark.checkpoint.dir``, or our own where it is unset in local mode.
 
-    Our own folder is machine-local, which is right for local mode only.
+    Our own folder is machine-local; on a cluster, executors wouldn't see each other's files there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lamellar-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,10 +40,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a path that ``fresh_dir`` gave, once nothing reads it any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more; other tables stay."""
+    path = getattr(df, "_kept_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -60,4 +65,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{fresh_dir(spark, label)}/data"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept

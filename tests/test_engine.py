@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import zlib
 
@@ -268,3 +269,26 @@ def test_sinks(spark, tmp_path):
     sinks.append_scalars(log, str(tmp_path / "log"))
     sinks.append_scalars(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from lamellar.sources import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_root(Session())
+
+
+def test_kept_tables_can_be_dropped(spark):
+    from lamellar.sources import storage
+
+    kept = storage.materialise(spark.range(3), "dropped")
+    storage.drop(kept)
+    storage.drop(spark.range(3))
+    assert not os.path.exists(kept._kept_at.removeprefix("file://"))
