@@ -10,7 +10,7 @@ from lamellar.llm import decontamination as decontaminate_op
 from lamellar.llm import jaccard_join as jaccard
 from lamellar.llm import language_id as language
 from lamellar.llm import packing, secret_scan
-from lamellar.sources.storage import materialise, read_table
+from lamellar.sources.storage import drop, materialise, read_table
 
 #: (doc_id, key) pairs up to this many, 24 bytes each, are broadcast; beyond, documents are shuffled.
 MOST_BROADCAST = 1_000_000
@@ -98,5 +98,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what each but the last returns is written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        was, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        drop(was)
     return STAGES[-1][1](spark, docs, sf_dir)
