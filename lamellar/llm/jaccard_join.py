@@ -181,7 +181,7 @@ def _packer(bits: int):
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: how many tokens of each document occur in another task's documents."""
+    """Of one hash range, a row for each pack: its documents with tokens in another pack, and with how many."""
     parts = [_unpack(b, w) for b, w in zip(frame.blob, frame.wide, strict=True)]
     low = np.concatenate([p[0] for p in parts])
     idx = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -192,7 +192,18 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     again[1:] = low[1:] == low[:-1]
     again[:-1] |= again[1:]
     found, many = np.unique(uid[again & (idx != _SEVERAL)], return_counts=True)
-    return pd.DataFrame({"uid": found, "outside": many})
+    tasks = np.sort(frame.task.to_numpy(np.int64))
+    cut = [*np.searchsorted(found, tasks).tolist(), len(found)]
+    rows = [(t, (found[a:b] - t).astype("<u2").tobytes(), many[a:b].astype("<u4").tobytes()) for t, a, b in zip(tasks.tolist(), cut[:-1], cut[1:], strict=True) if b > a]
+    return pd.DataFrame(rows, columns=["task", "docs", "many"])
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one pack: how many tokens of each document occur in other packs."""
+    docs = np.concatenate([np.frombuffer(d, "<u2") for d in frame.docs]).astype(np.int64)
+    total = np.bincount(docs, np.concatenate([np.frombuffer(m, "<u4") for m in frame.many]))
+    at = np.flatnonzero(total)
+    return pd.DataFrame({"uid": int(frame.task.iloc[0]) + at, "outside": total[at].astype(np.int64)})
 
 
 def _parities(sets: list[np.ndarray]) -> np.ndarray:
@@ -371,8 +382,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.withColumn("key", F.xxhash64("text"))
     packed = materialise(keyed.mapInArrow(_packer(bits), PACKED), "packed")
     meta = packed.filter("bucket is null").select("doc_id", "key", "uid", "n", "s1", "s2", "inside")
-    outside = packed.filter("bucket is not null").select("task", "bucket", "wide", "blob").groupBy("bucket").applyInPandas(_shared, "uid long, outside long")
-    outside = outside.groupBy("uid").agg(F.sum("outside").alias("outside"))
+    outside = packed.filter("bucket is not null").select("task", "bucket", "wide", "blob").groupBy("bucket")
+    outside = outside.applyInPandas(_shared, "task long, docs binary, many binary").groupBy("task").applyInPandas(_added, "uid long, outside long")
     # k of the smallest set that could be a partner.
     enough = F.expr("3 * ((3 * n + 3) div 4) div 20 + 1")
     left = meta.filter("n > 0").join(outside, "uid", "left").filter(F.col("inside") + F.coalesce("outside", F.lit(0)) >= enough)
