@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamellar.llm.tokens import Encoder, in_slices
+from lamellar.llm.tokens import ENCODE_AT_ONCE, Encoder, in_slices
 from lamellar.sources.storage import materialise
 
 #: Counts by length and task up to this many, 24 bytes each, are broadcast; beyond, pieces are shuffled to them.
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         task = TaskContext.get().partitionId()
         encoder = Encoder(tokenizer, drops_space=True)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, most=ENCODE_AT_ONCE):
             ids, at = encoder.encode(batch.column("text"))
             ids = np.insert(ids, at[1:], end_id).astype("<u4")
             at = at + np.arange(len(at))

@@ -23,10 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamellar.llm.tokens import Encoder, in_slices
+from lamellar.llm.tokens import ENCODE_AT_ONCE, Encoder, in_slices
 from lamellar.sources.storage import fresh_dir
 
 
+#: Documents of a file that are read at once.
+READ_DOCS = 10_000
+
+
 def _width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -40,7 +44,7 @@ def _writer(tokenizer: str, end_id: int, dtype: str, out: str):
         names = {k: f"{root}/part-{part:06d}.{k}" for k in ("ids", "off", "doc")}
         sizes, docs, nulls = [0], [], 0
         held = {k: store.open_output_stream(f"{v}.{attempt}") for k, v in names.items()}
-        for rows in in_slices(batches):
+        for rows in in_slices(batches, most=ENCODE_AT_ONCE):
             ids, at = encoder.encode(rows.column("text"))
             ids = np.insert(ids, at[1:], end_id).astype(dtype)
             held["ids"].write(ids.tobytes())
@@ -70,7 +74,8 @@ def write_token_files(
     """
     dtype = _width(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # By the beginning of the text too, so that rows with no id or one id are dealt as well; the order is the same.
+    rows = rows.repartitionByRange("id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
     done = rows.mapInArrow(_writer(tokenizer, end_id, dtype, out), "part long, docs long, nulls long, ids long")
     parts, base = [], 0
     for r in sorted(done.collect(), key=lambda r: r.part):  # a row for each partition
@@ -83,11 +88,22 @@ def write_token_files(
     return parts
 
 
-def _open(store, path: str, dtype: str, n: int) -> np.ndarray:
+class _Stored:
+    """A file of numbers in another store than the local one, of which slices are read."""
+
+    def __init__(self, file, dtype: str):
+        self.file, self.dtype = file, np.dtype(dtype)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((part.stop - part.start) * size, part.start * size), dtype=self.dtype)
+
+
+def _open(store, path: str, dtype: str, n: int) -> np.ndarray | _Stored:
+    """Memory-mapped where the store is local; else each slice is one read of its bytes alone."""
     if isinstance(store, pafs.LocalFileSystem):
         return np.memmap(path, dtype=dtype, mode="r", shape=(n,))
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), dtype=dtype)
+    return _Stored(store.open_input_file(path), dtype)
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
@@ -105,13 +121,14 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
                 off = _open(store, f"{name}.off", "<i8", p["docs"] + 1)
                 doc = _open(store, f"{name}.doc", "<i8", p["docs"])
                 ids = _open(store, f"{name}.ids", dtype, p["ids"])
-                for lo in range(0, p["docs"], 10_000):
-                    at = off[lo : lo + 10_001]
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
-                    mask = np.arange(lo, lo + len(at) - 1) < p["nulls"]
+                for lo in range(0, p["docs"], READ_DOCS):
+                    hi = min(lo + READ_DOCS, p["docs"])
+                    at = np.asarray(off[lo : hi + 1])
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    mask = np.arange(lo, hi) < p["nulls"]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.asarray(doc[lo : lo + 10_000]), mask=mask),
+                            pa.array(np.asarray(doc[lo:hi]), mask=mask),
                             pa.array(at[:-1] + p["base"]),
                             pa.array(np.diff(at)),
                             pa.array(crc, pa.int64()),

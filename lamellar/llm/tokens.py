@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 
 #: Stands before a text's first piece, which no blank precedes; a text that holds it is encoded whole.
 _FIRST = "\x02"
+#: Bytes of text that an encoder should be given at once: pieces repeat less in fewer.
+ENCODE_AT_ONCE = 6_000_000
 #: Characters of the longest piece that is kept.
 LONGEST = 64
-#: Pieces seen once that are kept at most.
-ONCE = 400_000
 _WHOLE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|\x02"
 
 
@@ -28,19 +28,20 @@ class Encoder:
     """``encode(texts)`` gives the ids of all texts in a row, and where each text begins and ends.
 
     ``drops_space``: the tokenizer normalises and drops white space. Pieces of up to LONGEST characters
-    are kept once they have been seen twice, ``room`` of them at most, and half as many that were
-    seen once lately; so memory is bounded, and what isn't kept is encoded again, which changes speed alone.
+    are kept as columns; beyond ``room`` of them, the half that was met most often stays. So memory is
+    bounded, and what isn't kept is encoded again, which changes speed alone.
     """
 
-    def __init__(self, path: str, drops_space: bool, room: int = 300_000):
+    def __init__(self, path: str, drops_space: bool, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.drops_space, self.room = drops_space, room
-        self.known: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
+        self.pieces = pa.array([], pa.large_string())
+        self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
         (self.mark,) = np.frombuffer(self._ids(["0" if drops_space else "\n"])[0], "<u4")
         self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
 
@@ -83,32 +84,54 @@ class Encoder:
         """
         return piece[:-1] if len(piece) > 2 and piece[-1] in ",." and piece[-2].isascii() and piece[-2].isalpha() else piece
 
-    def _look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known, once, core = self.known, self.once, self._core
-        found = list(map(known.get, distinct))
-        missing = [i for i, x in enumerate(found) if x is None]
-        again = list(map(once.get, [distinct[i] for i in missing]))
-        if len(known) < self.room:
-            known.update((distinct[i], x) for i, x in zip(missing, again, strict=True) if x is not None)
-        first = []
-        for i, x in zip(missing, again, strict=True):
-            if x is None:
-                first.append((i, core(distinct[i])))
-            else:
-                found[i] = x
-        new = {c: known.get(c) or once.get(c) for _, c in first}
-        wanted = [c for c, x in new.items() if x is None]
+    def _kept(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece is kept, or -1."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that aren't kept."""
+        cores = list(map(self._core, pieces))
+        found: dict[str, bytes] = {}
+        wanted = list(dict.fromkeys(cores))
+        shorter = [c for c, p in zip(cores, pieces, strict=True) if len(c) < len(p)]
+        for c, at in zip(shorter, self._kept(pa.array(shorter, pa.large_string())).tolist(), strict=True):
+            if at >= 0:
+                found[c] = self.flat[self.begins[at] : self.begins[at] + self.sizes[at]].tobytes()
+        wanted = [c for c in wanted if c not in found]
         for lo in range(0, len(wanted), 4096):
             some = wanted[lo : lo + 4096]
-            new.update(zip(some, self._joined_ids(list(map(self._text, some))), strict=True))
-        if len(once) > ONCE:
-            once.clear()
-        for i, c in first:
-            piece = distinct[i]
-            found[i] = new[c] if len(c) == len(piece) else new[c] + self.marks[piece[-1]]
-            if len(piece) <= LONGEST:
-                once[piece] = found[i]
-        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            found.update(zip(some, self._joined_ids(list(map(self._text, some))), strict=True))
+        return [found[c] if len(c) == len(p) else found[c] + self.marks[p[-1]] for c, p in zip(cores, pieces, strict=True)]
+
+    def _look_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in a row, and where those of each piece begin and how many there are."""
+        at = self._kept(distinct)
+        missing = at < 0
+        self.met[at[~missing]] += 1
+        new = distinct.filter(pa.array(missing))
+        ids = self._encoded(new.to_pylist())
+        many = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        first = len(self.flat) + np.cumsum(many) - many
+        begins, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        begins[missing], sizes[missing] = first, many
+        begins[~missing], sizes[~missing] = self.begins[at[~missing]], self.sizes[at[~missing]]
+        short = pc.less_equal(pc.utf8_length(new), LONGEST)
+        keep = short.to_numpy(zero_copy_only=False)
+        self.pieces = pa.concat_arrays([self.pieces, new.filter(short)])
+        self.begins, self.sizes = np.concatenate([self.begins, first[keep]]), np.concatenate([self.sizes, many[keep]])
+        self.met, self.flat = np.concatenate([self.met, np.zeros(keep.sum(), np.int64)]), flat
+        if len(self.pieces) > self.room or len(flat) > 8 * self.room:
+            self._forget()
+        return flat, begins, sizes
+
+    def _forget(self) -> None:
+        """Keeps the half of ``room`` that was met most often, of equals the latest."""
+        stay = np.sort(np.argsort(self.met, kind="stable")[len(self.met) - min(len(self.met), self.room // 2) :])
+        self.pieces, self.met, self.sizes = self.pieces.take(pa.array(stay)), self.met[stay], self.sizes[stay]
+        ends = np.cumsum(self.sizes)
+        self.flat = self.flat[np.repeat(self.begins[stay] - (ends - self.sizes), self.sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.begins = ends - self.sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -125,8 +148,7 @@ class Encoder:
         split = pc.split_pattern(marked, " ")
         coded = split.flatten().dictionary_encode()
         index, ends = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64)
-        ids, sizes = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        begins = np.cumsum(sizes) - sizes
+        ids, begins, sizes = self._look_up(coded.dictionary)
         many = sizes[index]
         at = np.concatenate([[0], np.cumsum(many)])
         out = ids[np.repeat(begins[index] - at[:-1], many) + np.arange(at[-1])] if at[-1] else np.zeros(0, "<u4")

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
@@ -45,6 +46,12 @@ def test_token_files(spark):
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
+    class Elsewhere:  # a store that isn't local
+        def __init__(self, store):
+            self.open_input_file = store.open_input_file
+
+    ids = token_files._open(Elsewhere(pafs.LocalFileSystem()), f"{out.removeprefix('file://')}/part-000000.ids", "<u2", 9)
+    assert ids[3:9].tolist() == token_files._open(pafs.LocalFileSystem(), f"{out.removeprefix('file://')}/part-000000.ids", "<u2", 9)[3:9].tolist()
     root = out.removeprefix("file://")
     manifest = json.load(open(f"{root}/manifest.json"))
     flat = np.concatenate([np.fromfile(f"{root}/part-{p['part']:06d}.ids", manifest["dtype"]) for p in manifest["parts"]])
