@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from lamellar.sources.storage import materialise
 
 
-def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``name``: 1 and up in the order of ``column``, whose values should be distinct.
+def with_rank(df: DataFrame, column: str | list[str], name: str) -> DataFrame:
+    """``name``: 1 and up in the order of ``column``, or of several, whose values should be distinct.
 
     Rows are dealt by ranges; each range numbers its own rows and adds the sizes of those before,
     of which there is one per task.
     """
-    ranged = df.repartitionByRange(column).withColumn("__range", F.spark_partition_id())
+    by = [column] if isinstance(column, str) else column
+    ranged = df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id())
     ranged = materialise(ranged, "ranked")
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__many"))
     before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     base = sizes.select("__range", F.coalesce(F.sum("__many").over(before), F.lit(0)).alias("__base"))
-    own = F.row_number().over(W.partitionBy("__range").orderBy(column)).cast("long")
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*by)).cast("long")
     return ranged.join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + own).drop("__range", "__base")

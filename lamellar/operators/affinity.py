@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lamellar.functions.scalar import tri_state
 
 AXES = ("x", "y", "z")
+#: Side of a block of voxels that one task holds, or the longest offset if that is more.
+BLOCK = 64
 
 
 def neighbour(column: str, axis: str, offset: int, keys: tuple[str, ...] = ()) -> Column:
@@ -26,9 +28,20 @@ def affinities(seg: DataFrame, long_range: int = 10, keys: tuple[str, ...] = (),
     ``seg``: x, y, z, seg, with 0 for background and -1 for unlabelled. Labels are compared as they
     are, so two unlabelled neighbours agree until masked; background has no affinity. The mask is
     true for pairs within the volume, and with ``labelled_only`` for pairs of labelled voxels.
+
+    One shuffle: blocks go to a task with copies of the voxels that their last ones meet, and the three
+    axes' windows lie within a block.
     """
     steps = [(axis, step) for step in (1, long_range) for axis in AXES]
-    out = seg.withColumns({f"__n{k}": neighbour("seg", axis, step, keys) for k, (axis, step) in enumerate(steps)})
+    side, blocks = max(BLOCK, long_range), [f"__b{a}" for a in AXES]
+    own = seg.withColumns({b: F.floor(F.col(a) / side) for a, b in zip(AXES, blocks, strict=True)}).withColumn("__own", F.lit(True))
+    rows = own
+    for a, b in zip(AXES, blocks, strict=True):
+        beside = own.filter(F.pmod(F.col(a), F.lit(side)) < max(1, long_range))
+        rows = rows.unionByName(beside.withColumns({b: F.col(b) - 1, "__own": F.lit(False)}))
+    out = rows.repartition(*keys, *blocks)
+    out = out.withColumns({f"__n{k}": neighbour("seg", axis, step, (*keys, *blocks)) for k, (axis, step) in enumerate(steps)})
+    out = out.filter("__own").drop("__own", *blocks)
     there = lambda k: F.col(f"__n{k}").isNotNull()
     labelled = lambda k: there(k) & (F.col("seg") != -1) & (F.col(f"__n{k}") != -1) if labelled_only else there(k)
     same = lambda k: F.coalesce((F.col("seg") == F.col(f"__n{k}")) & (F.col("seg") != 0), F.lit(False))

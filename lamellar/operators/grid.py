@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -84,21 +87,21 @@ def blend(predictions: DataFrame, small: int, overlap: bool, channels: tuple[str
 def blurred(img: DataFrame, column: str, sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
     """Gaussian blur along all three axes, edges reflected (d c b a | a b c d), one axis at a time.
 
-    The kernel has 2 * int(truncate * sigma + 0.5) + 1 places; each voxel is sent to those around.
+    The kernel has 2 * int(truncate * sigma + 0.5) + 1 places, fewer than an axis has. A voxel's
+    neighbours are a range frame, so no row is sent more than once for each axis; one near an edge
+    counts again for each of its images within the kernel.
     """
     radius = int(truncate * sigma + 0.5)
-    raw = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.struct(d.alias("d"), F.exp(-0.5 * d * d / (sigma * sigma)).alias("w")))
-    total = F.aggregate(raw, F.lit(0.0), lambda s, r: s + r.w)
+    total = sum(math.exp(-0.5 * d * d / (sigma * sigma)) for d in range(-radius, radius + 1))
+    weight = lambda d: F.when(F.abs(d) <= radius, F.exp(-0.5 * d * d / (sigma * sigma)) / total).otherwise(0.0)
     df = img.select(*AXES, F.col(column).cast("double").alias(column))
     sizes = img.agg(*((F.max(a) + 1).alias(f"n{a}") for a in AXES))
+    df = df.join(F.broadcast(sizes))  # one row
     for axis in AXES:
-        n = F.col(f"n{axis}")
-        spread = df.join(F.broadcast(sizes)).withColumn("__k", F.explode(raw))
-        # The voxel that reads this one at distance d; mirrored places are read twice or more.
-        low, period = F.col(axis) + F.col("__k.d"), 2 * n
-        images = F.array(low, -1 - F.col(axis) + F.col("__k.d"), period - 1 - F.col(axis) + F.col("__k.d"))
-        sent = spread.withColumn("__at", F.explode(images)).filter((F.col("__at") >= 0) & (F.col("__at") < n))
         others = [a for a in AXES if a != axis]
-        sent = sent.groupBy(*others, "__at").agg(F.sum(F.col(column) * F.col("__k.w") / total).alias(column))
-        df = sent.withColumnRenamed("__at", axis)
+        around = W.partitionBy(*others).orderBy(axis).rangeBetween(-radius, radius)
+        met = F.collect_list(F.struct(F.col(axis).alias("at"), F.col(column).alias("v"))).over(around)
+        here, n = F.col(axis), F.col(f"n{axis}")
+        read = lambda r: r.v * (weight(r.at - here) + weight(-1 - r.at - here) + weight(2 * n - 1 - r.at - here))  # noqa: B023, E731
+        df = df.withColumn("__met", met).withColumn(column, F.aggregate("__met", F.lit(0.0), lambda s, r: s + read(r))).drop("__met")
     return df.select(*AXES, column)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamellar.functions.ranking import with_rank
@@ -125,10 +124,16 @@ def label_components(seg: DataFrame, shape: tuple[int, int, int] | None = None,
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root, and ``local``, its number from 0 within its component; lone nodes are their own."""
+    """node, root, and ``local``, its number from 0 within its component; lone nodes are their own.
+
+    Nodes are dealt and numbered by ranges of (root, node), so a component may be of any size: a
+    node's number in all less that of its component's first node.
+    """
     found = connected_components(edges.select("u", "v"))
     rows = nodes.select("node").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rows.withColumn("local", F.row_number().over(W.partitionBy("root").orderBy("node")).cast("long") - 1)
+    ranked = materialise(with_rank(rows, ["root", "node"], "nth"), "graph-ranks")
+    first = ranked.groupBy("root").agg(F.min("nth").alias("first"))
+    return ranked.join(first, "root").select("node", "root", (F.col("nth") - F.col("first")).alias("local"))
 
 
 def component_of_skeleton(nodes: DataFrame, components: DataFrame) -> DataFrame:
@@ -136,12 +141,17 @@ def component_of_skeleton(nodes: DataFrame, components: DataFrame) -> DataFrame:
     return nodes.select("node", "skel").join(components, "node").groupBy("skel").agg(F.max("root").alias("root"))
 
 
-def label_lookup(nodes: DataFrame, seg: DataFrame, check: bool = True) -> DataFrame:
+def label_lookup(nodes: DataFrame, seg: DataFrame, check: bool = True, most_broadcast: int = 1_000_000) -> DataFrame:
     """Nodes (x, y, z and others) with the label under them; a node outside the volume is an error.
 
-    Equi-join on three keys; the volume isn't broadcast, whatever its size.
+    Up to ``most_broadcast`` places (24 bytes each) are broadcast, so that the volume isn't shuffled for a few
+    nodes; beyond, both are joined by shuffle. The volume is never broadcast.
     """
-    found = nodes.join(seg.select(*AXES, F.col("seg").alias("pred")), list(AXES), "left")
+    places = materialise(nodes.select(*AXES).distinct(), "places")
+    voxels = seg.select(*AXES, F.col("seg").alias("pred"))
+    if places.count() <= most_broadcast:
+        voxels = voxels.join(F.broadcast(places), list(AXES), "left_semi")
+    found = nodes.join(voxels, list(AXES), "left")
     if not check:
         return found
     bad: Column = F.raise_error(F.lit("a node lies outside the volume")).cast("long")

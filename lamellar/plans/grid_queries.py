@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamellar.functions import scalar
-from lamellar.operators import affinity, grid, sampling, segmentation, stats
+from lamellar.operators import affinity, augment, grid, sampling, segmentation, stats
 from lamellar.sources.fixtures import VOXELS_SQL, voxels
 
 LONG = 3
@@ -228,6 +228,14 @@ def aug_affine(spark: SparkSession, d: str) -> DataFrame:
     return sampling.affine(part, "raw", m, segmentation.shape_of(part)).select("x", "y", "z", F.round("raw", 6).alias("raw"))
 
 
+def aug_random(spark: SparkSession, d: str) -> DataFrame:
+    """Every cube of five voxels a side is a sample; all steps are on."""
+    cube = "(x div 5) * 10000 + (y div 5) * 100 + z div 5 as sample"
+    rows = voxels(spark, d).selectExpr(cube, "x % 5 as x", "y % 5 as y", "z % 5 as z", "raw", "seg")
+    on = augment.Settings(0.1, 0.1, 2, 0.1, 0.1, 0.1, 0.5, 0.1, 0.1)
+    return augment.augmented(rows, 5, on, seed=3)
+
+
 def sample_positions(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_positions(spark.range(1000), (150, 100, 90), 32, 8, seed=5)
 
@@ -240,7 +248,7 @@ NAMES = (
     "aff_short aff_long aff_tristate aff_loss_mask aff_labeled_fraction seg_center_pad box_slice crop middle_slice img_normalize axis_move "
     "scaled_sigmoid hard_affinity channel_slice masked_bce patch_offsets patch_grid patch_overlap_grid patch_chunks chunk_bbox patch_weight "
     "blend_overlap blend_no_overlap components_affinity component_sizes components_label6 node_label_lookup voxel_to_nm clip_rescale "
-    "gaussian_blur concat_union aug_flip_rot aug_drop aug_shift aug_intensity aug_noise aug_affine sample_positions weighted_choice"
+    "gaussian_blur concat_union aug_flip_rot aug_drop aug_shift aug_intensity aug_noise aug_affine aug_random sample_positions weighted_choice"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
