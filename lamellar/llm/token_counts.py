@@ -3,7 +3,8 @@
 An Aho-Corasick automaton gives the vocabulary's matches by where they end, the longest first. The
 best score and its number of pieces are carried from place to place. Tokenizer rules, exactly: a
 character without a piece of its own may be unknown, at the least score of the vocabulary less ten;
-of equal scores the path whose last piece begins first wins; adjacent unknown characters are one.
+of equal scores the path whose last piece begins first wins; adjacent unknown characters are one. The
+unknown piece's own name in a text is unknown too, at the score of that piece.
 No piece has a blank mark behind another character and none has a line end, so a text's count is
 made of the counts of its words, which repeat and are kept.
 """
@@ -23,6 +24,8 @@ from lamellar.llm.tokens import in_slices
 BLANK = "▁"
 #: Below the least score, for an unknown character.
 UNKNOWN_PENALTY = 10.0
+#: The unknown piece's name and score.
+UNKNOWN = ("<unk>", 0.0)
 #: Stands between words; a text that holds it is counted whole.
 _CUT = "\ue000"
 
@@ -46,9 +49,10 @@ class Counter:
             raise ValueError("a piece runs over a word's end")
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
-            self.automaton.add_word(piece, (len(piece), score))
+            self.automaton.add_word(piece, (len(piece), score, 0))
+        self.automaton.add_word(UNKNOWN[0], (len(UNKNOWN[0]), UNKNOWN[1], 1))
         self.automaton.make_automaton()
-        self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.unknown = min(UNKNOWN[1], *(s for _, s in pieces)) - UNKNOWN_PENALTY
         self.room = room
         self.known: dict[str, tuple[int, int, int]] = {}
 
@@ -61,15 +65,15 @@ class Counter:
         last, first = [0] * (n + 1), [-1] * (n + 1)  # -1: no piece yet
         unknown, done = self.unknown, 0
 
-        def settle(end: int, found: list[tuple[int, float]]) -> None:
+        def settle(end: int, found: list[tuple[int, float, int]]) -> None:
             best, single = None, False
-            for length, s in found:
+            for length, s, strange in found:
                 start = end - length
                 single |= length == 1
                 s += score[start]
                 if best is None or s > best:
-                    best, pieces[end], last[end] = s, pieces[start] + 1, 0
-                    first[end] = 0 if first[start] < 0 else first[start]
+                    best, pieces[end], last[end] = s, pieces[start] + (not (strange and last[start])), strange
+                    first[end] = strange if first[start] < 0 else first[start]
             if not single:
                 s = unknown + score[end - 1]
                 if best is None or s > best:
@@ -77,7 +81,7 @@ class Counter:
                     first[end] = 1 if first[end - 1] < 0 else first[end - 1]
             score[end] = best
 
-        found: list[tuple[int, float]] = []
+        found: list[tuple[int, float, int]] = []
         for at, value in self.automaton.iter(text):
             while done < at:
                 done += 1
@@ -121,7 +125,8 @@ class Counter:
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens for every row; null and empty texts have none. No shuffle.
 
-    Repeated rows and null ids are counted like others; only the two columns are read.
+    Repeated rows and null ids are counted like others; an empty table gives an empty result; a long
+    text is counted whole, in memory of its own size. Only the two columns are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
