@@ -22,14 +22,10 @@ from pyspark.sql import functions as F
 from lamellar.llm.tokens import in_slices
 from lamellar.sources.storage import materialise
 
-#: Words of the vocabulary: no limit.
-VOCABULARY = None
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 8_000_000
 #: Weight of the word probability in a bigram's, in counts.
 ALPHA = 50.0
-#: Distinct words that a task holds before it hands on partial counts.
-MOST_HELD = 300_000
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -41,51 +37,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), np.bincount(doc[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all documents; each task adds up its own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def added() -> pa.Table:
-            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-
-        for batch in in_slices(batches):
-            counts = pc.value_counts(_words(batch.column("text"))[0])
-            held.append(pa.table({"word": counts.field("values").cast(pa.string()), "n": counts.field("counts")}))
-            held = [added()]
-            if held[0].num_rows > MOST_HELD:
-                yield from held.pop().to_batches()
-        for table in held:
-            yield from table.to_batches()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int) -> list[str]:
-    """The most frequent words, ties by the word itself: ``size`` at most, so the driver may hold them.
-
-    Counts are binned by their six leading bits. Only the bin where the vocabulary ends is ordered, so
-    tasks don't each send ``size`` words.
-    """
-    low = F.greatest(F.length(F.bin("n")) - 6, F.lit(0))
-    counts = word_counts(docs).withColumn("bin", F.col("n") - F.col("n") % F.pow(F.lit(2.0), low).cast("long"))
-    counts = materialise(counts, "word-counts")
-    bins = sorted(((r.bin, r.k) for r in counts.groupBy("bin").agg(F.count("*").alias("k")).collect()), reverse=True)  # 32 for each doubling
-    taken, last = 0, 0
-    for last, many in bins:  # noqa: B007
-        if taken + many > size:
-            break
-        taken += many
-    else:
-        last = 0
-    above = counts.filter(F.col("bin") > last).select("word", "n")
-    rest = counts.filter(F.col("bin") == last).orderBy(F.desc("n"), "word").limit(size - taken).select("word", "n")
-    rows = above.collect() + (rest.collect() if last else [])
-    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
-
-
-def slots(ids: np.ndarray) -> np.ndarray:
+def pairs_of(ids: np.ndarray) -> np.ndarray:
     """The key of each bigram of a row of ids: both ids side by side, so each bigram has its own."""
     return (ids[:-1].astype(np.int64) << 32) | ids[1:].astype(np.int64)
 
@@ -204,7 +156,7 @@ def bigram_models(base: DataFrame, words: DataFrame, many: int) -> DataFrame:
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, doc, within, (ids, _, _) = _numbered(left, right, many)
-        keys, at = np.unique(slots(ids[tokens])[within], return_inverse=True)
+        keys, at = np.unique(pairs_of(ids[tokens])[within], return_inverse=True)
         own = _unpacked(left["wanted"][0].as_py())[doc[within]] > 0
         t, b = (np.bincount(x, minlength=len(keys)) for x in (at[own], at))
         order, groups = _dealt(_bigram_buckets(keys, many))
@@ -224,6 +176,10 @@ def bigram_models(base: DataFrame, words: DataFrame, many: int) -> DataFrame:
 def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score, their difference; less is more wanted.
 
+    A bigram's probability is its count and ALPHA times the word's probability, over the count of the first
+    word and ALPHA. So those of all words after a word, and of the document's end, sum to 1, an unseen word having one
+    count among the words'.
+
     ``labels``: doc_id and wanted (true or false). A document counts as wanted if any of its labels
     says so. Null or empty text has 0 tokens and null losses. Rows with a null id are counted for the
     background and scored; repeated rows count each time. An empty corpus gives an empty result.
@@ -241,7 +197,7 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of_word = pc.is_valid(right["ids"])
         tokens, doc, within, (ids, *counts) = _numbered(left, right.filter(of_word), many)
-        keys, at = np.unique(slots(ids[tokens])[within], return_inverse=True)
+        keys, at = np.unique(pairs_of(ids[tokens])[within], return_inverse=True)
         order, _ = _dealt(_bigram_buckets(keys, many))
         found = right.filter(pc.invert(of_word)).sort_by("bucket")
         lengths = _unpacked(left["lengths"][0].as_py())

@@ -154,34 +154,33 @@ def test_count_only_viterbi_on_ties():
         assert counter.count(pa.array(texts)).tolist() == [len(unigram.tokenize("▁" + t.replace(" ", "▁"))) for t in texts]
 
 
-def test_lm_scoring(spark, monkeypatch):
+def test_lm_scoring(spark):
     rows, df = corpus(spark)
     labels = [(r.doc_id, r.quality == 1) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()] + [(None, True), (5, None)]
     got = lm_scoring.lm_scoring(df, spark.createDataFrame(labels, "doc_id long, wanted boolean")).collect()
     words = [t.lower().split() if t else [] for _, t in rows]
-    total = Counter(w for ws in words for w in ws)
-    known = {w: i for i, w in enumerate(sorted(total, key=lambda w: (-total[w], w))[: lm_scoring.VOCABULARY], 1)}
-    ids = [np.array([known.get(w, 0) for w in ws], np.int64) for ws in words]
+    many = len({w for ws in words for w in ws})
     wanted = {d for d, w in labels if w and d is not None}
     loss = {}
     for k, use in enumerate(([d in wanted for d, _ in rows], [True] * len(rows))):
-        uni, bi = Counter(), Counter()
-        for keep, x in zip(use, ids):
+        uni, bi, ends = Counter(), Counter(), Counter()
+        for keep, ws in zip(use, words):
             if keep:
-                uni.update(x.tolist())
-                bi.update(lm_scoring.slots(x).tolist())
-        n = sum(uni.values())
-        p = lambda w: (uni[w] + 1) / (n + len(known) + 1)  # noqa: B023, E731
-        for i, x in enumerate(ids):
-            if len(x):
-                slot = lm_scoring.slots(x).tolist()
-                rest = [(bi[s] + lm_scoring.ALPHA * p(b)) / (uni[a] + lm_scoring.ALPHA) for s, a, b in zip(slot, x.tolist(), x.tolist()[1:])]
-                loss[i, k] = -(math.log(p(x[0])) + sum(map(math.log, rest))) / len(x)
-    want = sorted((str(d), len(ids[i]), round(loss.get((i, 0), 0), 6), round(loss.get((i, 1), 0), 6)) for i, (d, _) in enumerate(rows))
+                uni.update(ws)
+                bi.update(zip(ws, ws[1:]))
+                ends.update(ws[-1:])
+        n = uni.total()
+        p = lambda w: (uni[w] + 1) / (n + many + 1)  # noqa: B023, E731
+        q = lambda a, b: (bi[a, b] + lm_scoring.ALPHA * p(b)) / (uni[a] + lm_scoring.ALPHA)  # noqa: B023, E731
+        for a, _ in uni.most_common(3):  # all words, the document's end, and any unseen word
+            every = sum(q(a, b) for b in {w for ws in words for w in ws}) + (ends[a] + lm_scoring.ALPHA * p(None)) / (uni[a] + lm_scoring.ALPHA)
+            assert abs(every - 1) < 1e-9
+        for i, ws in enumerate(words):
+            if ws:
+                loss[i, k] = -(math.log(p(ws[0])) + sum(math.log(q(a, b)) for a, b in zip(ws, ws[1:]))) / len(ws)
+    want = sorted((str(d), len(words[i]), round(loss.get((i, 0), 0), 6), round(loss.get((i, 1), 0), 6)) for i, (d, _) in enumerate(rows))
     assert sorted((str(r.doc_id), r.n_tokens, round(r.loss_target or 0, 6), round(r.loss_background or 0, 6)) for r in got) == want
     assert all(r.score is None if not r.n_tokens else abs(r.score - r.loss_target + r.loss_background) < 1e-12 for r in got)
-    monkeypatch.setattr(lm_scoring, "MOST_HELD", 50)
-    assert lm_scoring.vocabulary(df.select("text"), 40) == sorted(total, key=lambda w: (-total[w], w))[:40]
     assert lm_scoring.lm_scoring(df.limit(0), spark.createDataFrame(labels, "doc_id long, wanted boolean")).count() == 0
 
 
