@@ -49,9 +49,9 @@ BEFORE = 8
 #: Another centre is tried as long as one in so many comparisons of a round makes a link.
 WORTH = 8
 #: Documents and tokens that a task packs at once.
-PACK_DOCS, PACK_TOKENS = 60_000, 1_000_000
+PACK_DOCS, PACK_TOKENS = 60_000, 600_000
 #: Bytes of text that are cut into words at once.
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 3_000_000
 #: Ids up to this many are broadcast to find the texts of documents that go on; beyond, they are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 #: In a packed list: the token is in several documents of its task.

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lamellar.llm.tokens import in_slices
 from lamellar.sources.storage import materialise
 
-#: Length of a vector.
-BUCKETS = 4096
+#: Length of a vector, and vectors that are compared at once.
+BUCKETS, AT_ONCE = 4096, 128
 #: Labelled documents of a language that the classifier is fitted on, at most: those with the least hash of the id.
 PER_LANGUAGE = 400
 #: Shares in which the sample of a language is first looked for.
@@ -173,8 +173,8 @@ def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(lo, AT_ONCE)
                 lang, score, rejected = _judged(some.column("text").to_pylist(), model)
                 cols = [some.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "rejected"])
@@ -193,8 +193,8 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, f"c{at}"):
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(lo, AT_ONCE)
                 yield some.filter(pa.array(~_judged(some.column(at).to_pylist(), model)[2])).rename_columns(names)
 
     return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Stands before a text's first piece, which no blank precedes; a text that holds it is encoded whole.
 _FIRST = "\x02"
 #: Bytes of text that an encoder should be given at once: pieces repeat less in fewer.
-ENCODE_AT_ONCE = 6_000_000
+ENCODE_AT_ONCE = 4_000_000
 #: Characters of the longest piece that is kept.
 LONGEST = 64
 _WHOLE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|\x02"
@@ -32,7 +32,7 @@ class Encoder:
     bounded, and what isn't kept is encoded again, which changes speed alone.
     """
 
-    def __init__(self, path: str, drops_space: bool, room: int = 1_000_000):
+    def __init__(self, path: str, drops_space: bool, room: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,8 +40,8 @@ class Encoder:
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.drops_space, self.room = drops_space, room
         self.pieces = pa.array([], pa.large_string())
-        self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(0, np.int32)
+        self.sizes, self.met = np.zeros(0, np.int32), np.zeros(0, np.int32)
         (self.mark,) = np.frombuffer(self._ids(["0" if drops_space else "\n"])[0], "<u4")
         self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
 
@@ -110,17 +110,17 @@ class Encoder:
         self.met[at[~missing]] += 1
         new = distinct.filter(pa.array(missing))
         ids = self._encoded(new.to_pylist())
-        many = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        many = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        first = len(self.flat) + np.cumsum(many) - many
-        begins, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        first = (len(self.flat) + np.cumsum(many) - many).astype(np.int32)
+        begins, sizes = np.empty(len(at), np.int32), np.empty(len(at), np.int32)
         begins[missing], sizes[missing] = first, many
         begins[~missing], sizes[~missing] = self.begins[at[~missing]], self.sizes[at[~missing]]
         short = pc.less_equal(pc.utf8_length(new), LONGEST)
         keep = short.to_numpy(zero_copy_only=False)
         self.pieces = pa.concat_arrays([self.pieces, new.filter(short)])
         self.begins, self.sizes = np.concatenate([self.begins, first[keep]]), np.concatenate([self.sizes, many[keep]])
-        self.met, self.flat = np.concatenate([self.met, np.zeros(keep.sum(), np.int64)]), flat
+        self.met, self.flat = np.concatenate([self.met, np.zeros(keep.sum(), np.int32)]), flat
         if len(self.pieces) > self.room or len(flat) > 8 * self.room:
             self._forget()
         return flat, begins, sizes
@@ -131,7 +131,7 @@ class Encoder:
         self.pieces, self.met, self.sizes = self.pieces.take(pa.array(stay)), self.met[stay], self.sizes[stay]
         ends = np.cumsum(self.sizes)
         self.flat = self.flat[np.repeat(self.begins[stay] - (ends - self.sizes), self.sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        self.begins = ends - self.sizes
+        self.begins = (ends - self.sizes).astype(np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -151,7 +151,9 @@ class Encoder:
         ids, begins, sizes = self._look_up(coded.dictionary)
         many = sizes[index]
         at = np.concatenate([[0], np.cumsum(many)])
-        out = ids[np.repeat(begins[index] - at[:-1], many) + np.arange(at[-1])] if at[-1] else np.zeros(0, "<u4")
+        place = np.repeat((begins[index] - at[:-1]).astype(np.int32), many)  # of a slice, so 32 bits do
+        place += np.arange(at[-1], dtype=np.int32)
+        out = ids[place]
         bounds = at[ends]
         if whole.any():
             return self._with_whole(texts, whole, out, bounds)
