@@ -61,28 +61,35 @@ def draws(samples: DataFrame, settings: Settings, seed: int = 0) -> DataFrame:
     columns |= {"warps": u("warps") < s.affine}
     columns |= {f"angle_{a}": spread(f"angle_{a}", math.pi) for a in AXES} | {f"scale_{a}": 1 + spread(f"scale_{a}", s.affine_scale) for a in AXES}
     columns |= {f"shear{k}": spread(f"shear{k}", s.affine_shear) for k in range(6)}
-    return samples.select("sample").distinct().withColumns(columns)
+    out = samples.select("sample").distinct().withColumns(columns)
+    return out.withColumns({f"m{i}{j}": e for i, row in enumerate(_matrix()) for j, e in enumerate(row)}) if s.affine > 0 else out
 
 
-def _turned(df: DataFrame, a: str, b: str, times: Column, n: int) -> DataFrame:
-    p, q, last = F.col(a), F.col(b), F.lit(n - 1)
-    to_a = F.when(times == 1, last - q).when(times == 2, last - p).when(times == 3, q).otherwise(p)
-    to_b = F.when(times == 1, p).when(times == 2, last - q).when(times == 3, last - p).otherwise(q)
-    return df.withColumns({a: to_a, b: to_b})
+def _turned(at: Column, a: str, b: str, times: Column, n: int) -> Column:
+    p, q, last = at[a], at[b], F.lit(n - 1)
+    to = {
+        a: F.when(times == 1, last - q).when(times == 2, last - p).when(times == 3, q).otherwise(p),
+        b: F.when(times == 1, p).when(times == 2, last - q).when(times == 3, last - p).otherwise(q),
+    }
+    return F.struct(*(to.get(k, at[k]).alias(k) for k in AXES))
 
 
 def oriented(df: DataFrame, n: int) -> DataFrame:
     """Axes in the drawn order, turned in each plane, and flipped: every voxel goes to one place."""
-    picked = {}
-    for k, axis in enumerate(AXES):
+
+    def picked(k: int) -> Column:
         at = F.col(AXES[ORDERS[0][k]])
         for i, order in enumerate(ORDERS[1:], 1):
             at = F.when(F.col("order") == i, F.col(AXES[order[k]])).otherwise(at)
-        picked[axis] = at
-    out = df.withColumns(picked)
+        return at
+
+    # A list of one place, so that each step is evaluated once and not written out into the next.
+    at = F.array(F.struct(*(picked(k).cast("long").alias(a) for k, a in enumerate(AXES))))
     for k, (a, b) in enumerate(PLANES):
-        out = _turned(out, a, b, F.col(f"turn{k}"), n)
-    return out.withColumns({a: F.when(F.col(f"flip_{a}"), n - 1 - F.col(a)).otherwise(F.col(a)) for a in AXES})
+        at = F.transform(at, lambda v: _turned(v, a, b, F.col(f"turn{k}"), n))  # noqa: B023
+    flip = lambda v, a: F.when(F.col(f"flip_{a}"), n - 1 - v[a]).otherwise(v[a]).alias(a)
+    at = F.transform(at, lambda v: F.struct(*(flip(v, a) for a in AXES)))[0]
+    return df.withColumn("__at", at).withColumns({a: F.col(f"__at.{a}") for a in AXES}).drop("__at")
 
 
 def _slice(axis: str) -> Column:
@@ -141,8 +148,7 @@ def _matrix() -> list[list[Column]]:
 
 def warped(df: DataFrame, n: int) -> DataFrame:
     """Samples drawn for it, resampled about the centre: ``raw`` between eight voxels, ``seg`` the nearest; mirrored at the edges' centres."""
-    drawn = {f"m{i}{j}": e for i, row in enumerate(_matrix()) for j, e in enumerate(row)}
-    stay, some = df.filter("not warps"), df.filter("warps").withColumns(drawn)
+    stay, some = df.filter("not warps"), df.filter("warps")
     middle, period = (n - 1) / 2, max(1, 2 * (n - 1))
     for k in range(3):
         place = sum((F.col(f"m{k}{j}") * (F.col(a) - middle) for j, a in enumerate(AXES)), F.lit(middle))
