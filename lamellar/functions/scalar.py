@@ -34,6 +34,16 @@ def clip_rescale(value: Column, low: float = 112.0, high: float = 144.0, factor:
     return (F.least(F.greatest(value, F.lit(low)), F.lit(high)) - low) * factor
 
 
+#: A prime, and a multiplier for each of red, green and blue.
+_COLOURS = (65521, (7919, 15485, 32452))
+
+
+def colour(seg: Column, channel: int, seed: int = 0) -> Column:
+    """Red, green or blue (0, 1, 2) of a segment, from 0 to 1, scattered by its number; 0 is black."""
+    prime, factors = _COLOURS
+    return F.when(seg == 0, F.lit(0.0)).otherwise(F.pmod((seg + seed) * factors[channel], F.lit(prime)) / float(prime))
+
+
 #: Nanometres per voxel, by axis.
 SCALES = {"default": (9.0, 9.0, 20.0), "liconn": (9.0, 9.0, 12.0)}
 

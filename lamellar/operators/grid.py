@@ -36,6 +36,13 @@ def centre_pad(seg: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return cell.join(moved, list(AXES), "left").withColumn("seg", F.coalesce("seg", F.lit(-1).cast("long")))
 
 
+def slice_images(volume: DataFrame, channels: dict[str, list[Column]], step: int) -> DataFrame:
+    """tag, step, i, j, c, value: pixels of the middle slice along x, for each tag one value a channel."""
+    cells = [F.struct(F.lit(tag).alias("tag"), F.lit(c).alias("c"), v.cast("double").alias("value")) for tag, values in channels.items() for c, v in enumerate(values)]
+    rows = middle_slice(volume).select(F.col("y").alias("i"), F.col("z").alias("j"), F.explode(F.array(*cells)).alias("p"))
+    return rows.select("p.tag", F.lit(step).cast("long").alias("step"), "i", "j", "p.c", "p.value")
+
+
 def offsets(big: int, small: int) -> Column:
     """Patch starts along an axis: multiples of ``small``, and the last place where one fits."""
     if big < small:

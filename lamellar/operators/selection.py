@@ -47,6 +47,11 @@ def top_checkpoints(scores: DataFrame, keep: int = 100) -> DataFrame:
     return scores.orderBy("val_loss", "step").limit(keep)
 
 
+def first_batches(samples: DataFrame, order: str, size: int, batches: int = 100) -> DataFrame:
+    """The samples of the first ``batches`` batches in order, which is all that validation looks at."""
+    return samples.orderBy(order).limit(size * batches)
+
+
 def dataset_length(sizes: DataFrame) -> DataFrame:
     """dataset, length: int(mult * prod(S - 2 off) / size^3), the least over members."""
     free = (F.col("sx") - 2 * F.col("off")) * (F.col("sy") - 2 * F.col("off")) * (F.col("sz") - 2 * F.col("off"))

@@ -63,6 +63,17 @@ def middle_slice(spark: SparkSession, d: str) -> DataFrame:
     return grid.middle_slice(voxels(spark, d).select("x", "y", "z", "seg"))
 
 
+def seg_colours(spark: SparkSession, d: str) -> DataFrame:
+    rgb = [F.round(scalar.colour(F.col("seg"), k), 9).alias(c) for k, c in enumerate("rgb")]
+    return voxels(spark, d).select("x", "y", "z", *rgb)
+
+
+def image_log(spark: SparkSession, d: str) -> DataFrame:
+    """The middle slice's image, affinities and coloured segments, as pixels."""
+    tags = {"val_img": [scalar.normalised(F.col("raw"), 255)], "val_aff": [F.col(f"a{k}") for k in range(3)], "val_seg": [scalar.colour(F.col("seg"), k) for k in range(3)]}
+    return grid.slice_images(voxels(spark, d), tags, 7).withColumn("value", F.round("value", 6))
+
+
 def img_normalize(spark: SparkSession, d: str) -> DataFrame:
     return voxels(spark, d).select("x", "y", "z", F.round(scalar.normalised(F.col("raw"), 255), 9).alias("val"))
 
@@ -245,7 +256,7 @@ def weighted_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "aff_short aff_long aff_tristate aff_loss_mask aff_labeled_fraction seg_center_pad box_slice crop middle_slice img_normalize axis_move "
+    "aff_short aff_long aff_tristate aff_loss_mask aff_labeled_fraction seg_center_pad box_slice crop middle_slice seg_colours image_log img_normalize axis_move "
     "scaled_sigmoid hard_affinity channel_slice masked_bce patch_offsets patch_grid patch_overlap_grid patch_chunks chunk_bbox patch_weight "
     "blend_overlap blend_no_overlap components_affinity component_sizes components_label6 node_label_lookup voxel_to_nm clip_rescale "
     "gaussian_blur concat_union aug_flip_rot aug_drop aug_shift aug_intensity aug_noise aug_affine aug_random sample_positions weighted_choice"
@@ -330,6 +341,11 @@ _LABELS = (
 )
 
 
+def _colour_sql(channel: int) -> str:
+    prime, factors = scalar._COLOURS
+    return f"case when seg = 0 then 0.0::double else ((seg * {factors[channel]} % {prime} + {prime}) % {prime}) / {prime}::double end"
+
+
 def _in_box(origin: tuple, size: int) -> str:
     return " and ".join(f"{a} >= {o} and {a} < {o + size}" for a, o in zip("xyz", origin))
 
@@ -370,6 +386,10 @@ SQL = {
     "box_slice": f"{_VOX} select x, y, z, seg from vox where {_in_box(BOX[0], BOX[1] + LONG)}",
     "crop": f"{_VOX} select x, y, z, seg from vox where {_in_box(*BOX)}",
     "middle_slice": f"{_VOX} select x, y, z, seg from vox where x = (select (max(x) + 1) // 2 from vox)",
+    "seg_colours": f"{_VOX} select x, y, z, {', '.join(f'round({_colour_sql(k)}, 9) as {c}' for k, c in enumerate('rgb'))} from vox",
+    "image_log": f"{_VOX}, m as (select * from vox where x = (select (max(x) + 1) // 2 from vox)), p as (select y, z, 'val_img' as tag, 0 as c, raw / 255 as v from m "
+    + " ".join(f"union all select y, z, 'val_aff', {k}, cast(a{k} as double) from m union all select y, z, 'val_seg', {k}, {_colour_sql(k)} from m" for k in range(3))
+    + ") select tag, 7 as step, y as i, z as j, c, round(v, 6) as value from p",
     "img_normalize": f"{_VOX} select x, y, z, round(raw / 255, 9) as val from vox",
     "axis_move": f"{_VOX} select 0 as c, x, y, z, raw from vox",
     "scaled_sigmoid": f"{_VOX} select x, y, z, round(1 / (1 + exp(-0.2::double * (raw / 16 - 8))), 9) as val from vox",

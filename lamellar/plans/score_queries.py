@@ -143,6 +143,11 @@ def topk_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     return selection.top_checkpoints(rows)
 
 
+def validation_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred batches of eight, the feature's own limit."""
+    return selection.first_batches(read_table(spark, d, "events").select("event_id", "user_id"), "event_id", 8)
+
+
 def scalar_log(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of the log, by tag."""
     rows = _log(spark, d).select("run", F.col("mode").alias("tag"), "step", "value").filter("value is not null")
@@ -223,7 +228,7 @@ def segmentation_scores(spark: SparkSession, d: str) -> DataFrame:
 NAMES = (
     "nerl nerl_tolerant erl max_erl correct_length skeleton_lengths edge_classes edge_classes_tolerant split_stats n_splits pair_counts merging_segments merge_stats "
     "n_mergers voi rand_scores skeleton_components component_relabel component_lookup threshold_grid threshold_sweep best_threshold best_no_merge running_best "
-    "topk_checkpoints scalar_log tensor_stats grad_norm config_grid cli_args exp_name_regex experiment_name format_value dataset_length weighted_concat_len segmentation_scores"
+    "topk_checkpoints validation_batches scalar_log tensor_stats grad_norm config_grid cli_args exp_name_regex experiment_name format_value dataset_length weighted_concat_len segmentation_scores"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -352,6 +357,7 @@ SQL = {
     "round(greatest(max(value) over (partition by run, mode order by step), 0), 6) as best, "
     "value > greatest(coalesce(max(value) over (partition by run, mode order by step rows between unbounded preceding and 1 preceding), 0), 0) as improved from lg",
     "topk_checkpoints": f"with {_LOG} select step, value as val_loss from lg where value is not null order by value, step limit 100",
+    "validation_batches": "select event_id, user_id from events order by event_id limit 800",
     "scalar_log": f"with {_LOG} select run, mode as tag, step, value from lg where value is not null",
     "tensor_stats": "select event_type, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std from events group by event_type",
     "grad_norm": "select round(sqrt(sum(v * v)), 4) as norm, round(max(abs(v)), 4) as max_abs from (select cast(unnest(embedding) as double) as v from embeddings)",

@@ -22,3 +22,14 @@ def write_best_threshold(best: DataFrame, path: str) -> None:
 def append_scalars(scalars: DataFrame, path: str) -> None:
     """Adds rows (run, tag, value, step) to a log; only numbers are kept."""
     scalars.filter("value is not null").select("run", "tag", F.col("step").cast("long"), F.col("value").cast("double")).write.mode("append").parquet(path)
+
+
+def append_text(rows: DataFrame, path: str) -> None:
+    """Adds rows (run, tag, step, text) to a log of text; rows without a text are left out."""
+    rows.filter("text is not null").select("run", "tag", F.col("step").cast("long").alias("step"), "text").write.mode("append").parquet(path)
+
+
+def append_images(rows: DataFrame, path: str) -> None:
+    """Adds pixels (tag, step, i, j, c, value) to a log of images, values between 0 and 1 as they are shown."""
+    shown = F.least(F.greatest(F.col("value").cast("double"), F.lit(0.0)), F.lit(1.0))
+    rows.select("tag", F.col("step").cast("long").alias("step"), "i", "j", "c", shown.alias("value")).write.mode("append").partitionBy("tag").parquet(path)

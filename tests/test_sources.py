@@ -83,3 +83,15 @@ def test_graph_tables(spark, tmp_path):
 
     got = sorted(map(tuple, graphs.labelled_edges(n.withColumn("seg", F.col("node") * 10), e).collect()))
     assert got == [(5, 1, 2, 10, 20, 9.0), (5, 2, 3, 20, 30, math.sqrt(81 + 400))]
+
+
+def test_logs_of_text_and_images(spark, tmp_path):
+    from lamellar.sources import sinks
+
+    text = spark.createDataFrame([("r", "note", 1, "hello"), ("r", "note", 2, None)], "run string, tag string, step long, text string")
+    image = spark.createDataFrame([("a", 1, 0, 0, 0, 1.5), ("b", 1, 0, 1, 0, -0.5), ("b", 1, 1, 1, 0, 0.25)], "tag string, step long, i long, j long, c int, value double")
+    for _ in range(2):
+        sinks.append_text(text, str(tmp_path / "text"))
+        sinks.append_images(image, str(tmp_path / "images"))
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "text")).collect()] == ["hello"] * 2
+    assert sorted((r.tag, r.value) for r in spark.read.parquet(str(tmp_path / "images")).collect()) == [("a", 1.0)] * 2 + [("b", 0.0)] * 2 + [("b", 0.25)] * 2
