@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamellar.llm.collocations import collocations
 from lamellar.llm.decontamination import decontaminate
 from lamellar.llm.jaccard_join import jaccard_join
 from lamellar.llm.language_id import language_id
+from lamellar.llm.license_scan import license_scan
 from lamellar.llm.lm_scoring import lm_scoring
 from lamellar.llm.packing import pack
 from lamellar.llm.quality_rules import quality_rules
 from lamellar.llm.secret_scan import scan_documents
+from lamellar.llm.spelling import spelling_variants
 from lamellar.llm.statements import statements
 from lamellar.llm.token_counts import token_counts
 from lamellar.llm.token_files import token_files
@@ -75,6 +78,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -87,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_counts": op10_token_counts,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_collocations": op12_collocations,
+        "op13_license_scan": op13_license_scan,
     }
 
 
