@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from lamellar.llm import collocations as c
+from lamellar.llm import license_scan as t
 from lamellar.llm import quality_rules as q
+from lamellar.llm import spelling as s
 from lamellar.llm import url_filter as u
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,5 +121,81 @@ blocked as (select host from lh where mean - {u.Z} * sqrt(mean * (1 - mean) / (w
 select page_id, host, path, case {rule} end as rule, coalesce(case {verdict} end, case when host in (select host from blocked) then 'block' else 'allow' end) as verdict from r"""
 
 
+#: Words are near if one is the other without a letter, or both are equal without the letter at one place.
+OP11 = rf"""
+with recursive bits(k, v, i) as (select range, range, 0 from range(256) union all select k, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, i + 1 from bits where i < 8),
+crc_table as materialized (select list(v::bigint order by k) as t from bits where i = 8),
+runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+few as (select id, run, count(*) as n from runs where length(run) >= {s.SHORTEST} group by all),
+hexed as (select *, hex(encode(id || ':' || run)) as h from few),
+octets as (select *, list_transform(range(1, len(h) // 2 + 1), lambda k: ((instr('0123456789ABCDEF', h[2 * k - 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * k]) - 1)::bigint) as o from hexed),
+summed as (select id, run, n, xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, o), lambda st, b: xor(st >> 8, t[(xor(st, b) & 255) + 1]))) as c from octets, crc_table),
+spoilt as (select case when c % {s.SPOILT} = 0 then run[:c % length(run)] || run[c % length(run) + 2:] else run end as word, n from summed),
+w as materialized (select word, sum(n)::bigint as n from spoilt where length(word) >= {s.SHORTEST} group by word having sum(n) >= {s.LEAST}),
+less as materialized (select word, n, i, word[:i - 1] || word[i + 1:] as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+near0 as (select a.word as a, b.word as b, b.n as m from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from less a join w b on a.rest = b.word union select b.word, a.word, a.n from less a join w b on a.rest = b.word),
+best as (select a as word, count(*) as n_near, arg_min(b, (-m, b)) as form, max(m) as form_n from near0 group by a),
+f as materialized (select w.word, n, coalesce(n_near, 0) as n_near, case when form_n >= {s.TIMES} * n then form end as form, case when form_n >= {s.TIMES} * n then form_n end as form_n from w left join best using (word)),
+up as (select word, form as at from f where form is not null union all select up.word, f.form from up join f on f.word = up.at where f.form is not null),
+last as (select up.word, up.at as root from up join f on f.word = up.at where f.form is null)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join last using (word)"""
+
+
+def _op12() -> str:
+    """Phrases are named by their words, each with those behind it in its piece."""
+    said = lambda k: " || ' ' || ".join(f"w{i}" for i in range(1, k + 1))
+    counts = " union all ".join(f"select lang, {said(k)} as p, {k} as k, count(*) as n from near where w{k} is not null group by all" for k in range(1, c.LONGEST + 1))
+    behind = ", ".join(f"lead(x, {k - 1}) over (partition by piece order by i) as w{k}" for k in range(1, c.LONGEST + 1))
+    return rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?
+-
+]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from pieces),
+numbered as (select lang, w, row_number() over () as piece from words),
+near as (select lang, {behind} from (select lang, piece, unnest(w) as x, unnest(range(len(w))) as i from numbered)),
+f as materialized ({counts}), cand as materialized (select *, string_split(p, ' ') as ws from f where k > 1 and n >= {c.LEAST}),
+inner_of as (select lang, array_to_string(ws[i:i + s - 1], ' ') as p, n from (select *, unnest(range(1, k - s + 2)) as i from (select *, unnest(range(2, k)) as s from cand))),
+held as (select lang, p, max(n) as longer from inner_of group by all),
+x as (select cand.* from cand left join held using (lang, p) where coalesce(100 * longer::hugeint < {c.SUBSUMES} * n, true)),
+cuts as (select lang, p, n as a, k, ws, unnest(range(1, k)) as j from x),
+scored as (select cuts.lang, cuts.p as phrase, a, j, l.n as l, r.n as r, (2000000 * a::hugeint // (l.n + r.n))::bigint as score from cuts
+  join f l on l.lang = cuts.lang and l.p = array_to_string(ws[:j], ' ') join f r on r.lang = cuts.lang and r.p = array_to_string(ws[j + 1:], ' ')),
+one as (select lang, phrase, a, arg_min(l, (score, j)) as l, arg_min(r, (score, j)) as r, min(score) as score from scored group by all),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from one),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= {c.LISTED}"""
+
+
+def _op13() -> str:
+    listed = ", ".join(f"({i}, '{label}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (label, text) in enumerate(t.TEMPLATES))
+    phrase = lambda ws: " and ".join(f"w{i} = '{w}'" for i, w in enumerate(ws.split(), 1))
+    base = " union all ".join(f"select r, '{label}' as label, i from near where {phrase(p)}" for p, label in t.PHRASES)
+    behind = ", ".join(f"lead(x, {k - 1}) over (partition by r order by i) as w{k}" for k in range(1, t.GRAM + 1))
+    gram = " || ' ' || ".join(f"w{i}" for i in range(1, t.GRAM + 1))
+    of_template = f"array_to_string(w[i:i + {t.GRAM - 1}], ' ')"
+    lowered = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    return f"""
+with d as materialized (select doc_id, row_number() over () as r, regexp_extract_all({_LOWERED}, '{_WORD}') as w from documents),
+near as materialized (select r, i, {behind} from (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d)),
+b as materialized ({base}),
+nb as (select r, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by r),
+tp as (select tpl, label, regexp_extract_all({lowered}, '{_WORD}') as w from (values {listed}) v(tpl, label, text)),
+tg as (select tpl, label, len(w) as words, i as q, {of_template} as g from (select *, unnest(range(1, len(w) - {t.GRAM - 2})) as i from tp)),
+v as (select r, tpl, label, words, i, q from (select r, i, {gram} as g from near) join tg using (g)),
+dg as (select r, tpl, label, words, i - q as diag, min(i) as lo, max(i) + {t.GRAM} as hi, list(q) as qs from v group by all),
+ap as (select *, case when diag - lag(diag) over (partition by r, tpl order by diag) <= words // {t.PER_SHIFT} then 0 else 1 end as apart from dg),
+sg as (select *, sum(apart) over (partition by r, tpl order by diag) as span from ap),
+sp as (select r, tpl, label, words, span, min(lo) as lo, max(hi) as hi, len(list_distinct(flatten(list(flatten(list_transform(qs, lambda q: range(q, q + {t.GRAM}))))))) as covered from sg group by all),
+wh as (select *, 100 * covered >= {t.COVERS} * words as whole from sp),
+cl0 as (select *, case when lo < max(hi) over (partition by r order by lo, hi, tpl rows between unbounded preceding and 1 preceding) then 0 else 1 end as first from wh where whole),
+cl as (select *, sum(first) over (partition by r order by lo, hi, tpl) as cluster from cl0),
+own as (select r, label from (select *, rank() over (partition by r, cluster order by covered desc, words) as k from cl) where k = 1),
+labels as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from own union all select r, label from b) group by r),
+share as (select r, max(covered::double / words) as share from sp group by r)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+case when n_base > 0 then 1.0 else coalesce(share, 0) end::double as score from d left join nb using (r) left join labels using (r) left join share using (r)"""
+
+
 def statements(rules: list[tuple[str, str]]) -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_jaccard_join": OP3, "op4_quality_rules": _op4(), "op7_url_filter": _op7(rules)}
+    return {"op1_decontamination": OP1, "op3_jaccard_join": OP3, "op4_quality_rules": _op4(), "op7_url_filter": _op7(rules), "op11_spelling_variants": OP11, "op12_collocations": _op12(), "op13_license_scan": _op13()}
