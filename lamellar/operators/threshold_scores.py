@@ -1,7 +1,6 @@
 """Scores of the segments that affinities make at each of several thresholds, in one plan.
 
-The volume is stacked once for each threshold along x, with an empty slice between, so that one
-labelling gives the segments of all. Everything after has the threshold as a key.
+One forest of merges gives the labels of all thresholds; everything after has the threshold as a key.
 """
 
 from __future__ import annotations
@@ -10,24 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamellar.functions.scalar import above
-from lamellar.operators import segmentation
+from lamellar.operators import blocks, merge_forest, segmentation
 from lamellar.sources.storage import materialise
 
 
-def segments_at(volume: DataFrame, thresholds: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """ord, x, y, z, seg of every voxel at every threshold (ord, thr), few enough to broadcast.
+TYPES = {"a0": "<f4", "a1": "<f4", "a2": "<f4"}
 
-    Segments are numbered through all thresholds; 0 is none of them.
+
+def labels_at(volume: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Nodes with ``ord`` and ``seg`` at every threshold (ord, thr), few enough to list; 0 is no segment.
+
+    A node outside the volume is an error. Only the faces of the volume's blocks and the nodes are shuffled.
     """
-    nx, ny, nz = shape
-    rows = volume.select("x", "y", "z", "a0", "a1", "a2").join(F.broadcast(thresholds.select("ord", "thr")))
-    hard = {f"a{k}": above(F.col(f"a{k}"), F.col("thr")) for k in range(3)}
-    stacked = rows.withColumns({**hard, "x": F.col("ord") * (nx + 1) + F.col("x")}).select("x", "y", "z", "a0", "a1", "a2")
-    many = thresholds.agg(F.max("ord") + 1).first()[0] or 0
-    # An affinity that leads out of its own copy meets the empty slice, as it would the end of the volume.
-    seg = segmentation.affinity_components(stacked, (many * (nx + 1), ny, nz))
-    return seg.select((F.floor(F.col("x") / (nx + 1))).alias("ord"), (F.col("x") % (nx + 1)).alias("x"), "y", "z", "seg")
+    listed = thresholds.select("ord", "thr").collect()  # the options of a sweep
+    packed = blocks.kept(blocks.from_voxels(volume.select("x", "y", "z", *TYPES), TYPES, segmentation.shape_of(volume)))
+    forest = merge_forest.merge_forest(packed, [r.thr for r in listed])
+    levels = F.array(*(F.struct(F.lit(r.ord).cast("long").alias("ord"), F.lit(forest.level(r.thr)).alias("at")) for r in listed))
+    found = merge_forest.labels(forest, nodes).withColumn("t", F.explode(F.filter(levels, lambda t: t["at"] == F.col("level"))))
+    return found.select("t.ord", *nodes.columns, "seg")
 
 
 def scores_at(volume: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -37,11 +36,7 @@ def scores_at(volume: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> Dat
     are an edge. A segment that touches several skeletons merges them; the background counts as one
     segment there, as it does for a single threshold, but is no segment of an edge.
     """
-    shape = segmentation.shape_of(volume)
-    seg = segments_at(volume, thresholds, shape)
-    keyed = nodes.join(F.broadcast(thresholds.select("ord")))
-    found = keyed.join(seg, ["ord", "x", "y", "z"], "left")
-    found = found.withColumn("seg", F.coalesce("seg", F.raise_error(F.lit("a node lies outside the volume")).cast("long")))
+    found = labels_at(volume, nodes, thresholds)
     found = materialise(found.select("ord", "skel", "n", "px", "py", "pz", "seg"), "sweep-labels")
 
     pairs = materialise(found.groupBy("ord", "skel", "seg").agg(F.count("*").alias("n")), "sweep-pairs")
