@@ -27,8 +27,9 @@ KEYS = ("bx", "by", "bz")
 SIDE = 64
 #: Blocks of a bucket, at most: a task reads a bucket block by block.
 PER_BUCKET = 64
-#: Spark's types of arrays' items, by kind and size.
-_SPARK = {"?": "boolean", "i1": "byte", "u1": "short", "i2": "short", "i4": "int", "i8": "long", "f4": "float", "f8": "double"}
+#: Spark's types of arrays' items, by kind and size; it has no unsigned ones, so they become wider. 64 unsigned bits must fit a long.
+_SPARK = {"?": "boolean", "i1": "byte", "i2": "short", "i4": "int", "i8": "long", "f4": "float", "f8": "double"}
+_WIDER = {"u1": "i2", "u2": "i4", "u4": "i8", "u8": "i8"}
 
 Origin = tuple[int, int, int]
 Arrays = dict[str, np.ndarray]
@@ -124,16 +125,17 @@ def from_voxels(voxels: DataFrame, types: dict[str, str], shape: tuple[int, int,
 
 def to_voxels(b: Blocks) -> DataFrame:
     """x, y, z and the columns of every voxel that exists."""
+    items = {c: np.dtype(t).str.lstrip("<|").replace("b1", "?") for c, t in b.types.items()}
+    wider = {c: _WIDER.get(t, t) for c, t in items.items()}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, arrays, there, _ in _blocks_of(batches, b):
             at = np.nonzero(there)
             cells = [pa.array(a + o * b.side, pa.int64()) for a, o in zip(at, block, strict=True)]
-            # Unsigned bytes become 16-bit numbers, as Spark has no unsigned ones.
-            values = [pa.array(arrays[c][at].astype("i2" if t == "u1" else t)) for c, t in b.types.items()]
+            values = [pa.array(arrays[c][at].astype(wider[c])) for c in b.types]
             yield pa.RecordBatch.from_arrays([*cells, *values], names=[*AXES, *b.types])
 
-    return b.rows.mapInArrow(task, "x long, y long, z long, " + ", ".join(f"`{c}` {_SPARK[t.lstrip('<|')]}" for c, t in b.types.items()))
+    return b.rows.mapInArrow(task, "x long, y long, z long, " + ", ".join(f"`{c}` {_SPARK[t]}" for c, t in wider.items()))
 
 
 def kept(b: Blocks, label: str = "blocks") -> Blocks:

@@ -1,4 +1,4 @@
-"""Queries on blocks of the voxel fixture; their statements are those of the queries on voxels."""
+"""Queries on blocks of the voxel fixture, and on arrays; their statements are those of the queries on voxels."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lamellar.operators import blocks, segmentation
 from lamellar.plans import grid_queries as grid
-from lamellar.sources.fixtures import voxels
+from lamellar.sources.array_source import read_array, write_array
+from lamellar.sources.fixtures import VOXELS_SQL, voxels
+from lamellar.sources.storage import fresh_dir
 
 TYPES = {"seg": "<i8", "raw": "<f8", "a0": "<f4", "a1": "<f4", "a2": "<f4"}
 
@@ -55,6 +57,22 @@ def block_components_label6(spark: SparkSession, d: str) -> DataFrame:
     return blocks.to_voxels(blocks.label_components(packed(spark, d, "seg")))
 
 
+def _array(spark, d):
+    """The path of the whole volume's labels, written as an array of compressed chunks."""
+    path = f"{fresh_dir(spark, 'array')}/seg"
+    write_array(packed(spark, d, "seg"), path, "seg", compressor={"id": "zstd", "level": 1})
+    return path
+
+
+def array_volume(spark: SparkSession, d: str) -> DataFrame:
+    return read_array(spark, _array(spark, d), "seg")
+
+
+def array_box(spark: SparkSession, d: str) -> DataFrame:
+    origin, size = grid.BOX
+    return read_array(spark, _array(spark, d), "seg", {a: (o, o + size) for a, o in zip("xyz", origin, strict=True)})
+
+
 #: The query on voxels that each one equals.
 SAME_AS = {
     "block_aff_short": "aff_short",
@@ -66,5 +84,5 @@ SAME_AS = {
     "block_components_affinity": "components_affinity",
     "block_components_label6": "components_label6",
 }
-QUERIES = {n: globals()[n] for n in SAME_AS}
-SQL = {n: grid.SQL[same] for n, same in SAME_AS.items()}
+QUERIES = {n: globals()[n] for n in [*SAME_AS, "array_volume", "array_box"]}
+SQL = {n: grid.SQL[same] for n, same in SAME_AS.items()} | {"array_volume": f"with {VOXELS_SQL} select x, y, z, seg from vox", "array_box": grid.SQL["crop"]}
