@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamellar.llm.tokens import in_slices
+from lamellar.functions.ranking import with_rank
+from lamellar.llm.tokens import in_slices, sent_at_once
 from lamellar.sources.storage import drop, materialise
 
 #: Fixed value: where texts are cut into pieces.
@@ -32,15 +33,33 @@ LONGEST, LEAST, SUBSUMES = 4, 30, 80
 #: Phrases that are listed for each language.
 LISTED = 2000
 #: Bytes of text of a chunk, unless a single text has more.
-CHUNK = 8_000_000
+CHUNK = 400_000
+#: Bytes of chunks that a task sends to Python at once.
+BATCH = 3_000_000
+#: Places whose pairs are counted at once, of the chunks of a task.
+AT_ONCE = 1_000_000
 #: Names that are broadcast at once, of 24 bytes and a word each; more are joined to the chunks' own pairs.
 MOST_BROADCAST = 1_000_000
 
+#: Names fewer than this have products of two that fit 64 bits, so that a pair is one number.
+MOST_FUSED = 3_000_000_000
+
 _CHUNKS = "chunk long, lang string, words array<string>, counts array<long>, seq binary"
 _SEQUENCES = "chunk long, lang string, seq binary"
 _NONE = np.int64(-1)
 
 
+def _packed(seq: np.ndarray) -> pa.Array:
+    """Numbers of a sequence, compressed: most are small."""
+    many = len(seq).to_bytes(8, "little")
+    return pa.array([many + pa.compress(seq.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    many = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * many, codec="zstd"), "<i8")
+
+
 def _tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct words, and their numbers in order, -1 between pieces and texts."""
     low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -58,7 +77,7 @@ def _tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def chunked(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """chunk, lang, words, counts and seq (places among the words as 32-bit numbers, -1 where a piece ends) of texts of one language.
+    """chunk, lang, words, counts and seq (places among the words, packed, -1 where a piece ends) of texts of one language.
 
     Null languages are ``und``; null and empty texts, and those without words, add nothing.
     """
@@ -73,128 +92,156 @@ def chunked(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
                 if len(words):
                     counts = np.bincount(seq[seq >= 0], minlength=len(words))
                     lists = [pa.array([words.cast(pa.string()).to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
-                    seq = pa.array([seq.astype("<i4").tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang]), *lists, seq], names=["chunk", "lang", "words", "counts", "seq"])
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang]), *lists, _packed(seq)], names=["chunk", "lang", "words", "counts", "seq"])
                     chunk += 1
 
     return rows.mapInArrow(cut, _CHUNKS)
 
 
-def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Left and right names of distinct adjacent pairs, how often each stands, and its number at every place, -1 for none."""
-    both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-    names, local = np.unique(seq, return_inverse=True)
-    code = local[:-1][both].astype(np.int64) * len(names) + local[1:][both]  # of a chunk's own names, so 64 bits do
-    found, at, counts = np.unique(code, return_inverse=True, return_counts=True)
-    number = np.full(len(seq), _NONE)
-    number[:-1][both] = at
-    return names[found // max(1, len(names))], names[found % max(1, len(names))], counts, number
+def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of names, and the left and right ones there."""
+    at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+    return at, seq[at], seq[at + 1]
+
+
+def _distinct(left: np.ndarray, right: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right names of distinct pairs, how often each stands, and its number for every pair. Names are below ``span``."""
+    names = None
+    if span >= MOST_FUSED:  # those at hand are fewer
+        names, local = np.unique(np.concatenate([left, right]), return_inverse=True)
+        left, right, span = local[: len(left)], local[len(left) :], len(names)
+    found, at, n = np.unique(left * np.int64(span) + right, return_inverse=True, return_counts=True)
+    left, right = found // max(1, span), found % max(1, span)
+    return (left, right, n, at) if names is None else (names[left], names[right], n, at)
+
+
+def _keys(left: np.ndarray, right: np.ndarray, span: int) -> dict[str, pa.Array]:
+    """A pair's columns: one number for both names, or two."""
+    return {"code": pa.array(left * np.int64(span) + right)} if span < MOST_FUSED else {"l": pa.array(left), "r": pa.array(right)}
+
 
+def _key_names(span: int) -> list[str]:
+    return ["code"] if span < MOST_FUSED else ["l", "r"]
 
-def _read(raw: bytes, width: str) -> np.ndarray:
-    return np.frombuffer(raw, width).astype(np.int64)
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, so that no more than one chunk's values are copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i] for c in batch.schema.names}
+    batch = None
+    pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
-def _counted(seqs: DataFrame) -> DataFrame:
-    """chunk, lang, nth, l, r, n: the distinct pairs of each chunk's names, numbered as ``_pairs`` does."""
+
+def _totals(seqs: DataFrame, span: int) -> DataFrame:
+    """The columns of pairs and n: the distinct ones of a task's chunks, AT_ONCE places at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, lang, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lang", "seq")), strict=True):
-                left, right, n, _ = _pairs(_read(raw, "<i8"))
-                for lo in range(0, len(n), 100_000):
-                    part = slice(lo, lo + 100_000)
-                    many = len(n[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(many, chunk)), pa.array([lang] * many, pa.string()), pa.array(np.arange(lo, lo + many)), pa.array(left[part]), pa.array(right[part]), pa.array(n[part])],
-                        names=["chunk", "lang", "nth", "l", "r", "n"],
-                    )
+        held: list[np.ndarray] = []
 
-    return seqs.mapInArrow(count, "chunk long, lang string, nth long, l long, r long, n long")
+        def flushed() -> Iterator[pa.RecordBatch]:
+            left, right, n, _ = _distinct(*_pairs(np.concatenate(held))[1:], span)
+            held.clear()
+            for lo in range(0, len(n), 50_000):
+                part = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_pydict(_keys(left[part], right[part], span) | {"n": pa.array(n[part])})
 
+        for row in _rows(batches):
+            held += [_unpacked(row["seq"].as_buffer()), np.array([_NONE])]
+            if sum(map(len, held)) > AT_ONCE:
+                yield from flushed()
+        if held:
+            yield from flushed()
 
-def _of_words(chunks: DataFrame) -> DataFrame:
-    """chunk, lang, nth, word, n."""
-    zipped = F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))
-    return chunks.select("chunk", "lang", F.posexplode(zipped).alias("nth", "e")).select("chunk", "lang", F.col("nth").cast("long").alias("nth"), "e.word", "e.n")
+    return seqs.mapInArrow(count, ", ".join(f"{k} long" for k in [*_key_names(span), "n"]))
 
 
-def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """id, lang, the keys and f: items of LEAST occurrences or more in a language. Numbers are unique within a level, with gaps."""
-    rows = items.groupBy("lang", *keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
-    return materialise(rows.select(F.monotonically_increasing_id().alias("id"), "lang", *keys, "f"), label)
+def _own_pairs(seqs: DataFrame, span: int) -> DataFrame:
+    """chunk, nth and the columns of pairs: the distinct ones of each chunk, numbered as ``_distinct`` does."""
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            left, right, _, _ = _distinct(*_pairs(_unpacked(row["seq"].as_buffer()))[1:], span)
+            chunk = pa.array(np.full(len(left), row["chunk"].as_py(), np.int64))
+            yield pa.RecordBatch.from_pydict({"chunk": chunk, "nth": pa.array(np.arange(len(left)))} | _keys(left, right, span))
 
-def _renamed(part: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Numbers of names for a chunk's own numbers; -1 stays."""
-    return np.where(part >= 0, ids[part], _NONE) if len(ids) else part
+    return seqs.mapInArrow(listed, "chunk long, nth long, " + ", ".join(f"{k} long" for k in _key_names(span)))
 
 
-def _ids_of_words(words: pa.Array, names: tuple) -> np.ndarray:
-    at = pc.fill_null(pc.index_in(words.cast(pa.large_string()), value_set=names[0]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.where(at >= 0, names[1][at], _NONE) if len(names[1]) else at
+def _of_words(chunks: DataFrame) -> DataFrame:
+    """chunk, lang, nth, word, n."""
+    zipped = F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))
+    return chunks.select("chunk", "lang", F.posexplode(zipped).alias("nth", "e")).select("chunk", "lang", F.col("nth").cast("long").alias("nth"), "e.word", "e.n")
 
 
-def _ids_of_pairs(left: np.ndarray, right: np.ndarray, names: tuple) -> np.ndarray:
-    """``names``: left, right and id in order of left and right."""
-    l, r, ids = names
-    if not len(ids):
-        return np.full(len(left), _NONE)
-    parents = np.unique(np.concatenate([l, r, left, right]))
-    code = lambda a, b: np.searchsorted(parents, a) * len(parents) + np.searchsorted(parents, b)
-    have, want = code(l, r), code(left, right)
-    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-    return np.where(have[at] == want, ids[at], _NONE)
+def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """id, the keys and f: items of LEAST occurrences or more, numbered from 0 by how often they stand."""
+    rows = items.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
+    rows = with_rank(materialise(rows.withColumn("less", -F.col("f")), label), ["less", *keys], "rank")
+    return materialise(rows.select((F.col("rank") - 1).alias("id"), *keys, "f"), label)
 
 
-def _encoded(chunks: DataFrame, items: DataFrame, names: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """chunk, lang, seq of 64-bit names: words or pairs by their names, -1 where they aren't frequent."""
-    words = keys == ["word"]
+def _encoded(chunks: DataFrame, names: DataFrame, keys: list[str], span: int, label: str) -> DataFrame:
+    """chunk, lang, seq of names: those of words or pairs that are frequent, -1 elsewhere. ``span``: names of the level below."""
+    words = keys == ["lang", "word"]
 
     def sequences(batches: Iterator[pa.RecordBatch], ids_of) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                if words:
-                    part, ids = _read(row["seq"].as_py(), "<i4"), ids_of(row, lambda r: (r["words"].values,))
-                else:
-                    left, right, _, part = _pairs(_read(row["seq"].as_py(), "<i8"))
-                    ids = ids_of(row, lambda r: (left, right))  # noqa: B023
-                seq = pa.array([_renamed(part, ids).astype("<i8").tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), batch.column("lang").slice(i, 1), seq], names=["chunk", "lang", "seq"])
-
-    if names.count() <= MOST_BROADCAST:
+        for row in _rows(batches):
+            seq = _unpacked(row["seq"].as_buffer())
+            if words:
+                ids = ids_of(row, row["words"].values)
+                seq = np.where(seq >= 0, ids[seq], _NONE)
+            else:
+                at, left, right = _pairs(seq)
+                seq = np.full(len(seq), _NONE)
+                seq[at] = ids_of(row, (left, right))
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"].as_py()], pa.int64()), pa.array([row["lang"].as_py()]), _packed(seq)], names=["chunk", "lang", "seq"])
+
+    if names.count() <= MOST_BROADCAST and span < MOST_FUSED:
         table = names.orderBy(*keys).toArrow()  # MOST_BROADCAST rows at most
-        by_lang = {}
-        for lang in pc.unique(table["lang"]).to_pylist():
-            here = table.filter(pc.equal(table["lang"], lang)).combine_chunks()
-            columns = [here[k].cast(pa.large_string()).combine_chunks() if words else here[k].to_numpy() for k in keys]
-            by_lang[lang] = (*columns, here["id"].to_numpy())
-        none = (pa.array([], pa.large_string()),) if words else (np.zeros(0, np.int64),) * 2
-        sent = names.sparkSession.sparkContext.broadcast(by_lang)
+        ids = table["id"].to_numpy()
+        if words:
+            lang, said = table["lang"].to_numpy(), table["word"].cast(pa.large_string()).combine_chunks()
+            known = {k: (said.filter(pa.array(lang == k)), ids[lang == k]) for k in set(lang.tolist())}
+        else:
+            known = (table["code"].to_numpy(), ids)
+        sent = names.sparkSession.sparkContext.broadcast(known)
 
         def looked_up(row, asked):
-            found = sent.value.get(row["lang"].as_py(), (*none, np.zeros(0, np.int64)))
-            return (_ids_of_words if words else _ids_of_pairs)(*asked(row), found)
+            if words:
+                said, ids = sent.value.get(row["lang"].as_py(), (pa.array([], pa.large_string()), np.zeros(0, np.int64)))
+                at = pc.fill_null(pc.index_in(asked.cast(pa.large_string()), value_set=said), -1).to_numpy(zero_copy_only=False)
+                return np.append(ids, _NONE)[at]
+            codes, ids = sent.value
+            want = asked[0] * np.int64(span) + asked[1]
+            at = np.searchsorted(codes, want)
+            here = np.append(codes, _NONE)[at] == want
+            return np.where(here, np.append(ids, _NONE)[at], _NONE)
 
         return materialise(chunks.mapInArrow(lambda batches: sequences(batches, looked_up), _SEQUENCES), label)
 
-    own = items.join(names.select("id", "lang", *keys), ["lang", *keys]).groupBy("chunk").agg(F.collect_list("nth").alias("nth"), F.collect_list("id").alias("ids"))
-    columns = [F.struct(*(c for c in chunks.columns)).alias("c"), "nth", "ids"]
-    joined = chunks.join(own, "chunk", "left").select(*columns).select("c.*", "nth", "ids")  # a chunk's own pairs, as many as it has places
+    items = _of_words(chunks) if words else _own_pairs(chunks, span)
+    own = items.join(names.select("id", *keys), keys).groupBy("chunk").agg(F.collect_list("nth").alias("nth"), F.collect_list("id").alias("ids"))
+    joined = chunks.join(own, "chunk", "left")  # a chunk's own pairs, as many as it has places
 
     def given(row, asked):
-        ids = np.full(len(asked(row)[0]), _NONE)
+        at = np.arange(len(asked)) if words else _distinct(*asked, span)[3]
+        ids = np.full(at.max() + 1 if len(at) else 0, _NONE)
         if row["nth"].is_valid:
             ids[row["nth"].values.to_numpy()] = row["ids"].values.to_numpy()
-        return ids
+        return ids[at]
 
     return materialise(joined.mapInArrow(lambda batches: sequences(batches, given), _SEQUENCES), label)
 
 
+def _parents(names: DataFrame, span: int) -> DataFrame:
+    """id, l, r and f: a pair's halves by their names."""
+    return names if span >= MOST_FUSED else names.select("id", F.expr(f"code div {span}").alias("l"), F.expr(f"code % {span}").alias("r"), "f")
+
+
 def _handed_down(pairs: DataFrame, below: DataFrame) -> DataFrame:
     """Names of a level with phrase, last word, and counts of their first and last words (``pre`` and ``suf``, by number of words)."""
-    left = below.select(F.col("id").alias("l"), F.col("phrase").alias("begin"), "pre")
+    left = below.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("begin"), "pre")
     right = below.select(F.col("id").alias("r"), "last", "suf")
     rows = pairs.join(left, "l").join(right, "r")
     grown = lambda c: F.array_append(c, F.col("f"))
@@ -219,6 +266,26 @@ def _scored(level: DataFrame, above: DataFrame | None, size: int) -> DataFrame:
     return rows.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
 
 
+def _levels(docs: DataFrame, lang_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """n by language, and the names of each level with what is handed down to them; all of it is written."""
+    seqs = materialise(chunked(docs, lang_col, text_col), "chunks")
+    many = F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")
+    totals = materialise(seqs.groupBy("lang").agg(many), "totals")
+    items, keys, span, levels = _of_words(seqs), ["lang", "word"], 0, []
+    for size in range(1, LONGEST + 1):
+        names = _named(items, keys, f"names-{size}")
+        if size == 1:
+            levels.append(names.select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("pre"), F.array("f").alias("suf")))
+        else:
+            levels.append(materialise(_handed_down(_parents(names, span), levels[-1]), f"level-{size}"))
+        if size < LONGEST:
+            was, seqs = seqs, _encoded(seqs, names, keys, span, f"sequences-{size}")
+            drop(was)
+            span = max(1, names.count())
+            items, keys = _totals(seqs, span), _key_names(span)
+    return totals, levels
+
+
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the LISTED best phrases of each language, by score, count and phrase.
 
@@ -226,21 +293,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     repeated rows each count; an empty table gives an empty result. Other columns aren't read. A text of
     any length is one sequence, held by one task with some hundred bytes for each of its words.
     """
-    chunks = materialise(chunked(docs, lang_col, text_col), "chunks")
-    items, keys, seqs = _of_words(chunks), ["word"], chunks
-    totals = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
-    levels = []
-    for size in range(1, LONGEST + 1):
-        names = _named(items, keys, f"names-{size}")
-        if size == 1:
-            levels.append(names.select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("pre"), F.array("f").alias("suf")))
-        else:
-            levels.append(materialise(_handed_down(names, levels[-1]), f"level-{size}"))
-        if size < LONGEST:
-            was, seqs = seqs, _encoded(seqs, items, names, keys, f"sequences-{size}")
-            if size > 1:
-                drop(was)  # the chunks stay: totals read them
-            items, keys = _counted(seqs), ["l", "r"]
+    with sent_at_once(docs.sparkSession, BATCH):
+        totals, levels = _levels(docs, lang_col, text_col)
     found = None
     for size in range(2, LONGEST + 1):
         one = _scored(levels[size - 1], levels[size] if size < LONGEST else None, size)

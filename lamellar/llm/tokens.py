@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Stands before a text's first piece, which no blank precedes; a text that holds it is encoded whole.
 _FIRST = "\x02"
@@ -178,3 +181,15 @@ def in_slices(batches, text: str = "text", most: int = 2_000_000):
             yield batch.slice(lo, hi - lo)
     batch = None
     pa.default_memory_pool().release_unused()  # the worker stays for later stages
+
+
+@contextmanager
+def sent_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """While it is open, tasks send Python rows of about ``most`` bytes at once: for actions on rows of megabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)

@@ -133,10 +133,11 @@ def random_texts():
     return docs + [(None, None, "en"), (1, "", None), (2, " . , \n", "fr"), docs[3], (9, "one two three four five " * 9_000, "long")]
 
 
-@pytest.mark.parametrize("most", [1_000_000, -1])
-def test_collocations_against_brute_force(spark, monkeypatch, most):
-    """With names broadcast, and joined to the chunks' own pairs."""
+@pytest.mark.parametrize(("most", "fused"), [(1_000_000, 3_000_000_000), (-1, 3_000_000_000), (-1, 0)])
+def test_collocations_against_brute_force(spark, monkeypatch, most, fused):
+    """With names broadcast, joined to the chunks' own pairs, and too many for a pair to be one number."""
     monkeypatch.setattr(collocations, "MOST_BROADCAST", most)
+    monkeypatch.setattr(collocations, "MOST_FUSED", fused)
     monkeypatch.setattr(collocations, "CHUNK", 4_000)
     docs = random_texts()
     want = brute_collocations(docs)
