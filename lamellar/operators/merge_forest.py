@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamellar.operators import blocks
@@ -24,6 +25,8 @@ from lamellar.operators.components import connected_components
 from lamellar.operators.segmentation import local_roots
 from lamellar.sources.storage import materialise
 
+#: Groups of a block's nodes.
+PARTS = 64
 #: Levels fit a byte.
 MOST_THRESHOLDS = 127
 _STORED = {"parent": "<i4", "merged": "i1", "vertex": "i1", "l0": "i1", "l1": "i1", "l2": "i1"}
@@ -163,19 +166,18 @@ def merge_forest(b: Blocks, thresholds: Sequence[float]) -> Forest:
     return Forest(grown, materialise(joined, "forest-faces"), cuts)
 
 
-def labels(forest: Forest, nodes: DataFrame, name: str = "seg") -> DataFrame:
-    """Rows of ``nodes`` (x, y, z and others) at every level, with the segment there: its first voxel's raster number and 1, 0 for none.
+def _local(forest: Forest, nodes: DataFrame, columns: str, found_of) -> DataFrame:
+    """Rows of ``nodes`` beside what ``found_of`` says of their places: arrays by ``columns``, and which node each row is of.
 
     A node outside the volume or on a missing voxel is an error. Nodes are grouped by block, and blocks stay where they are.
     """
-    b, many = forest.blocks, len(forest.thresholds)
+    b = forest.blocks
     at = [F.floor(F.col(a) / b.side).alias(k) for a, k in zip("xyz", KEYS, strict=True)]
     packed = nodes.select(*at, F.struct(*(F.col(c) for c in nodes.columns)).alias("node"))
-    # One block's nodes of a task's share: no group is larger than the rows that a task reads at once.
-    groups = packed.groupBy(*KEYS, F.pmod(F.xxhash64("node"), F.lit(64)).alias("__part")).agg(F.collect_list("node").alias("nodes"))
+    # In parts, so that a block with a great many nodes isn't one group.
+    groups = packed.groupBy(*KEYS, F.pmod(F.xxhash64("node"), F.lit(PARTS)).alias("__part")).agg(F.collect_list("node").alias("nodes"))
     rows = groups.join(b.rows, list(KEYS), "left")
     fields = dict(packed.select("node.*").dtypes)
-    schema = ", ".join(f"`{c}` {t}" for c, t in fields.items()) + ", __level int, __root long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,19 +186,73 @@ def labels(forest: Forest, nodes: DataFrame, name: str = "seg") -> DataFrame:
             for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
                 block, arrays, there, _ = next(blocks._blocks_of([row], b))
                 found = row.column("nodes")[0].values
-                place = [pa.array(found.field(a)).to_numpy() - o * b.side for a, o in zip("xyz", block, strict=True)]
+                place = [found.field(a).to_numpy() - o * b.side for a, o in zip("xyz", block, strict=True)]
                 if any((p >= n).any() for p, n in zip(place, there.shape, strict=True)) or not there[tuple(place)].all():
                     raise ValueError("a node lies outside the volume")
-                flat = np.ravel_multi_index(place, there.shape)
-                for m in range(1, many + 1):
-                    root = _climbed(arrays["parent"].reshape(-1), arrays["merged"].reshape(-1), flat, m)
-                    root = np.where(arrays["vertex"].reshape(-1)[flat] >= m, blocks._in_raster(b, block, root), -1)
-                    yield pa.RecordBatch.from_arrays([*(found.field(c) for c in fields), pa.array(np.full(len(flat), m, np.int32)), pa.array(root)], names=[*fields, "__level", "__root"])
+                of, values = found_of(block, {c: a.reshape(-1) for c, a in arrays.items()}, np.ravel_multi_index(place, there.shape))
+                of = pa.array(of)
+                yield pa.RecordBatch.from_pydict({c: found.field(c).take(of) for c in fields} | {c: pa.array(v) for c, v in values.items()})
+
+    return rows.mapInArrow(task, ", ".join(f"`{c}` {t}" for c, t in fields.items()) + f", {columns}")
+
+
+def _roots_at(b: Blocks, block: tuple, arrays: dict, place: np.ndarray, level: int) -> np.ndarray:
+    """Raster numbers of places' roots within the block at a level, -1 where there is no segment."""
+    root = blocks._in_raster(b, block, _climbed(arrays["parent"], arrays["merged"], place, level))
+    return np.where(arrays["vertex"][place] >= level, root, -1)
+
+
+def labels(forest: Forest, nodes: DataFrame, name: str = "seg") -> DataFrame:
+    """Rows of ``nodes`` (x, y, z and others) at every level, with the segment there: its first voxel's raster number and 1, 0 for none."""
+    b, many = forest.blocks, len(forest.thresholds)
+
+    def found_of(block, arrays, place):
+        roots = [_roots_at(b, block, arrays, place, m) for m in range(1, many + 1)]
+        return np.tile(np.arange(len(place)), many), {"__level": np.repeat(np.arange(1, many + 1, dtype=np.int32), len(place)), "__root": np.concatenate(roots)}
 
-    local = rows.mapInArrow(task, schema)
+    local = _local(forest, nodes, "__level int, __root long", found_of)
     joined = forest.joined.select(F.col("level").alias("__level"), F.col("node").alias("__root"), F.col("root").alias("__least"))
     found = local.join(joined, ["__level", "__root"], "left")
-    return found.select(*fields, F.col("__level").alias("level"), (F.coalesce("__least", "__root") + 1).alias(name))
+    return found.select(*nodes.columns, F.col("__level").alias("level"), (F.coalesce("__least", "__root") + 1).alias(name))
+
+
+def runs(forest: Forest, nodes: DataFrame, keys: list[str], name: str = "seg") -> DataFrame:
+    """Rows of ``nodes`` for each run of levels, from ``top`` down to ``low``, in which their segment stays the same.
+
+    ``keys`` tell nodes apart. A node has one row and one for each merge that renames its segment; levels are told
+    one by one only for segments that touch a face where blocks meet.
+    """
+    b, many = forest.blocks, len(forest.thresholds)
+
+    def found_of(block, arrays, place):
+        now, since = np.full(len(place), -2), np.full(len(place), many + 1)
+        of, tops, lows, roots = [], [], [], []
+        for m in range(many, -1, -1):
+            root = _roots_at(b, block, arrays, place, m) if m else np.full(len(place), -3)
+            ended = np.flatnonzero((root != now) & (now != -2))
+            of.append(ended)
+            tops.append(since[ended])
+            lows.append(np.full(len(ended), m + 1))
+            roots.append(now[ended])
+            since = np.where(root != now, m, since)
+            now = root
+        cells = {"top": np.concatenate(tops).astype(np.int32), "low": np.concatenate(lows).astype(np.int32), "__root": np.concatenate(roots)}
+        return np.concatenate(of), cells
+
+    local = _local(forest, nodes, "top int, low int, __root long", found_of)
+    faces = forest.joined.select(F.col("node").alias("__root")).distinct().withColumn("__met", F.lit(True))
+    local = materialise(local.join(faces, "__root", "left"), "runs")
+    plain = local.filter("__met is null").select(*nodes.columns, "top", "low", F.col("__root").alias("__seg"))
+    single = local.filter("__met").withColumn("__level", F.explode(F.sequence("low", "top")))
+    joined = forest.joined.select(F.col("level").alias("__level"), F.col("node").alias("__root"), F.col("root").alias("__least"))
+    single = single.join(joined, ["__level", "__root"], "left")
+    single = single.select(*nodes.columns, F.col("__level").alias("top"), F.col("__level").alias("low"), F.coalesce("__least", "__root").alias("__seg"))
+    down = W.partitionBy(*keys).orderBy(F.desc("top"))
+    rows = plain.unionByName(single).withColumn("__new", F.coalesce(F.lag("__seg").over(down) != F.col("__seg"), F.lit(True)).cast("int"))
+    rows = rows.withColumn("__run", F.sum("__new").over(down))
+    ends = [F.max("top").alias("top"), F.min("low").alias("low"), (F.first("__seg") + 1).alias(name)]
+    rest = [F.first(c).alias(c) for c in nodes.columns if c not in keys]
+    return rows.groupBy(*keys, "__run").agg(*rest, *ends).select(*nodes.columns, "top", "low", name)
 
 
 def cut(forest: Forest, threshold: float) -> Blocks:

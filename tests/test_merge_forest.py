@@ -1,6 +1,7 @@
 """The forest of merges against a labelling for each threshold."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,9 +72,43 @@ def test_few_and_many_thresholds(spark):
     assert [(r.x, r.seg) for r in got if r.z == 0] == [(0, 1), (1, 5), (2, 9), (3, 13), (4, 13)]
 
 
-def test_the_volume_is_read_once_for_all_thresholds(spark, volume):
-    """Rows that are sent grow with nodes and thresholds, not with voxels times thresholds."""
-    nodes = volume.filter("x = 0 and y = 0").select("x", "y", "z")
-    cuts = spark.createDataFrame([(i, i / 14) for i in range(13)], "ord long, thr double")
-    many = threshold_scores.labels_at(volume, nodes, cuts)
-    assert many.count() == 13 * nodes.count()
+def test_runs_are_labels(volume, forest):
+    nodes = volume.select("x", "y", "z", F.expr("x % 3").alias("skel"), F.expr("x * 100 + y * 10 + z").alias("n"))
+    runs = merge_forest.runs(forest, nodes, ["skel", "n"])
+    single = runs.withColumn("level", F.explode(F.sequence("low", "top"))).select("n", "level", "seg")
+    assert sorted(map(tuple, single.collect())) == sorted(map(tuple, merge_forest.labels(forest, nodes).select("n", "level", "seg").collect()))
+    found = runs.collect()
+    assert len(found) < single.count()
+    by_node = {}
+    for r in sorted(found, key=lambda r: -r.top):
+        assert by_node.get(r.n) != r.seg  # a new run is a new segment
+        by_node[r.n] = r.seg
+
+
+def slow_scores(volume, nodes, at):
+    """NERL, VOI and mergers of one threshold from its labelling."""
+    shape = segmentation.shape_of(volume)
+    seg = segmentation.affinity_components(segmentation.hard(volume, at), shape, 4)
+    rows = nodes.join(seg, ["x", "y", "z"]).orderBy("skel", "n").collect()
+    pairs, skels, segs = Counter((r.skel, r.seg) for r in rows), Counter(r.skel for r in rows), Counter(r.seg for r in rows)
+    touched = Counter(s for _, s in pairs)
+    merged = {k for k, s in pairs if touched[s] > 1}
+    length, right = Counter(), Counter()
+    for a, b in zip(rows, rows[1:]):
+        if a.skel == b.skel:
+            d = math.dist((a.px, a.py, a.pz), (b.px, b.py, b.pz))
+            length[a.skel] += d
+            if a.seg == b.seg != 0 and not (touched[a.seg] > 1 and a.skel in merged):
+                right[a.skel, a.seg] += d
+    h = lambda c: sum(n * math.log2(n) for n in c.values())
+    nerl = sum(d * d for d in right.values()) / sum(d * d for d in length.values())
+    return nerl, (h(skels) + h(segs) - 2 * h(pairs)) / len(rows), sum(n for s, n in touched.items() if n > 1 and s)
+
+
+def test_scores_are_sums_of_changes(spark, volume):
+    nodes = volume.filter("x % 2 = 0 or y > 4").select("x", "y", "z", F.expr("x div 2 * 4 + y div 4").alias("skel"), F.expr("y * 10 + z").alias("n"), *(F.expr(f"{a} * 9D").alias(f"p{a}") for a in "xyz"))
+    nodes = materialise(nodes.dropDuplicates(["skel", "n"]), "nodes")
+    cuts = spark.createDataFrame([(i, float(t)) for i, t in enumerate(CUTS)], "ord long, thr double")
+    got = {r.ord: (r.nerl, r.voi_sum, r.n_non0_mergers) for r in threshold_scores.scores_at(volume, nodes, cuts).collect()}
+    for i, at in enumerate(CUTS):
+        assert got[i] == pytest.approx(slow_scores(volume, nodes, at), abs=1e-9)
