@@ -39,12 +39,14 @@ SMOOTHING, UNIFORM = 0.5, 0.15
 SAMPLE_DOCS = 2000
 #: Random strings of each alphabet in the sample.
 SAMPLE_RANDOM = 2000
+ORDERED = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
 #: Spans up to this many, 8 bytes each, are broadcast to be redacted; beyond, documents are shuffled to them.
 MOST_BROADCAST = 2_000_000
 
 
-def _at(run: Column, i: Column) -> Column:
-    return F.ascii(F.substring(run, i, 1)) - F.lit(LOW)
+def _codes(run: Column) -> Column:
+    """Each character's number from LOW on, in one pass over the run."""
+    return F.transform(F.split(run, ""), lambda c: F.ascii(c) - LOW)
 
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,22 +60,26 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest = F.sha2(F.concat(F.lit("run"), F.col("id").cast("string")), 256)
     forms = F.array(F.substring(F.base64(F.unhex(digest)), 1, 40), F.substring(digest, 1, 40))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(forms).alias("run"), F.lit(True).alias("secret"))
+    # Letters and digits in their order are no secret.
+    ordered = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(*map(F.lit, ORDERED))).alias("run"), F.lit(False).alias("secret"))
     first = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     ids = first.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
-    rows = first.join(F.broadcast(ids), "id")  # SAMPLE_DOCS ids at most
+    # SAMPLE_DOCS ids at most, and one text of each, however many rows have it.
+    rows = first.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
     words = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))
     plain = F.array(F.filter(words, lambda w: ~w.rlike(HEX) & ~w.rlike(ACCESS)))
     pair = F.transform(plain, lambda a: F.transform(a, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(a, i + 1), w).alias("v"))))[0]
     word = rows.select(F.explode(pair).alias("p")).select("p.w", "p.v")
     forms = F.array("w", F.concat(F.lit("_"), "w", F.lit("-")), F.concat(F.lower("w"), F.initcap("v")), F.concat_ws("_", F.upper("w"), F.upper("v")))
     ordinary = word.select(F.explode(forms).alias("word"))
-    return random.union(ordinary.select(F.col("word").alias("run"), F.lit(False).alias("secret")))
+    return random.union(ordered).union(ordinary.select(F.col("word").alias("run"), F.lit(False).alias("secret")))
 
 
 def fit(samples: DataFrame) -> list[float]:
     """The ratio of every pair of characters, SPAN * SPAN numbers, from rows (run, secret)."""
     run = F.col("run")
-    at = F.transform(F.sequence(F.lit(2), F.length(run)), lambda i: _at(run, i - 1) * SPAN + _at(run, i))
+    pair = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(c, i) * SPAN + F.get(c, i + 1))
+    at = F.transform(F.array(_codes(run)), pair)[0]  # bound to a name, so that the codes are made once
     pairs = samples.filter((F.length("run") > 1) & ~run.rlike(r"[^+-z]")).select("secret", F.explode(at).alias("pair"))
     table = pairs.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()  # 2 * SPAN * SPAN rows at most
     count = {True: [0] * (SPAN * SPAN), False: [0] * (SPAN * SPAN)}
@@ -88,10 +94,14 @@ def fit(samples: DataFrame) -> list[float]:
 
 
 def ratio(run: Column, model: list[float]) -> Column:
-    """The log-likelihood ratio of a run of candidate characters."""
+    """The log-likelihood ratio of a run of candidate characters, in one pass whatever its length."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")  # folded to one constant
-    step = lambda total, i: total + F.get(table, (_at(run, i - 1) * SPAN + _at(run, i)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(2), F.length(run)), F.lit(0.0), step)
+
+    def step(so_far: Column, code: Column) -> Column:
+        pair = F.when(so_far.last >= 0, F.get(table, so_far.last * SPAN + code)).otherwise(0.0)
+        return F.struct((so_far.total + pair).alias("total"), code.alias("last"))
+
+    return F.aggregate(_codes(run), F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("last")), step, lambda s: s.total)
 
 
 def is_random(run: Column, model: list[float]) -> Column:

@@ -236,3 +236,32 @@ def test_ordinary_identifiers_are_left_alone(spark, model):
     names = ["getElementsByTagNameAndClass", "incomprehensibilities-and-others", "theoriginalimplementation_of_it", "http//www/example/com/en/page"]
     df = spark.createDataFrame([(n,) for n in names], "run string")
     assert df.filter(secret_scan.is_random(F.col("run"), model)).count() == 0
+
+
+def test_very_long_runs(spark, model):
+    """Work grows with the length of a run: a million characters within ten seconds, and the same spans as of short ones."""
+    import time
+
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = "".join(rng.choice(letters) for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"image {noise} end"), (2, "a " + "the" * 300_000), (3, f"x {noise[:40]}")], "doc_id long, text string")
+    secret_scan.secret_scan(docs.filter("doc_id = 3"), model).collect()  # compiles
+    start = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs, model).collect()}
+    took = time.perf_counter() - start
+    assert got == {1: "markov:6:1000006", 2: "", 3: "markov:2:42"}
+    assert took < 10, took
+
+
+def test_one_id_on_many_rows_gives_one_text_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "alpha beta")] * 500 + [(2, "gamma delta")], "doc_id long, text string")
+    once = docs.distinct()
+    count = lambda d: sorted(map(tuple, secret_scan.labelled_samples(d).filter("not secret").groupBy("run").count().collect()))
+    assert count(docs) == count(once)
+
+
+def test_letters_in_order_are_no_secret(spark, model):
+    runs = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "MAXIMUM_NUMBER_OF_CONNECTIONS", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    df = spark.createDataFrame([(r,) for r in runs], "run string")
+    assert df.filter(secret_scan.is_random(F.col("run"), model)).count() == 0
