@@ -52,34 +52,35 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score, 0))
         self.automaton.add_word(UNKNOWN[0], (len(UNKNOWN[0]), UNKNOWN[1], 1))
         self.automaton.make_automaton()
+        self.longest = max(len(UNKNOWN[0]), *(len(p) for p, _ in pieces))
         self.unknown = min(UNKNOWN[1], *(s for _, s in pieces)) - UNKNOWN_PENALTY
         self.room = room
         self.known: dict[str, tuple[int, int, int]] = {}
 
     def word(self, text: str) -> tuple[int, int, int]:
-        """Its pieces, and whether the first and the last are unknown."""
+        """Its pieces, and whether the first and the last are unknown. No more places are kept than the longest piece has."""
         n = len(text)
         if not n:
             return 0, 0, 0
-        score, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        last, first = [0] * (n + 1), [-1] * (n + 1)  # -1: no piece yet
+        width = self.longest + 1
+        # Of the best way to each of the last places: score, pieces, whether the last and the first are unknown (-1: no piece yet).
+        ways: list[tuple[float, int, int, int]] = [(0.0, 0, 0, -1)] * width
         unknown, done = self.unknown, 0
 
         def settle(end: int, found: list[tuple[int, float, int]]) -> None:
             best, single = None, False
             for length, s, strange in found:
-                start = end - length
+                score, pieces, last, first = ways[(end - length) % width]
                 single |= length == 1
-                s += score[start]
-                if best is None or s > best:
-                    best, pieces[end], last[end] = s, pieces[start] + (not (strange and last[start])), strange
-                    first[end] = strange if first[start] < 0 else first[start]
+                s += score
+                if best is None or s > best[0]:
+                    best = s, pieces + (not (strange and last)), strange, strange if first < 0 else first
             if not single:
-                s = unknown + score[end - 1]
-                if best is None or s > best:
-                    best, pieces[end], last[end] = s, pieces[end - 1] + (not last[end - 1]), 1
-                    first[end] = 1 if first[end - 1] < 0 else first[end - 1]
-            score[end] = best
+                score, pieces, last, first = ways[(end - 1) % width]
+                s = unknown + score
+                if best is None or s > best[0]:
+                    best = s, pieces + (not last), 1, 1 if first < 0 else first
+            ways[end % width] = best
 
         found: list[tuple[int, float, int]] = []
         for at, value in self.automaton.iter(text):
@@ -92,7 +93,8 @@ class Counter:
             done += 1
             settle(done, found)
             found = []
-        return pieces[n], first[n], last[n]
+        _, pieces, last, first = ways[n % width]
+        return pieces, first, last
 
     def count(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -126,7 +128,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """doc_id and n_tokens for every row; null and empty texts have none. No shuffle.
 
     Repeated rows and null ids are counted like others; an empty table gives an empty result; a long
-    text is counted whole, in memory of its own size. Only the two columns are read.
+    text is counted whole, in memory of some times its own size. Only the two columns are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -275,3 +275,17 @@ def test_domains_and_suffixes(spark):
     hosts = spark.createDataFrame([(h,) for h in want], "host string")
     domain, suffix = url_filter._levels(F.col("host"), ["*.ck", "!www.ck", "blog.example"])
     assert {r[0]: (r[1], r[2]) for r in hosts.select("host", domain, suffix).collect()} == want
+
+
+def test_a_very_long_word_needs_little_memory():
+    """Three million characters without a blank, in places for the longest piece alone."""
+    import tracemalloc
+
+    counter = token_counts.Counter([("▁a", -1.0), ("ab", -2.0), ("b", -3.0), ("abab", -3.5)])
+    text = "▁" + "ab" * 1_500_000
+    counter.word(text[:1000])
+    tracemalloc.start()
+    assert counter.word(text)[0] == 750_002  # ▁a b, then an even number of ab but one
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000, peak
