@@ -14,12 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamellar.functions.draws import uniform
+from lamellar.operators.sampling import SHIFTED
+
 AXES = ("x", "y", "z")
 ORDERS = tuple(itertools.permutations(range(3)))
 #: Planes that are turned, one after another.
 PLANES = (("z", "y"), ("z", "x"), ("y", "x"))
-#: Slices of an axis shift along these; see ``sampling.SHIFTED``.
-SHIFTED = {"x": ("z", "y"), "y": ("z",), "z": ("x",)}
 
 
 @dataclasses.dataclass(frozen=True)
@@ -37,12 +38,6 @@ class Settings:
     affine_shear: float = 0.0
 
 
-def uniform(seed: int, what: str, *of: str) -> Column:
-    """A number in [0, 1) for the columns ``of``."""
-    h = F.xxhash64(F.lit(seed), F.lit(what), *(F.col(c) for c in of))
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
-
-
 def _below(u: Column, n: int) -> Column:
     return F.floor(u * n).cast("int")
 

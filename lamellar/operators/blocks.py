@@ -25,6 +25,8 @@ from lamellar.sources.storage import bucketed, materialise
 AXES = ("x", "y", "z")
 KEYS = ("bx", "by", "bz")
 SIDE = 64
+#: Groups of the patches that meet one block.
+PARTS = 16
 #: Blocks of a bucket, at most: a task reads a bucket block by block.
 PER_BUCKET = 64
 #: Spark's types of arrays' items, by kind and size; it has no unsigned ones, so they become wider. 64 unsigned bits must fit a long.
@@ -370,3 +372,63 @@ def label_components(b: Blocks) -> Blocks:
 
     edges = kept(_mapped(b, with_halo(b, ["seg"], 0, 1, corners=False), types, one), "block-edges")
     return _numbered(_roots(edges, "seg"), "seg")
+
+
+def patches(b: Blocks, origins: DataFrame, size: int) -> tuple[DataFrame, dict[str, str]]:
+    """px, py, pz, an array of ``size`` cubed for each column and ``there``, for every distinct origin; and the arrays' types.
+
+    Patches are joined to the kept blocks whose range they meet, and a block is read once for all of its patches, so
+    what is sent is the patches' own voxels. Places outside the volume, and missing voxels, don't exist.
+    """
+    places = ("px", "py", "pz")
+    wanted = origins.select(*(F.col(p).cast("long").alias(p) for p in places)).distinct()
+    for k, p in zip(KEYS, places, strict=True):
+        wanted = wanted.withColumn(k, F.explode(F.sequence(F.floor(F.col(p) / b.side), F.floor((F.col(p) + size - 1) / b.side))))
+    near = wanted.groupBy(*KEYS, F.pmod(F.xxhash64(*places), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct(*places)).alias("met"))
+    schema = "px long, py long, pz long, lo array<int>, hi array<int>, " + ", ".join(f"`{c}` binary" for c in b.types) + ", there binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, arrays, there, row in _blocks_of(batches, b):
+            for patch in row.column("met")[0].as_py():
+                origin = [patch[p] for p in places]
+                lo = [max(0, p - o * b.side) for p, o in zip(origin, block, strict=True)]
+                hi = [min(n, p + size - o * b.side) for p, o, n in zip(origin, block, there.shape, strict=True)]
+                if any(x >= y for x, y in zip(lo, hi, strict=True)):
+                    continue
+                part = tuple(map(slice, lo, hi))
+                ends = [[x + o * b.side - p for x, o, p in zip(e, block, origin, strict=True)] for e in (lo, hi)]
+                cells = {c: pa.array([arrays[c][part].tobytes()], pa.binary()) for c in b.types} | {"there": pa.array([_packed(there[part])], pa.binary())}
+                head = {p: pa.array([v], pa.int64()) for p, v in patch.items()} | {k: pa.array([e], pa.list_(pa.int32())) for k, e in zip(("lo", "hi"), ends, strict=True)}
+                yield pa.RecordBatch.from_pydict(head | cells)
+
+    def join(group: pa.Table) -> pa.Table:
+        exist, out = np.zeros((size,) * 3, bool), {c: np.zeros((size,) * 3, t) for c, t in b.types.items()}
+        for piece in group.to_pylist():
+            at, shape = tuple(map(slice, piece["lo"], piece["hi"])), tuple(y - x for x, y in zip(piece["lo"], piece["hi"], strict=True))
+            exist[at] = _unpacked(piece["there"], shape)
+            for c, t in b.types.items():
+                out[c][at] = np.where(exist[at], np.frombuffer(piece[c], t).reshape(shape), np.zeros(1, t))
+        head = {p: group[p].combine_chunks()[:1] for p in places}
+        cells = {c: pa.array([a.tobytes()], pa.binary()) for c, a in out.items()} | {"there": pa.array([_packed(exist)], pa.binary())}
+        return pa.table(head | cells)
+
+    pieces = b.rows.join(near, list(KEYS)).mapInArrow(cut, schema)
+    made = "px long, py long, pz long, " + ", ".join(f"`{c}` binary" for c in b.types) + ", there binary"
+    return pieces.groupBy(*places).applyInArrow(join, made), b.types
+
+
+def patch_voxels(patch: DataFrame, types: dict[str, str], size: int) -> DataFrame:
+    """px, py, pz, i, j, k and the columns of every voxel that exists in ``patches``."""
+    items = {c: np.dtype(t).str.lstrip("<|").replace("b1", "?") for c, t in types.items()}
+    wider = {c: _WIDER.get(t, t) for c, t in items.items()}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                at = np.nonzero(_unpacked(row.column("there")[0].as_py(), (size,) * 3))
+                head = [pa.array(np.full(len(at[0]), row.column(p)[0].as_py())) for p in ("px", "py", "pz")]
+                values = [pa.array(np.frombuffer(row.column(c)[0].as_py(), t).reshape((size,) * 3)[at].astype(wider[c])) for c, t in types.items()]
+                yield pa.RecordBatch.from_arrays([*head, *map(pa.array, at), *values], names=["px", "py", "pz", "i", "j", "k", *types])
+
+    fixed = ", ".join(f"{c} long" for c in ("px", "py", "pz", "i", "j", "k"))
+    return patch.mapInArrow(task, f"{fixed}, " + ", ".join(f"`{c}` {_SPARK[t]}" for c, t in wider.items()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamellar.functions.draws import chosen, normal, shuffled, uniform
+
 AXES = ("x", "y", "z")
 
 
@@ -14,27 +16,32 @@ def position_range(offset: int, size: int, divisor: int, shape: int) -> tuple[in
 
 
 def sample_positions(ids: DataFrame, shape: tuple[int, int, int], size: int, offset: int, divisor: int = 5, seed: int = 0) -> DataFrame:
-    """Adds px, py, pz, drawn evenly from the range of each axis."""
+    """Adds px, py, pz, drawn evenly from the range of each axis for the row's own values; equal rows draw the same."""
     out = ids
-    for k, (axis, n) in enumerate(zip(AXES, shape, strict=True)):
+    for axis, n in zip(AXES, shape, strict=True):
         lo, hi = position_range(offset, size, divisor, n)
         if hi < lo:
             raise ValueError("the volume is too small for a patch")
-        out = out.withColumn(f"p{axis}", (F.floor(F.rand(seed * 3 + k) * (hi - lo + 1)) + lo).cast("long"))
+        out = out.withColumn(f"p{axis}", (F.floor(uniform(seed, f"p{axis}", *ids.columns) * (hi - lo + 1)) + lo).cast("long"))
     return out
 
 
 def weighted_choice(ids: DataFrame, weights: list[float], seed: int = 0) -> DataFrame:
-    """Adds source: a number below ``len(weights)``, drawn by weight."""
-    total, upto, pick = sum(weights), 0.0, F.lit(len(weights) - 1)
-    at = F.col("__r")
-    bounds = []
-    for w in weights:
-        upto += w / total
-        bounds.append(upto)
-    for k in range(len(weights) - 2, -1, -1):
-        pick = F.when(at < bounds[k], F.lit(k)).otherwise(pick)
-    return ids.withColumn("__r", F.rand(seed)).withColumn("source", pick).drop("__r")
+    """Adds source: a number below ``len(weights)``, drawn by weight for the row's own values."""
+    slot, within = (uniform(seed, what, *ids.columns) for what in ("slot", "within"))
+    return ids.withColumn("source", chosen(weights, slot, within))
+
+
+def epochs(samples: DataFrame, many: int, count: int, workers: int, seed: int = 0) -> DataFrame:
+    """epoch, sample, position, worker and nth: each of ``many`` samples once in every epoch, in an order of its own.
+
+    ``samples`` has ``sample``, from 0. Positions are a keyed permutation, so nothing is sorted or counted, and a worker
+    takes every ``workers``-th of them; nth is the position among its own.
+    """
+    key = F.col("epoch") * 1_000_003 % 2_147_483_647 + seed % 1_000_000
+    rows = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    rows = rows.withColumn("position", shuffled(F.col("sample"), many, key % 2_147_483_647))
+    return rows.withColumns({"worker": F.col("position") % workers, "nth": F.call_function("div", F.col("position"), F.lit(workers).cast("long"))})
 
 
 def flipped(df: DataFrame, axis: str, n: int) -> DataFrame:
@@ -67,7 +74,7 @@ def drop_slices(df: DataFrame, axis: str, slices: DataFrame, value: str) -> Data
 
 
 def random_slices(df: DataFrame, axis: str, probability: float, seed: int = 0) -> DataFrame:
-    return df.select(axis).distinct().filter(F.rand(seed) < probability)
+    return df.select(axis).distinct().filter(uniform(seed, "slice", axis) < probability)
 
 
 #: Along which axes the slices of an axis shift. One axis of each of the last two is the channel in the
@@ -85,9 +92,9 @@ def shift_slices(df: DataFrame, axis: str, shifts: DataFrame, shape: dict[str, i
 
 
 def random_shifts(df: DataFrame, axis: str, probability: float, magnitude: int, seed: int = 0) -> DataFrame:
-    one = df.select(axis).distinct().filter(F.rand(seed) < probability)
-    draw = lambda k: F.floor(F.rand(seed + 1 + k) * (2 * magnitude + 1)) - magnitude
-    return one.withColumns({f"shift_{o}": draw(k) for k, o in enumerate(SHIFTED[axis])})
+    one = df.select(axis).distinct().filter(uniform(seed, "slice", axis) < probability)
+    draw = lambda o: F.floor(uniform(seed, f"shift {o}", axis) * (2 * magnitude + 1)) - magnitude
+    return one.withColumns({f"shift_{o}": draw(o) for o in SHIFTED[axis]})
 
 
 def intensity(df: DataFrame, value: str, factor: float | Column, add: float | Column) -> DataFrame:
@@ -98,12 +105,13 @@ def intensity(df: DataFrame, value: str, factor: float | Column, add: float | Co
 def random_intensity(df: DataFrame, keys: list[str], value: str, mul: float, add: float, seed: int = 0) -> DataFrame:
     """One factor and one addend per sample."""
     one = df.select(*keys).distinct()
-    one = one.withColumn("__f", 1 - mul + 2 * mul * F.rand(seed)).withColumn("__a", -add + 2 * add * F.rand(seed + 1))
+    one = one.withColumns({"__f": 1 - mul + 2 * mul * uniform(seed, "factor", *keys), "__a": -add + 2 * add * uniform(seed, "addend", *keys)})
     return intensity(df.join(one, keys), value, F.col("__f"), F.col("__a")).drop("__f", "__a")
 
 
 def noise(df: DataFrame, value: str, scale: float, seed: int = 0) -> DataFrame:
-    return df.withColumn(value, F.col(value) + scale * F.randn(seed))
+    """Adds normal noise, drawn for each place."""
+    return df.withColumn(value, F.col(value) + scale * normal(seed, "noise", *(c for c in df.columns if c != value)))
 
 
 def affine(df: DataFrame, value: str, matrix: list[list[float]], shape: tuple[int, int, int], nearest: bool = False) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lamellar.operators.quality import Check
+
 
 def write_volume(df: DataFrame, path: str, overwrite: bool, block: int | None = 512) -> None:
     """A voxel table, clustered by block so that boxes prune files. Without ``overwrite`` a table there is an error."""
@@ -33,3 +37,30 @@ def append_images(rows: DataFrame, path: str) -> None:
     """Adds pixels (tag, step, i, j, c, value) to a log of images, values between 0 and 1 as they are shown."""
     shown = F.least(F.greatest(F.col("value").cast("double"), F.lit(0.0)), F.lit(1.0))
     rows.select("tag", F.col("step").cast("long").alias("step"), "i", "j", "c", shown.alias("value")).write.mode("append").partitionBy("tag").parquet(path)
+
+
+def write_checked(df: DataFrame, path: str, checks: Sequence[Check], overwrite: bool = False) -> None:
+    """Writes Parquet if all checks hold, else raises a ValueError and leaves nothing; what was there stays.
+
+    The checks are metrics of the write itself, so rows are computed once. They are written beside ``path`` and
+    take its place at the end. Without ``overwrite`` a table there is an error.
+    """
+    spark = df.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at, staged = paths(path), paths(f"{path.rstrip('/')}.unchecked")
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not overwrite and store.exists(at):
+        raise FileExistsError(path)
+    seen = Observation()
+    try:
+        watched = df.observe(seen, *(ok.alias(f"c{i}") for i, (_, ok) in enumerate(checks)))
+        watched.write.mode("overwrite").parquet(staged.toString())
+        wrong = [what for i, (what, _) in enumerate(checks) if not seen.get[f"c{i}"]]
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        if overwrite:
+            store.delete(at, True)
+        if not store.rename(staged, at):
+            raise OSError(f"{staged.toString()} can't be renamed")
+    finally:
+        store.delete(staged, True)

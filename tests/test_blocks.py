@@ -115,3 +115,30 @@ def test_queries_are_registered(name):
     import __spark_entry__ as entry
 
     assert name in entry.queries() and name in entry.oracle_sql()
+
+
+def test_patches(spark, volume, packed):
+    """Patches at every place, some of them beyond the volume, against filters of boxes."""
+    origins = spark.createDataFrame([(x, y, z) for x in range(-2, 15, 3) for y in range(0, 10, 3) for z in range(-1, 10, 4)] + [(0, 0, 3)] * 2, "px long, py long, pz long")
+    found, types = blocks.patches(packed, origins, 6)
+    assert found.count() == found.select("px", "py", "pz").distinct().count()
+    at = lambda a: (F.col(a) >= F.col(f"p{a}")) & (F.col(a) < F.col(f"p{a}") + 6)
+    want = F.broadcast(origins.distinct()).join(volume, at("x") & at("y") & at("z"))
+    want = want.select("px", "py", "pz", *((F.col(a) - F.col(f"p{a}")).alias(i) for a, i in zip("xyz", "ijk")), *TYPES)
+    got = blocks.patch_voxels(found, types, 6)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ten_thousand_patches_read_each_block_once(spark, packed):
+    origins = spark.range(10_000).select(F.expr("id % 10").alias("px"), F.expr("id div 10 % 10").alias("py"), F.expr("id div 100 % 5").alias("pz"))
+    found, _ = blocks.patches(packed, origins, 5)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.execute().count() >= 0
+    read, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        if kind == "FileSourceScanExec":
+            read += node.metrics().get("numOutputRows").get().value()
+    assert 0 < read <= packed.rows.count()
