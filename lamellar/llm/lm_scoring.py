@@ -24,6 +24,8 @@ from lamellar.sources.storage import materialise
 
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 8_000_000
+#: Ids below this stand side by side in one number of 64 bits.
+FUSED = 1 << 31
 #: Weight of the word probability in a bigram's, in counts.
 ALPHA = 50.0
 
@@ -37,9 +39,15 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), np.bincount(doc[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
-def pairs_of(ids: np.ndarray) -> np.ndarray:
-    """The key of each bigram of a row of ids: both ids side by side, so each bigram has its own."""
-    return (ids[:-1].astype(np.int64) << 32) | ids[1:].astype(np.int64)
+def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ids of distinct bigrams in order, and the place of each one given. Ids are exact at any size."""
+    names = None
+    if max(left.max(initial=0), right.max(initial=0)) >= FUSED:  # those at hand are fewer
+        names, local = np.unique(np.concatenate([left, right]), return_inverse=True)
+        left, right = local[: len(left)], local[len(left) :]
+    keys, at = np.unique((left.astype(np.int64) << 32) | right, return_inverse=True)
+    left, right = keys >> 32, keys & 0xFFFFFFFF
+    return (left, right, at) if names is None else (names[left], names[right], at)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -65,13 +73,17 @@ def _word_buckets(words: pa.Array, many: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) % many for w in words.to_pylist()), np.int64, len(words))
 
 
-def _bigram_buckets(keys: np.ndarray, many: int) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _bigram_buckets(left: np.ndarray, right: np.ndarray, many: int) -> np.ndarray:
+    keys = (left.astype(np.uint64) << np.uint64(32)) ^ (left.astype(np.uint64) >> np.uint64(32)) ^ right.astype(np.uint64)
+    h = keys * np.uint64(0x9E3779B97F4A7C15)
     return (((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(many)).astype(np.int64)
 
 
 def chunks(docs: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
-    """One row per chunk: its documents, its distinct words, and its tokens as places among these."""
+    """One row per chunk: its documents, its distinct words, and its tokens as places among these.
+
+    Null texts have no words; rows with a null id are dealt by text.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -112,8 +124,6 @@ def word_models(base: DataFrame, many: int) -> DataFrame:
         coded = lists.flatten().dictionary_encode()
         at, distinct, bucket = coded.indices.to_numpy(), len(coded.dictionary), rows["bucket"][0].as_py()
         ids = at.astype(np.int64) * many + bucket
-        if distinct * many + bucket >= 1 << 31:
-            raise ValueError("more words than ids")
         return _sums(rows, at, distinct, ids, np.cumsum(pc.list_value_length(lists).to_numpy()))
 
     sent = base.select("chunk", "words", "lengths", "wanted", "tokens").mapInArrow(send, "bucket long, chunk long, words array<string>, target binary, background binary")
@@ -156,29 +166,38 @@ def bigram_models(base: DataFrame, words: DataFrame, many: int) -> DataFrame:
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, doc, within, (ids, _, _) = _numbered(left, right, many)
-        keys, at = np.unique(pairs_of(ids[tokens])[within], return_inverse=True)
+        named = ids[tokens]
+        lefts, rights, at = _distinct(named[within], named[within + 1])
         own = _unpacked(left["wanted"][0].as_py())[doc[within]] > 0
-        t, b = (np.bincount(x, minlength=len(keys)) for x in (at[own], at))
-        order, groups = _dealt(_bigram_buckets(keys, many))
-        cols = [pa.array([_packed(x[order[lo:hi]]) for _, lo, hi in groups], pa.binary()) for x in (keys, t, b)]
+        t, b = (np.bincount(x, minlength=len(lefts)) for x in (at[own], at))
+        order, groups = _dealt(_bigram_buckets(lefts, rights, many))
+        cols = [pa.array([_packed(x[order[lo:hi]]) for _, lo, hi in groups], pa.binary()) for x in (lefts, rights, t, b)]
         head = [pa.array([g[0] for g in groups], pa.int64()), pa.array([left["chunk"][0].as_py()] * len(groups), pa.int64())]
-        return pa.table([*head, *cols], names=["bucket", "chunk", "keys", "target", "background"])
+        return pa.table([*head, *cols], names=["bucket", "chunk", "lefts", "rights", "target", "background"])
 
     def add(rows: pa.Table) -> pa.Table:
-        parts = [_unpacked(x) for x in rows["keys"].to_pylist()]
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        return _sums(rows, at, len(keys), None, np.cumsum([len(p) for p in parts]))
+        lefts, rights = ([_unpacked(x) for x in rows[name].to_pylist()] for name in ("lefts", "rights"))
+        distinct, _, at = _distinct(np.concatenate(lefts), np.concatenate(rights))
+        return _sums(rows, at, len(distinct), None, np.cumsum([len(p) for p in lefts]))
 
-    sent = base.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, keys binary, target binary, background binary")
+    made = "bucket long, chunk long, lefts binary, rights binary, target binary, background binary"
+    sent = base.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(send, made)
     return sent.groupBy("bucket").applyInArrow(add, FOUND)
 
 
+def _repeats(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How often each value stands in its own document."""
+    _, at, n = np.unique(doc * np.int64(value.max(initial=0) + 1) + value, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score, their difference; less is more wanted.
 
     A bigram's probability is its count and ALPHA times the word's probability, over the count of the first
     word and ALPHA. So those of all words after a word, and of the document's end, sum to 1, an unseen word having one
-    count among the words'.
+    count among the words'. A document is scored by the counts of all others: its own are subtracted from
+    both models, so that being labelled doesn't change its score.
 
     ``labels``: doc_id and wanted (true or false). A document counts as wanted if any of its labels
     says so. Null or empty text has 0 tokens and null losses. Rows with a null id are counted for the
@@ -197,21 +216,24 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of_word = pc.is_valid(right["ids"])
         tokens, doc, within, (ids, *counts) = _numbered(left, right.filter(of_word), many)
-        keys, at = np.unique(pairs_of(ids[tokens])[within], return_inverse=True)
-        order, _ = _dealt(_bigram_buckets(keys, many))
+        named = ids[tokens]
+        lefts, rights, at = _distinct(named[within], named[within + 1])
+        order, _ = _dealt(_bigram_buckets(lefts, rights, many))
         found = right.filter(pc.invert(of_word)).sort_by("bucket")
-        lengths = _unpacked(left["lengths"][0].as_py())
+        lengths, wanted = (_unpacked(left[c][0].as_py()) for c in ("lengths", "wanted"))
         first = np.flatnonzero(np.diff(doc, prepend=-1))
+        # A document's own counts are left out of both models, so that it isn't known by heart.
+        own_word, own_pair = _repeats(doc, tokens), _repeats(doc[within], at)
         losses = []
-        for name, unigram, total in zip(("target", "background"), counts, sums, strict=True):
-            n = np.zeros(len(keys), np.int64)
-            if len(keys):
+        for name, unigram, total, counted in zip(("target", "background"), counts, sums, (wanted[doc], np.ones_like(doc)), strict=True):
+            n = np.zeros(len(lefts), np.int64)
+            if len(lefts):
                 n[order] = np.concatenate([_unpacked(x) for x in found[name].to_pylist()])
-            p = (unigram + 1.0) / total
+            others = unigram[tokens] - own_word * counted
+            p = (others + 1.0) / (total - lengths[doc] * counted)
             loss = np.zeros(len(tokens))
-            loss[first] = -np.log(p[tokens[first]])
-            before, after = tokens[within], tokens[within + 1]
-            loss[within + 1] = -np.log((n[at] + ALPHA * p[after]) / (unigram[before] + ALPHA))
+            loss[first] = -np.log(p[first])
+            loss[within + 1] = -np.log((n[at] - own_pair * counted[within] + ALPHA * p[within + 1]) / (others[within] + ALPHA))
             losses.append(np.bincount(doc, loss, len(lengths)) / np.maximum(lengths, 1))
         none = lengths == 0
         t, b = losses

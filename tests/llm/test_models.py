@@ -176,7 +176,10 @@ def test_lm_scoring(spark):
             every = sum(q(a, b) for b in {w for ws in words for w in ws}) + (ends[a] + lm_scoring.ALPHA * p(None)) / (uni[a] + lm_scoring.ALPHA)
             assert abs(every - 1) < 1e-9
         for i, ws in enumerate(words):
-            if ws:
+            if ws:  # without its own counts
+                own, pairs = (Counter(ws), Counter(zip(ws, ws[1:]))) if use[i] else (Counter(), Counter())
+                p = lambda w: (uni[w] - own[w] + 1) / (n - own.total() + many + 1)  # noqa: B023, E731
+                q = lambda a, b: (bi[a, b] - pairs[a, b] + lm_scoring.ALPHA * p(b)) / (uni[a] - own[a] + lm_scoring.ALPHA)  # noqa: B023, E731
                 loss[i, k] = -(math.log(p(ws[0])) + sum(math.log(q(a, b)) for a, b in zip(ws, ws[1:]))) / len(ws)
     want = sorted((str(d), len(words[i]), round(loss.get((i, 0), 0), 6), round(loss.get((i, 1), 0), 6)) for i, (d, _) in enumerate(rows))
     assert sorted((str(r.doc_id), r.n_tokens, round(r.loss_target or 0, 6), round(r.loss_background or 0, 6)) for r in got) == want
@@ -184,9 +187,11 @@ def test_lm_scoring(spark):
     assert lm_scoring.lm_scoring(df.limit(0), spark.createDataFrame(labels, "doc_id long, wanted boolean")).count() == 0
 
 
-def test_lm_scoring_counts_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("fused", [1 << 31, 0])
+def test_lm_scoring_counts_are_exact(spark, monkeypatch, fused):
     """More words than 32,768 and more bigrams than 2^18, against counts by the words themselves, in several chunks."""
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 600_000)
+    monkeypatch.setattr(lm_scoring, "FUSED", fused)
     rng = random.Random(6)
     texts = [[f"w{int(40_000 * rng.random() ** 1.5)}" for _ in range(1000)] for _ in range(320)] + [["often", "pair"] * 3000, ["once"], []]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
@@ -197,12 +202,13 @@ def test_lm_scoring_counts_are_exact(spark, monkeypatch):
         uni = Counter(w for i, t in enumerate(texts) if use(i) for w in t)
         bi = Counter(b for i, t in enumerate(texts) if use(i) for b in zip(t, t[1:]))
         n = uni.total()
-        p = lambda w: (uni[w] + 1) / (n + many + 1)  # noqa: B023, E731
         for i, t in enumerate(texts):
             if not t:
                 assert got[i][name] is None
                 continue
-            rest = [(bi[a, b] + lm_scoring.ALPHA * p(b)) / (uni[a] + lm_scoring.ALPHA) for a, b in zip(t, t[1:])]
+            own, pairs = (Counter(t), Counter(zip(t, t[1:]))) if use(i) else (Counter(), Counter())
+            p = lambda w: (uni[w] - own[w] + 1) / (n - own.total() + many + 1)  # noqa: B023, E731
+            rest = [(bi[a, b] - pairs[a, b] + lm_scoring.ALPHA * p(b)) / (uni[a] - own[a] + lm_scoring.ALPHA) for a, b in zip(t, t[1:])]
             assert all(x <= 1 for x in rest) and abs(got[i][name] + (math.log(p(t[0])) + sum(map(math.log, rest))) / len(t)) < 1e-9
 
 
@@ -289,3 +295,21 @@ def test_a_very_long_word_needs_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20_000_000, peak
+
+
+def test_ids_beyond_31_bits():
+    rng = np.random.default_rng(2)
+    left, right = rng.integers(0, 1 << 45, 500), rng.integers(0, 1 << 45, 500)
+    left[250:], right[250:] = left[:250], right[:250]
+    a, b, at = lm_scoring._distinct(left, right)
+    assert len(a) == 250 and (a[at] == left).all() and (b[at] == right).all() and sorted(zip(a, b)) == list(zip(a, b))
+
+
+def test_a_label_does_not_change_a_documents_own_score(spark):
+    """One text, labelled in one corpus and not in the other: what it is scored by is the same."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:120]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = lambda ids: {r.doc_id: r.score for r in lm_scoring.lm_scoring(docs, spark.createDataFrame([(i, True) for i in ids], "doc_id long, wanted boolean")).collect()}
+    some = [i for i, _ in rows[::2]]
+    with_it, without = scored(some), scored(some[1:])
+    assert abs(with_it[some[0]] - without[some[0]]) < 1e-9
