@@ -34,11 +34,11 @@ def affinities(seg: DataFrame, long_range: int = 10, keys: tuple[str, ...] = (),
     """
     steps = [(axis, step) for step in (1, long_range) for axis in AXES]
     side, blocks = max(BLOCK, long_range), [f"__b{a}" for a in AXES]
-    own = seg.withColumns({b: F.floor(F.col(a) / side) for a, b in zip(AXES, blocks, strict=True)}).withColumn("__own", F.lit(True))
-    rows = own
-    for a, b in zip(AXES, blocks, strict=True):
-        beside = own.filter(F.pmod(F.col(a), F.lit(side)) < max(1, long_range))
-        rows = rows.unionByName(beside.withColumns({b: F.col(b) - 1, "__own": F.lit(False)}))
+    home = [F.floor(F.col(a) / side) for a in AXES]
+    place = lambda own, axis: F.struct(F.lit(own).alias("__own"), *((h - 1 if k == axis else h).alias(b) for k, (h, b) in enumerate(zip(home, blocks, strict=True))))
+    beside = [F.when(F.pmod(F.col(a), F.lit(side)) < max(1, long_range), place(False, k)) for k, a in enumerate(AXES)]
+    to = F.explode(F.array_compact(F.array(place(True, None), *beside))).alias("__to")
+    rows = seg.select(*seg.columns, to).select(*seg.columns, "__to.*")
     out = rows.repartition(*keys, *blocks)
     out = out.withColumns({f"__n{k}": neighbour("seg", axis, step, (*keys, *blocks)) for k, (axis, step) in enumerate(steps)})
     out = out.filter("__own").drop("__own", *blocks)

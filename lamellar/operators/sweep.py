@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamellar.sources.storage import read_text
+
 #: Options that are given as --option or --no-option.
 SWITCHES = ("scheduler", "intensity_aug", "validate_extern", "distributed", "compile", "resume_from_last_checkpoint", "augment")
 
@@ -54,6 +56,7 @@ def commands(spark: SparkSession, params: dict[str, list]) -> DataFrame:
     out = frame.withColumn("exp_name", name).select(
         "combo", is_long.alias("is_long"), inside.alias("save_dir"), F.concat_ws(" ", *args, F.concat(F.lit("--exp_name "), "exp_name")).alias("args"), "exp_name"
     )
+    # The text of the command.
     head = F.concat(F.lit("sbatch --output "), F.col("save_dir"), F.lit("/slurm.out "))
     extra = F.concat(F.lit("--export=ALL,SAVE_DIR="), F.col("save_dir"), F.lit(",LONG_JOB=TRUE,PYTORCH_CUDA_ALLOC_CONF=expandable_segments:True "))
     return out.withColumn("command", F.concat(head, F.when(F.col("is_long"), extra).otherwise(F.lit("")), F.lit("aff_train.sh "), F.col("args")))
@@ -64,17 +67,16 @@ def combinations(params: dict[str, list]) -> list[tuple]:
     return list(itertools.product(*params.values()))
 
 
-def load_config(path: str) -> dict:
-    """A YAML file's content; needs PyYAML, which reads 1e-3 as text and 1_000_000 as a number."""
+def load_config(spark: SparkSession, path: str) -> dict:
+    """A YAML file's content, from any store that Spark reads; needs PyYAML, which reads 1e-3 as text and 1_000_000 as a number."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading a YAML configuration needs PyYAML") from e
-    with open(path) as f:
-        return yaml.safe_load(f)
+    return yaml.safe_load(read_text(spark, path))
 
 
-#: Parts of an experiment's name after the time, in order: text before each option, and the option.
+#: Parts of an experiment's name after the time, in order: text before each option, and the option.
 NAME_PARTS = (
     ("ds_", "data_setting"),
     ("_lrng", "long_range"),

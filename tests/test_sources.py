@@ -95,3 +95,11 @@ def test_logs_of_text_and_images(spark, tmp_path):
         sinks.append_images(image, str(tmp_path / "images"))
     assert [r.text for r in spark.read.parquet(str(tmp_path / "text")).collect()] == ["hello"] * 2
     assert sorted((r.tag, r.value) for r in spark.read.parquet(str(tmp_path / "images")).collect()) == [("a", 1.0)] * 2 + [("b", 0.0)] * 2 + [("b", 0.25)] * 2
+
+
+def test_a_configuration_from_any_store(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    from lamellar.operators import sweep
+
+    (tmp_path / "c.yaml").write_text("params:\n  seed: [0, 1]\n  save_path: [/tmp]\n")
+    assert sweep.load_config(spark, f"file://{tmp_path}/c.yaml") == yaml.safe_load((tmp_path / "c.yaml").read_text())
