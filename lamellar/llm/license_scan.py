@@ -22,7 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 3
 #: Percent of a template's words that a span covers at least; words of a template for each that diagonals of one span may differ.
 COVERS, PER_SHIFT = 80, 5
-#: Grams of all templates, as many as are broadcast.
+#: Grams of templates that are broadcast at once (about 60 bytes each); more are taken in blocks, each against all texts.
 MOST_GRAMS = 1_000_000
 
 #: The base phrases and their labels.
@@ -118,9 +118,9 @@ def _phrase(words: Column, at: Column) -> Column:
     return F.when(at >= 0, found)
 
 
-def _places(docs: DataFrame, grams: DataFrame) -> DataFrame:
+def _places(numbered: DataFrame, grams: DataFrame) -> DataFrame:
     """row, doc_id, pos, n_words, base, nth, tpl, label, place, words: a row for each document (pos -1), and for its places of phrases and exact matches."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _words(F.coalesce("text", F.lit(""))).alias("w"))
+    rows = numbered.select("row", "doc_id", _words(F.coalesce("text", F.lit(""))).alias("w"))
     rows = rows.select("row", "doc_id", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("pos"))
     rows = rows.withColumns({"base": _phrase(F.col("w"), F.col("pos")), "key": _gram(F.col("w"), F.col("pos"))})
     rows = rows.join(F.broadcast(grams), F.col("key") == F.col("gram"), "left").filter("pos < 0 or base is not null or tpl is not null")
@@ -148,11 +148,16 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
     A span stands if it covers COVERS percent of its template, and no span that overlaps it has more
     words covered, or as many at a greater share.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     grams = template_grams(docs.sparkSession, templates)
-    if grams.count() > MOST_GRAMS:
-        raise ValueError("more templates than are broadcast")
-    places = materialise(_places(rows, grams), "places")
+    blocks = max(1, -(-grams.count() // MOST_GRAMS))
+    if blocks > 1:
+        rows = materialise(rows, "numbered")  # every block sees the same rows
+    places = _places(rows, grams.filter(F.pmod(F.col("gram"), F.lit(blocks)) == 0) if blocks > 1 else grams)
+    for k in range(1, blocks):  # documents and phrases are in the first
+        more = _places(rows, grams.filter(F.pmod(F.col("gram"), F.lit(blocks)) == k)).filter("tpl is not null")
+        places = places.unionByName(more.withColumn("base", F.lit(None).cast("string")))
+    places = materialise(places, "places")
     spans = _spans(places).withColumn("whole", 100 * F.col("covered") >= COVERS * F.col("words"))
     # Overlapping whole spans are one cluster: a running maximum of ends along the text.
     along = W.partitionBy("row", "whole").orderBy("lo", "hi", "tpl")

@@ -204,6 +204,14 @@ def test_diagonals(spark):
     assert got[1].score == 1 and 0.8 <= got[2].score < 1 and 0.8 <= got[3].score <= 1 and 0 < got[4].score < 0.8 and got[9].score < 0.3
 
 
+def test_templates_in_blocks(spark, monkeypatch):
+    words = " ".join(t for _, t in license_scan.TEMPLATES)
+    docs = [(1, words, "en"), (2, "cc by all rights reserved", "en"), (2, None, "en"), (3, "Licensed under the MIT License", "en")]
+    want = sorted(map(str, scanned(spark, docs)))
+    monkeypatch.setattr(license_scan, "MOST_GRAMS", 50)
+    assert sorted(map(str, scanned(spark, docs))) == want
+
+
 def test_spans_give_places_in_the_text(spark):
     docs = table(spark, [(1, "one two Released under the MIT License and Released under the MIT License", "en")])
     _, spans = license_scan.license_spans(docs)
