@@ -104,10 +104,10 @@ def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, seq[at], seq[at + 1]
 
 
-def _distinct(left: np.ndarray, right: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(left: np.ndarray, right: np.ndarray, span: int, fused: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Left and right names of distinct pairs, how often each stands, and its number for every pair. Names are below ``span``."""
     names = None
-    if span >= MOST_FUSED:  # those at hand are fewer
+    if not fused:  # those at hand are fewer
         names, local = np.unique(np.concatenate([left, right]), return_inverse=True)
         left, right, span = local[: len(left)], local[len(left) :], len(names)
     found, at, n = np.unique(left * np.int64(span) + right, return_inverse=True, return_counts=True)
@@ -115,9 +115,9 @@ def _distinct(left: np.ndarray, right: np.ndarray, span: int) -> tuple[np.ndarra
     return (left, right, n, at) if names is None else (names[left], names[right], n, at)
 
 
-def _keys(left: np.ndarray, right: np.ndarray, span: int) -> dict[str, pa.Array]:
+def _keys(left: np.ndarray, right: np.ndarray, span: int, fused: bool) -> dict[str, pa.Array]:
     """A pair's columns: one number for both names, or two."""
-    return {"code": pa.array(left * np.int64(span) + right)} if span < MOST_FUSED else {"l": pa.array(left), "r": pa.array(right)}
+    return {"code": pa.array(left * np.int64(span) + right)} if fused else {"l": pa.array(left), "r": pa.array(right)}
 
 
 def _key_names(span: int) -> list[str]:
@@ -135,16 +135,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _totals(seqs: DataFrame, span: int) -> DataFrame:
     """The columns of pairs and n: the distinct ones of a task's chunks, AT_ONCE places at a time."""
+    fused = span < MOST_FUSED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            left, right, n, _ = _distinct(*_pairs(np.concatenate(held))[1:], span)
+            left, right, n, _ = _distinct(*_pairs(np.concatenate(held))[1:], span, fused)
             held.clear()
             for lo in range(0, len(n), 50_000):
                 part = slice(lo, lo + 50_000)
-                yield pa.RecordBatch.from_pydict(_keys(left[part], right[part], span) | {"n": pa.array(n[part])})
+                yield pa.RecordBatch.from_pydict(_keys(left[part], right[part], span, fused) | {"n": pa.array(n[part])})
 
         for row in _rows(batches):
             held += [_unpacked(row["seq"].as_buffer()), np.array([_NONE])]
@@ -158,12 +159,13 @@ def _totals(seqs: DataFrame, span: int) -> DataFrame:
 
 def _own_pairs(seqs: DataFrame, span: int) -> DataFrame:
     """chunk, nth and the columns of pairs: the distinct ones of each chunk, numbered as ``_distinct`` does."""
+    fused = span < MOST_FUSED
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            left, right, _, _ = _distinct(*_pairs(_unpacked(row["seq"].as_buffer()))[1:], span)
+            left, right, _, _ = _distinct(*_pairs(_unpacked(row["seq"].as_buffer()))[1:], span, fused)
             chunk = pa.array(np.full(len(left), row["chunk"].as_py(), np.int64))
-            yield pa.RecordBatch.from_pydict({"chunk": chunk, "nth": pa.array(np.arange(len(left)))} | _keys(left, right, span))
+            yield pa.RecordBatch.from_pydict({"chunk": chunk, "nth": pa.array(np.arange(len(left)))} | _keys(left, right, span, fused))
 
     return seqs.mapInArrow(listed, "chunk long, nth long, " + ", ".join(f"{k} long" for k in _key_names(span)))
 
@@ -183,7 +185,7 @@ def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 def _encoded(chunks: DataFrame, names: DataFrame, keys: list[str], span: int, label: str) -> DataFrame:
     """chunk, lang, seq of names: those of words or pairs that are frequent, -1 elsewhere. ``span``: names of the level below."""
-    words = keys == ["lang", "word"]
+    words, fused = keys == ["lang", "word"], span < MOST_FUSED
 
     def sequences(batches: Iterator[pa.RecordBatch], ids_of) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -197,7 +199,7 @@ def _encoded(chunks: DataFrame, names: DataFrame, keys: list[str], span: int, la
                 seq[at] = ids_of(row, (left, right))
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"].as_py()], pa.int64()), pa.array([row["lang"].as_py()]), _packed(seq)], names=["chunk", "lang", "seq"])
 
-    if names.count() <= MOST_BROADCAST and span < MOST_FUSED:
+    if names.count() <= MOST_BROADCAST and fused:
         table = names.orderBy(*keys).toArrow()  # MOST_BROADCAST rows at most
         ids = table["id"].to_numpy()
         if words:
@@ -225,7 +227,7 @@ def _encoded(chunks: DataFrame, names: DataFrame, keys: list[str], span: int, la
     joined = chunks.join(own, "chunk", "left")  # a chunk's own pairs, as many as it has places
 
     def given(row, asked):
-        at = np.arange(len(asked)) if words else _distinct(*asked, span)[3]
+        at = np.arange(len(asked)) if words else _distinct(*asked, span, fused)[3]
         ids = np.full(at.max() + 1 if len(at) else 0, _NONE)
         if row["nth"].is_valid:
             ids[row["nth"].values.to_numpy()] = row["ids"].values.to_numpy()
