@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamellar.functions.ranking import with_rank
+from lamellar.functions.ranking import numbered_within, with_rank
 from lamellar.functions.scalar import above
 from lamellar.operators.affinity import neighbour
-from lamellar.operators.components import connected_components
+from lamellar.operators.components import connected_components, local_roots
 from lamellar.sources.storage import materialise
 
 AXES = ("x", "y", "z")
@@ -23,21 +23,6 @@ def hard(pred: DataFrame, threshold: float) -> DataFrame:
     return pred.withColumns({f"a{k}": above(F.col(f"a{k}"), F.lit(threshold)) for k in range(3)})
 
 
-def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 with edges u-v, the least node of each one's component."""
-    root = np.arange(n)
-    while len(u):
-        ru, rv = root[u], root[v]
-        low = np.minimum(ru, rv)
-        if (ru == rv).all():
-            break
-        np.minimum.at(root, ru, low)
-        np.minimum.at(root, rv, low)
-        while (nxt := root[root]).tobytes() != root.tobytes():
-            root = nxt
-    return root
-
-
 def _label_block(frame: pd.DataFrame) -> pd.DataFrame:
     """One block's voxels, and copies of those before it with an affinity into it."""
     frame = frame.sort_values("vid").reset_index(drop=True)
@@ -123,17 +108,15 @@ def label_components(seg: DataFrame, shape: tuple[int, int, int] | None = None,
     return named.join(number, "root", "left").select(*AXES, F.when(F.col("was") > 0, F.col("seg")).otherwise(F.col("was")).alias("seg"))
 
 
-def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root, and ``local``, its number from 0 within its component; lone nodes are their own.
-
-    Nodes are dealt and numbered by ranges of (root, node), so a component may be of any size: a
-    node's number in all less that of its component's first node.
-    """
+def graph_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root; lone nodes are their own."""
     found = connected_components(edges.select("u", "v"))
-    rows = nodes.select("node").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ranked = materialise(with_rank(rows, ["root", "node"], "nth"), "graph-ranks")
-    first = ranked.groupBy("root").agg(F.min("nth").alias("first"))
-    return ranked.join(first, "root").select("node", "root", (F.col("nth") - F.col("first")).alias("local"))
+    return nodes.select("node").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root, and ``local``, its number from 0 within its component, which may be of any size; lone nodes are their own."""
+    return numbered_within(graph_roots(nodes, edges), "root", "node", "local").select("node", "root", "local")
 
 
 def component_of_skeleton(nodes: DataFrame, components: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamellar.functions import scalar
 from lamellar.operators import information, segmentation, selection, skeleton, stats, sweep, threshold_scores
 from lamellar.plans.grid_queries import COMPONENTS_SQL, RASTER_SQL, STEP_SQL
-from lamellar.sources.fixtures import NODES_SQL, VOXELS_SQL, skeleton_edges, skeleton_nodes, voxels
+from lamellar.sources.fixtures import NODES_SQL, VOXELS_SQL, skeleton_edges, skeleton_graph, skeleton_nodes, voxels
 from lamellar.sources.storage import materialise, read_table
 
 
@@ -88,16 +88,16 @@ def rand_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skeleton_components(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.graph_components(*_both(spark, d)).select("node", "root")
+    return segmentation.graph_roots(*skeleton_graph(skeleton_nodes(spark, d)))
 
 
 def component_relabel(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.graph_components(*_both(spark, d)).select("node", "local")
+    return segmentation.graph_components(*skeleton_graph(skeleton_nodes(spark, d))).select("node", "local")
 
 
 def component_lookup(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _both(spark, d)
-    return segmentation.component_of_skeleton(nodes, segmentation.graph_components(nodes, edges))
+    nodes, edges = skeleton_graph(skeleton_nodes(spark, d))
+    return segmentation.component_of_skeleton(nodes, segmentation.graph_roots(nodes, edges))
 
 
 def threshold_grid(spark: SparkSession, d: str) -> DataFrame:

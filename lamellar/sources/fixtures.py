@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamellar.sources.storage import read_table
+from lamellar.sources.storage import materialise, read_table
 
 
 def skeleton_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """skel, n, node, px, py, pz, seg: one node per order line, in order within a customer's skeleton."""
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    order = W.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("n", F.row_number().over(order).cast("long") - 1)
-    rows = rows.withColumn("skel", F.col("o_custkey") + 1)
+    # By the skeleton's own column, so that windows along it need no other shuffle.
+    order = W.partitionBy("skel").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("skel", F.col("o_custkey") + 1)
+    rows = rows.withColumn("n", F.row_number().over(order).cast("long") - 1)
     seg = F.expr(
         "case when l_partkey % 23 = 0 then 0 when l_partkey % 19 = 0 then 1000000 + skel div 2 "
         "when skel % 11 = 0 then (skel - 1) * 10 + n div 25 else skel * 10 + n div 25 end"
@@ -43,6 +44,13 @@ def skeleton_edges(nodes: DataFrame) -> DataFrame:
     return rows.filter("v is not null")
 
 
+def skeleton_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """skel and node of all nodes, and u, v of the edges, from one kept table: whole skeletons lie together in it."""
+    along = W.partitionBy("skel").orderBy("n")
+    rows = materialise(nodes.select("skel", "node", F.lead("node").over(along).alias("next")), "skeletons")
+    return rows.select("skel", "node"), rows.filter("next is not null").select(F.col("node").alias("u"), F.col("next").alias("v"))
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x, y, z, a0, a1, a2 (float), seg, raw: one voxel per order, a volume of 10 by 10 columns."""
     rows = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")

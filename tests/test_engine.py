@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamellar.functions import scalar
+from lamellar.functions import ranking, scalar
 from lamellar.operators import affinity, components, grid, information, sampling, segmentation, selection, skeleton, sweep
 from lamellar.sources import arrays, sinks
 from lamellar.streaming import running_best
@@ -96,6 +96,45 @@ def test_graph_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1000])
+def test_components_of_pieces_are_those_of_the_graph(spark, piece):
+    rng = random.Random(piece)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 41] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(90)] + [(700, 700)] * 3
+    rng.shuffle(edges)
+    ends = sorted({i for e in edges for i in e})
+    at = {i: k for k, i in enumerate(ends)}
+    want = components.local_roots(len(ends), np.array([at[u] for u, _ in edges]), np.array([at[v] for _, v in edges]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3), piece=piece).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.node, r.root) for r in got) == [(i, ends[r]) for i, r in zip(ends, want)]
+
+
+def test_long_paths_that_lie_together_take_no_rounds(spark, monkeypatch):
+    writes, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: writes.append(label) or write(df, label))
+    paths = spark.range(0, 5000, 1, 1).filter("id % 1000 <> 999").selectExpr("id as u", "id + 1 as v")
+    got = components.connected_components(paths).collect()
+    assert len(got) == 5000 and all(r.root == r.node // 1000 * 1000 for r in got)
+    assert len(writes) <= 3
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [(g, g * 10_000 + 3 * i) for g, n in ((1, 2), (2, 1), (5, 4000), (6, 1), (8, 700)) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges stay apart
+    try:
+        got = ranking.numbered_within(spark.createDataFrame(rows, "g long, v long").repartition(5), "g", "v", "nth")
+        assert sorted((r.g, r.v, r.nth) for r in got.collect()) == sorted((g, v, (v - g * 10_000) // 3) for g, v in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert ranking.numbered_within(spark.createDataFrame([], "g long, v long"), "g", "v", "nth").count() == 0
+
+
 def test_thresholds_are_compared_as_floats(spark):
     df = spark.createDataFrame([(0.7311,), (0.8022,), (float("nan"),), (0.74,)], "p float")
     assert [r[0] for r in df.select(scalar.above(F.col("p"), F.lit(0.7311))).collect()] == [False, True, False, True]
