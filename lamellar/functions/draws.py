@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,32 +29,42 @@ PRIME, FACTORS = 2_147_483_647, (48_271, 69_621, 39_373, 62_089)
 MOST_REPEATS = 64
 
 
-def round_of(value: Column, key: Column, factor: int) -> Column:
-    """One round's scrambled number below PRIME."""
-    x = (value * factor + key) % PRIME
-    return (x * x + x * factor + 1) % PRIME
+def _once(x: np.ndarray, key: np.ndarray, side: int) -> np.ndarray:
+    """The rounds of a balanced Feistel network on pairs of numbers below ``side``; remainders have the sign that SQL gives them."""
+    right = np.fmod(x, side)
+    left = (x - right) // side
+    for factor in FACTORS:
+        v = np.fmod(right * factor + key, PRIME)
+        left, right = right, np.fmod(left + np.fmod(v * v + v * factor + 1, PRIME), side)
+    return left * side + right
 
 
 def shuffled(number: Column, many: int, key: Column) -> Column:
     """A keyed permutation of 0 to ``many`` - 1, one for each key from 0 to PRIME - 1.
 
     A balanced Feistel network on pairs of numbers below the root of ``many``; what lies outside the range is
-    permuted again, so that each number comes from one.
+    permuted again, so that each number comes from one. Arrays of a batch are permuted at once.
     """
     side = math.isqrt(max(0, many - 1)) + 1
     if side > PRIME:
         raise ValueError("more than 2^62 numbers")
 
-    def once(x: Column) -> Column:
-        left, right = F.call_function("div", x, F.lit(side).cast("long")), x % side
-        for factor in FACTORS:
-            left, right = right, (left + round_of(right, key, factor)) % side
-        return left * side + right
-
-    first = F.transform(F.array(number.cast("long")), once)[0]
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_REPEATS)), first, lambda x, _: F.when(x < many, x).otherwise(once(x)))
-    inside = F.transform(F.array(walked), lambda x: F.when(x < many, x).otherwise(F.raise_error(F.lit("a number stays outside the range")).cast("long")))
-    return inside[0]
+    @F.pandas_udf("long")
+    def walked(numbers: pd.Series, keys: pd.Series) -> pd.Series:
+        if numbers.hasnans or keys.hasnans:
+            raise ValueError("a number or a key is null")
+        key = keys.to_numpy(np.int64)
+        at = _once(numbers.to_numpy(np.int64), key, side)
+        for _ in range(MOST_REPEATS):
+            out = np.flatnonzero(at >= many)
+            if not len(out):
+                break
+            at[out] = _once(at[out], key[out], side)
+        if (at >= many).any():
+            raise ValueError("a number stays outside the range")
+        return pd.Series(at)
+
+    return walked(number.cast("long"), key.cast("long"))
 
 
 def alias_table(weights: list[float]) -> list[tuple[float, int]]:

@@ -1,5 +1,6 @@
 """Draws that depend on values alone, epochs, weights, and checks within the pass of a write."""
 
+import math
 import os
 from collections import Counter
 
@@ -33,6 +34,32 @@ def test_a_great_many_numbers(spark):
         draws.shuffled(F.col("id"), 2**63, F.lit(1))
 
 
+def plain_permutation(x, many, key):
+    side = math.isqrt(many - 1) + 1
+    while True:
+        left, right = divmod(x, side)
+        for factor in draws.FACTORS:
+            v = (right * factor + key) % draws.PRIME
+            left, right = right, (left + (v * v + v * factor + 1) % draws.PRIME) % side
+        x = left * side + right
+        if x < many:
+            return x
+
+
+def test_arrays_are_permuted_as_numbers_are(spark):
+    for many, key in ((5, 7), (1003, 2_147_483_646), (10**15, 12)):
+        rows = spark.range(max(0, many - 300), many).select("id", draws.shuffled(F.col("id"), many, F.lit(key)).alias("p")).collect()
+        assert [r.p for r in rows] == [plain_permutation(r.id, many, key) for r in rows]
+
+
+def test_a_permutation_is_no_expression_of_each_row_and_nulls_are_errors(spark):
+    """Lambdas over a row's own arrays are interpreted: a hundred steps for each row."""
+    rows = spark.range(10).select(draws.shuffled(F.col("id"), 10, F.lit(1)).alias("p"))
+    assert "lambda" not in rows._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="null"):
+        spark.range(3).select(draws.shuffled(F.expr("nullif(id, 1)"), 3, F.lit(1))).collect()
+
+
 def drawn(df):
     return sorted(map(str, df.collect()))
 
