@@ -53,10 +53,12 @@ def offsets(big: int, small: int) -> Column:
 
 def patches(spark: SparkSession, shape: tuple[int, int, int], small: int, overlap: bool) -> DataFrame:
     """px, py, pz of all patches; with overlap also the base shifted by half a patch along any axes, if they fit."""
-    one = spark.range(1)
-    for axis, n in zip(AXES, shape, strict=True):
-        one = one.withColumn(f"p{axis}", F.explode(offsets(n, small)))
-    base = one.drop("id")
+    if min(shape) < small:
+        raise ValueError("a patch is larger than the volume")
+    # Numbered, so that tasks make them by ranges: as many starts along an axis as ``offsets`` lists.
+    nx, ny, nz = (-(-(n - small) // small) + 1 for n in shape)
+    index = (f"id div {ny * nz}", f"(id div {nz}) % {ny}", f"id % {nz}")
+    base = spark.range(nx * ny * nz).selectExpr(*(f"least(({i}) * {small}, {n - small}) as p{a}" for a, i, n in zip(AXES, index, shape, strict=True)))
     if not overlap:
         return base
     shifts = F.array(*(F.struct(*(F.lit(small // 2 * (s >> k & 1)).alias(f"d{a}") for k, a in enumerate(AXES))) for s in range(8)))
@@ -73,22 +75,48 @@ def chunks(patch: DataFrame, chunk: int, small: int) -> DataFrame:
     return keyed.groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("px", "py", "pz"))).alias("patches"), *edges)
 
 
+#: Side of a block of ``by_block``, and the most voxels of a task's blocks, on average.
+BLOCK, VOXELS = 64, 64**3
+
+
+def by_block(patch: DataFrame, shape: tuple[int, int, int], small: int, side: int = BLOCK) -> DataFrame:
+    """Each patch with ``block``, the number of a block of ``side`` cubed voxels that it meets, once for each of them.
+
+    Rows are dealt by block, to as many tasks as the volume needs, so what patches hold within a block comes to its place
+    without being sent: only patches are, and those at blocks' faces more than once.
+    """
+    many = [-(-n // side) for n in shape]
+    for axis in AXES:
+        met = F.sequence(F.floor(F.col(f"p{axis}") / side), F.floor((F.col(f"p{axis}") + small - 1) / side))
+        patch = patch.withColumn(f"__{axis}", F.explode(met))
+    number = ((F.col("__x") * many[1] + F.col("__y")) * many[2] + F.col("__z")).cast("long")
+    tasks = max(patch.sparkSession.sparkContext.defaultParallelism, -(-math.prod(shape) // VOXELS))
+    return patch.withColumn("block", number).drop(*(f"__{a}" for a in AXES)).repartition(tasks, "block")
+
+
 def weight(i: Column, j: Column, k: Column, small: int) -> Column:
     """Distance to the patch's border, one at the surface, in the chessboard metric."""
     return F.least(*(F.least(c + 1, F.lit(small) - c) for c in (i, j, k))).cast("float")
 
 
-def blend(predictions: DataFrame, small: int, overlap: bool, channels: tuple[str, ...] = ("p0", "p1", "p2")) -> DataFrame:
+def blend(
+    predictions: DataFrame, small: int, overlap: bool, channels: tuple[str, ...] = ("p0", "p1", "p2"), shape: tuple[int, int, int] | None = None, side: int = BLOCK
+) -> DataFrame:
     """x, y, z and the weighted mean of every channel over the patches that cover a voxel.
 
     ``predictions``: px, py, pz, i, j, k and channels. One aggregate with partial sums, in place of
-    a shared accumulator. Sums are in double precision.
+    a shared accumulator. Sums are in double precision. With ``shape``, predictions are those of patches from
+    ``by_block``: a voxel counts in its own block alone, and sums stay in the task that has the block.
     """
     w = weight(F.col("i"), F.col("j"), F.col("k"), small).cast("double") if overlap else F.lit(1.0)
     at = [(F.col(f"p{a}") + F.col(i)).alias(a) for a, i in zip(AXES, "ijk", strict=True)]
-    rows = predictions.select(*at, w.alias("w"), *channels)
+    keys = ["block", *AXES] if shape else list(AXES)
+    rows = predictions.select(*keys[: -len(AXES)], *at, w.alias("w"), *channels)
+    if shape:
+        x, y, z = (F.floor(F.col(a) / side) for a in AXES)
+        rows = rows.filter(F.col("block") == (x * -(-shape[1] // side) + y) * -(-shape[2] // side) + z)
     sums = [F.try_divide(F.sum(F.col("w") * F.col(c).cast("double")), F.sum("w")).alias(c) for c in channels]
-    return rows.groupBy(*AXES).agg(*sums)
+    return rows.groupBy(*keys).agg(*sums).select(*AXES, *channels)
 
 
 def blurred(img: DataFrame, column: str, sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:

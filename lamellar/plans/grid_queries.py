@@ -139,19 +139,20 @@ def patch_weight(spark: SparkSession, d: str) -> DataFrame:
     return cell.select("i", "j", "k", grid.weight(F.col("i"), F.col("j"), F.col("k"), PATCH).cast("long").alias("w"))
 
 
-def _predictions(spark, d, overlap):
-    """Each patch predicts its voxels from the fixture, off by an amount of its own."""
-    shape = segmentation.shape_of(voxels(spark, d).select("x", "y", "z"))
+def _predictions(spark, shape, overlap):
+    """Each patch predicts its voxels, off by an amount of its own; patches are dealt by block."""
     patch = grid.patches(spark, shape, PATCH, overlap).select(*(F.col(c).cast("long").alias(c) for c in ("px", "py", "pz")))
+    patch = grid.by_block(patch, shape, PATCH)
     cell = F.explode(F.sequence(F.lit(0), F.lit(PATCH**3 - 1))).alias("at")
-    rows = patch.select("px", "py", "pz", cell)
-    rows = rows.selectExpr("px", "py", "pz", f"at div {PATCH * PATCH} as i", f"(at div {PATCH}) % {PATCH} as j", f"at % {PATCH} as k")
+    rows = patch.select("block", "px", "py", "pz", cell)
+    rows = rows.selectExpr("block", "px", "py", "pz", f"at div {PATCH * PATCH} as i", f"(at div {PATCH}) % {PATCH} as j", f"at % {PATCH} as k")
     value = lambda c: (((F.col("px") + F.col("i")) * 31 + (F.col("py") + F.col("j")) * 17 + (F.col("pz") + F.col("k")) * 7 + F.col("px") * c + F.col("py")) % 101) / 101.0
-    return rows.select("px", "py", "pz", "i", "j", "k", *(value(c).alias(f"p{c}") for c in range(3)))
+    return rows.select("block", "px", "py", "pz", "i", "j", "k", *(value(c).alias(f"p{c}") for c in range(3)))
 
 
 def _blended(spark, d, overlap):
-    rows = grid.blend(_predictions(spark, d, overlap), PATCH, overlap)
+    shape = segmentation.shape_of(voxels(spark, d).select("x", "y", "z"))
+    rows = grid.blend(_predictions(spark, shape, overlap), PATCH, overlap, shape=shape)
     return rows.select(*(F.col(a).cast("long").alias(a) for a in "xyz"), *(F.round(f"p{k}", 7).alias(f"p{k}") for k in range(3)))
 
 

@@ -223,6 +223,33 @@ def test_blend_of_a_constant(spark):
     assert len(rows) == 9 * 7 * 8 and {round(r.p0, 12) for r in rows} == {0.25}
     with pytest.raises(ValueError):
         grid.offsets(3, 4)
+    with pytest.raises(ValueError):
+        grid.patches(spark, (9, 3, 8), 4, True)
+
+
+@pytest.mark.parametrize("overlap", [True, False])
+def test_patches_of_blocks_blend_as_all_do_and_no_voxel_is_sent(spark, overlap):
+    shape = (23, 9, 11)
+    patch = grid.patches(spark, shape, 4, overlap)
+    base_patch = grid.patches(spark, shape, 4, False)
+    assert base_patch.select(F.spark_partition_id().alias("t")).distinct().count() > 1  # no task makes them all
+    plain = [grid.offsets(n, 4) for n in shape]
+    starts = spark.range(1).select(*(o.alias(a) for o, a in zip(plain, "xyz"))).first()
+    base = set(itertools.product(*starts))
+    fits = lambda p: all(o + 4 <= n for o, n in zip(p, shape))
+    moved = {tuple(o + 2 * m for o, m in zip(p, s)) for p in base for s in itertools.product((0, 1), repeat=3)} if overlap else set()
+    assert sorted(map(tuple, patch.select("px", "py", "pz").collect())) == sorted(base | set(filter(fits, moved)))
+
+    def cells(df):
+        at = ("at div 16 as i", "at div 4 % 4 as j", "at % 4 as k")
+        return df.selectExpr("*", "explode(sequence(0, 63)) as at").selectExpr("*", *at).withColumn("p0", F.expr("(px * 7 + py * 3 + pz + i * j + k) % 11 / 8D"))
+
+    want = grid.blend(cells(patch), 4, overlap, ("p0",))
+    got = grid.blend(cells(grid.by_block(patch, shape, 4, 8)), 4, overlap, ("p0",), shape, 8)
+    rows = lambda df: sorted((r.x, r.y, r.z, round(r.p0, 9)) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() == 23 * 9 * 11
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "hashpartitioning(x" not in plan and "hashpartitioning(block#" in plan and plan.count("hashpartitioning(block#") == 1
 
 
 def test_rotations_flips_and_draws(spark):
