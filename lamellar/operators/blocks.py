@@ -29,6 +29,8 @@ SIDE = 64
 PARTS = 16
 #: Blocks of a bucket, at most: a task reads a bucket block by block.
 PER_BUCKET = 64
+#: Voxels of a task, on average at most, where rows of voxels are dealt.
+PER_TASK = 1 << 16
 #: Spark's types of arrays' items, by kind and size; it has no unsigned ones, so they become wider. 64 unsigned bits must fit a long.
 _SPARK = {"?": "boolean", "i1": "byte", "i2": "short", "i4": "int", "i8": "long", "f4": "float", "f8": "double"}
 _WIDER = {"u1": "i2", "u2": "i4", "u4": "i8", "u8": "i8"}
@@ -100,6 +102,11 @@ def _mapped(b: Blocks, rows: DataFrame, types: dict[str, str], one: Callable) ->
     return replace(out, rows=rows.mapInArrow(task, out.schema))
 
 
+def tasks_of(b: Blocks) -> int:
+    """Tasks among which rows of voxels or nodes are dealt: as many as the volume needs, so that none grows with it."""
+    return max(b.rows.sparkSession.sparkContext.defaultParallelism, -(-math.prod(b.shape) // PER_TASK))
+
+
 def from_voxels(voxels: DataFrame, types: dict[str, str], shape: tuple[int, int, int], side: int = SIDE) -> Blocks:
     """Packs a table of voxels (x, y, z and the columns of ``types``), one shuffle. Of repeated voxels one stays.
 
@@ -121,7 +128,8 @@ def from_voxels(voxels: DataFrame, types: dict[str, str], shape: tuple[int, int,
         return pa.Table.from_batches([_row(block, arrays, there, types)])
 
     rows = voxels.select(*(F.col(a).cast("long").alias(a) for a in AXES), *types)
-    keyed = rows.groupBy(*(F.floor(F.col(a) / side).alias(k) for a, k in zip(AXES, KEYS, strict=True)))
+    rows = rows.withColumns({k: F.floor(F.col(a) / side) for a, k in zip(AXES, KEYS, strict=True)})
+    keyed = rows.repartition(tasks_of(b), *KEYS).groupBy(*KEYS)
     return replace(b, rows=keyed.applyInArrow(pack, b.schema))
 
 

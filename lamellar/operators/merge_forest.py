@@ -175,7 +175,8 @@ def _local(forest: Forest, nodes: DataFrame, columns: str, found_of) -> DataFram
     at = [F.floor(F.col(a) / b.side).alias(k) for a, k in zip("xyz", KEYS, strict=True)]
     packed = nodes.select(*at, F.struct(*(F.col(c) for c in nodes.columns)).alias("node"))
     # In parts, so that a block with a great many nodes isn't one group.
-    groups = packed.groupBy(*KEYS, F.pmod(F.xxhash64("node"), F.lit(PARTS)).alias("__part")).agg(F.collect_list("node").alias("nodes"))
+    parted = packed.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(PARTS))).repartition(blocks.tasks_of(b), *KEYS, "__part")
+    groups = parted.groupBy(*KEYS, "__part").agg(F.collect_list("node").alias("nodes"))
     rows = groups.join(b.rows, list(KEYS), "left")
     fields = dict(packed.select("node.*").dtypes)
 
@@ -248,7 +249,7 @@ def runs(forest: Forest, nodes: DataFrame, keys: list[str], name: str = "seg") -
     single = single.join(joined, ["__level", "__root"], "left")
     single = single.select(*nodes.columns, F.col("__level").alias("top"), F.col("__level").alias("low"), F.coalesce("__least", "__root").alias("__seg"))
     down = W.partitionBy(*keys).orderBy(F.desc("top"))
-    rows = plain.unionByName(single).withColumn("__new", F.coalesce(F.lag("__seg").over(down) != F.col("__seg"), F.lit(True)).cast("int"))
+    rows = plain.unionByName(single).repartition(blocks.tasks_of(b), *keys).withColumn("__new", F.coalesce(F.lag("__seg").over(down) != F.col("__seg"), F.lit(True)).cast("int"))
     rows = rows.withColumn("__run", F.sum("__new").over(down))
     ends = [F.max("top").alias("top"), F.min("low").alias("low"), (F.first("__seg") + 1).alias(name)]
     rest = [F.first(c).alias(c) for c in nodes.columns if c not in keys]

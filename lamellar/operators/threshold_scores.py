@@ -22,10 +22,10 @@ def forest_of(volume: DataFrame, thresholds: list[float]) -> merge_forest.Forest
     return merge_forest.merge_forest(packed, thresholds)
 
 
-def _after(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+def _after(df: DataFrame, keys: list[str], *columns: str, tasks: int) -> DataFrame:
     """Changes by level to values: each column's sum from the highest level down, and ``was_`` it before the level."""
     down = W.partitionBy(*keys).orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = df.groupBy(*keys, "level").agg(*(F.sum(c).alias(f"d_{c}") for c in columns))
+    rows = df.repartition(tasks, *keys, "level").groupBy(*keys, "level").agg(*(F.sum(c).alias(f"d_{c}") for c in columns)).repartition(tasks, *keys)
     rows = rows.withColumns({c: F.sum(f"d_{c}").over(down) for c in columns})
     return rows.withColumns({f"was_{c}": F.col(c) - F.col(f"d_{c}") for c in columns})
 
@@ -40,19 +40,20 @@ def _n_log_n(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def changes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def changes(runs: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """level, and how much pairs' and segments' n log n (``hj``, ``hp``), mergers and squares of correct lengths change there; and one row of what never does.
 
     ``runs``: skel, n, px, py, pz, seg, top and low, as ``merge_forest.runs`` gives them. A pair of skeleton and segment is
     looked at only where nodes join or leave it, so work grows with nodes and merges, not with levels. A
-    merging segment's lengths are none of them correct, so a segment's squares count while it has one skeleton.
+    merging segment's lengths are none of them correct, so a segment's squares count while it has one skeleton. Rows are
+    dealt to ``tasks`` tasks, which should grow with nodes.
     """
     node = runs.select("skel", "n", "px", "py", "pz", "seg", "top", "low")
-    cells = _after(_events(node, ["seg", "skel"], F.lit(1)), ["seg", "skel"], "n")
+    cells = _after(_events(node, ["seg", "skel"], F.lit(1)), ["seg", "skel"], "n", tasks=tasks)
     kept = materialise(cells.filter("d_n <> 0"), "sweep-cells")
     pairs = kept.select("level", (_n_log_n(F.col("n")) - _n_log_n(F.col("was_n"))).alias("hj"))
 
-    runs_of = node.groupBy("skel", "n", "px", "py", "pz").agg(F.collect_list(F.struct("seg", "top", "low")).alias("runs"))  # as many as levels at most
+    runs_of = node.repartition(tasks, "skel").groupBy("skel", "n", "px", "py", "pz").agg(F.collect_list(F.struct("seg", "top", "low")).alias("runs"))  # as many as levels at most
     along = W.partitionBy("skel").orderBy("n")
     at = lambda c: F.lead(c).over(along)
     length = F.sqrt(sum((F.pow(F.col(c) - at(c), 2) for c in ("px", "py", "pz")), F.lit(0.0)))
@@ -60,12 +61,12 @@ def changes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     meet = lambda a, b: F.struct(a.seg.alias("seg"), F.least(a.top, b.top).alias("top"), F.greatest(a.low, b.low).alias("low"))
     same = F.flatten(F.transform("runs", lambda a: F.transform(F.filter("next", lambda b: (a.seg == b.seg) & (a.seg > 0)), lambda b: meet(a, b))))
     together = edges.select("skel", "len", F.explode(same).alias("e")).select("skel", "len", "e.*").filter("low <= top")
-    lengths = _after(_events(together, ["seg", "skel"], F.col("len")), ["seg", "skel"], "n")
+    lengths = _after(_events(together, ["seg", "skel"], F.col("len")), ["seg", "skel"], "n", tasks=tasks)
     squares = lengths.select("seg", "level", (F.col("n") * F.col("n") - F.col("was_n") * F.col("was_n")).alias("squares"))
 
     skels = kept.select("seg", "level", F.lit(0.0).alias("squares"), ((F.col("n") > 0).cast("long") - (F.col("was_n") > 0).cast("long")).alias("skels"), F.col("d_n").alias("n"))
     both = skels.unionByName(squares.withColumns({"skels": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}))
-    segs = _after(both, ["seg"], "squares", "skels", "n")
+    segs = _after(both, ["seg"], "squares", "skels", "n", tasks=tasks)
     merging = lambda k: F.when((k > 1) & (F.col("seg") != 0), k).otherwise(F.lit(0))
     right = lambda k, s: F.when(k == 1, s).otherwise(F.lit(0.0))
     of_segs = segs.select(
@@ -92,7 +93,7 @@ def scores_at(volume: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> Dat
     listed = thresholds.select("ord", "thr").collect()  # the options of a sweep
     forest = forest_of(volume, [r.thr for r in listed])
     runs = materialise(merge_forest.runs(forest, nodes.select("skel", "n", "x", "y", "z", "px", "py", "pz"), ["skel", "n"]), "sweep-runs")
-    by_level, fixed = changes(runs)
+    by_level, fixed = changes(runs, blocks.tasks_of(forest.blocks))
     levels = [F.struct(F.lit(r.ord).cast("long").alias("ord"), F.lit(float(r.thr)).alias("thr"), F.lit(forest.level(r.thr)).alias("at")) for r in listed]
     # A threshold has the changes of its level and of all above it.
     to = F.explode(F.filter(F.array(*levels), lambda t: t["at"] <= F.col("level"))).alias("t")

@@ -1,6 +1,7 @@
 """The forest of merges against a labelling for each threshold."""
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -85,6 +86,16 @@ def test_runs_are_labels(volume, forest):
         by_node[r.n] = r.seg
 
 
+def test_tasks_of_a_sweep_grow_with_the_volume(spark, volume, forest, monkeypatch):
+    nodes = volume.select("x", "y", "z", F.expr("x % 3").alias("skel"), F.expr("x * 100 + y * 10 + z").alias("n"), *(F.expr(f"{a} * 9D").alias(f"p{a}") for a in "xyz"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(blocks, "PER_TASK", 50, raising=False)
+    assert math.prod(forest.blocks.shape) == 1500
+    found = merge_forest.runs(forest, nodes, ["skel", "n"])
+    assert re.search(r"hashpartitioning\(skel[^)]*, n[^)]*, 30\)", plan(found))
+    assert ", 30)" in plan(blocks.from_voxels(volume, TYPES, (15, 10, 10)).rows)
+
+
 def slow_scores(volume, nodes, at):
     """NERL, VOI and mergers of one threshold from its labelling."""
     shape = segmentation.shape_of(volume)
